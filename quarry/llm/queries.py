@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, sharding
+from . import decontamination, mixing, sharding
 from .common import table
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document held against all items: ``doc_id, n_words, n_hit, n_items, items_sha256, contaminated``."""
+    return decontamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("th")
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's shard: ``doc_id, bytes, shard, shard_depth, shard_bytes``."""
     return sharding.shard_rows(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
@@ -20,6 +25,26 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+OP1_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce({WORDS}, []) AS w FROM documents),
+i AS (SELECT item_id::VARCHAR AS item, {WORDS} AS w FROM benchmark),
+iw AS (SELECT item, w, least(len(w), {decontamination.WINDOW})::INT AS n FROM i WHERE len(w) > 0),
+win AS (SELECT DISTINCT item, n, unnest([array_to_string(w[p:p + n - 1], ' ') for p in range(1, len(w) - n + 2)]) AS wtext FROM iw),
+sizes AS (SELECT DISTINCT n FROM win),
+grams AS (SELECT doc_id, n, unnest(range(1, len(w) - n + 2)) AS pos,
+                 unnest([array_to_string(w[p:p + n - 1], ' ') for p in range(1, len(w) - n + 2)]) AS wtext
+          FROM d, sizes WHERE len(w) >= n),
+hit AS (SELECT doc_id, pos, n, item FROM grams JOIN win USING (n, wtext)),
+words AS (SELECT doc_id, count(*) AS n_hit FROM (
+            SELECT DISTINCT doc_id, unnest(range(pos, pos + n)) AS p FROM (SELECT DISTINCT doc_id, pos, n FROM hit)) GROUP BY doc_id),
+items AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM hit GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_items, 0) >= {decontamination.MIN_ITEMS} AS contaminated
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
 OP3_SQL = f"""
 WITH RECURSIVE d AS (
   SELECT doc_id, coalesce(strlen(text), 0)::BIGINT AS bytes,
@@ -73,7 +98,8 @@ FROM line
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontamination": op1_decontamination,
     "op3_sharding": op3_sharding,
     "op7_mixing": op7_mixing,
 }
-ORACLES: dict[str, str] = {"op3_sharding": OP3_SQL, "op7_mixing": OP7_SQL}
+ORACLES: dict[str, str] = {"op1_decontamination": OP1_SQL, "op3_sharding": OP3_SQL, "op7_mixing": OP7_SQL}
