@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, mixing, sharding
+from . import decontamination, mixing, secrets, sharding
 from .common import table
 
 
@@ -25,6 +25,11 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's secrets: counts by kind, digest of the base spans, all spans, and how they are judged."""
+    return secrets.report(table(spark, sf_dir, "documents"))
+
+
 WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 OP1_SQL = f"""
@@ -97,9 +102,45 @@ SELECT doc_id, size, source_size, target,
 FROM line
 """
 
+def _op8_kind(kind: int, pattern: str, least: int, also: str = "") -> str:
+    return f"""
+  SELECT doc_id, {kind} AS kind, a AS start, a + instr(p, chr(3)) - 2 AS stop,
+         substr(p, instr(p, chr(2)) + 1, instr(p, chr(3)) - instr(p, chr(2)) - 1) AS value
+  FROM (SELECT *, (sum(length(p) - 2 * (i > 1)::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))::BIGINT AS a
+        FROM (SELECT doc_id, unnest(range(1, len(ps) + 1)) AS i, unnest(ps) AS p
+              FROM (SELECT doc_id, string_split(regexp_replace(t, {pattern}, chr(1) || '\\1' || chr(2) || '\\2' || chr(3), 'g'), chr(1)) AS ps FROM d)))
+  WHERE i > 1 AND instr(p, chr(3)) - instr(p, chr(2)) - 1 >= {least}{also}"""
+
+
+OP8_SQL = f"""
+WITH d AS (
+  SELECT doc_id, coalesce(source, '') AS owner, translate(coalesce(text, ''), chr(1) || chr(2) || chr(3), chr(4) || chr(4) || chr(4)) AS t FROM documents
+), base AS ({_op8_kind(0, "'((?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])[\"'']?[ ]*[:=][ ]*[\"'']?)([A-Za-z0-9+/_.=-]+)'", 6)}
+  UNION ALL {_op8_kind(1, "'()(AKIA[A-Z0-9]+)'", 20)}
+  UNION ALL {_op8_kind(2, "'()([0-9a-f]+)'", 24)}
+), bare AS (
+  SELECT * FROM ({_op8_kind(3, "'()([A-Za-z0-9+/_=-]{20,})'", 20)}) b
+  WHERE regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Z]') AND regexp_matches(value, '[a-z]')
+    AND NOT EXISTS (SELECT 1 FROM base WHERE base.doc_id = b.doc_id AND b.start < base.stop AND base.start < b.stop)
+), every AS (SELECT * FROM base UNION ALL SELECT * FROM bare),
+owners AS (SELECT value, count(DISTINCT owner) AS n_owners FROM every JOIN d USING (doc_id) GROUP BY value),
+judged AS (SELECT *, ['assign', 'access', 'hex', 'owned'][kind + 1] || ':' || start || ':' || stop AS item FROM every JOIN owners USING (value) WHERE kind < 3 OR n_owners = 1),
+per_doc AS (
+  SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+         string_agg(item, ',' ORDER BY start, kind) FILTER (kind < 3) AS base, string_agg(item, ',' ORDER BY start, kind) AS spans,
+         count(*) FILTER (kind = 3) AS n_owned, count(*) FILTER (n_owners < {secrets.EXAMPLE_OWNERS}) AS n_live,
+         count(*) FILTER (n_owners >= {secrets.EXAMPLE_OWNERS}) AS n_example
+  FROM judged GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
+       coalesce(n_owned, 0) AS n_owned, coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example
+FROM d LEFT JOIN per_doc USING (doc_id)
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op3_sharding": op3_sharding,
     "op7_mixing": op7_mixing,
+    "op8_secrets": op8_secrets,
 }
-ORACLES: dict[str, str] = {"op1_decontamination": OP1_SQL, "op3_sharding": OP3_SQL, "op7_mixing": OP7_SQL}
+ORACLES: dict[str, str] = {"op1_decontamination": OP1_SQL, "op3_sharding": OP3_SQL, "op7_mixing": OP7_SQL, "op8_secrets": OP8_SQL}
