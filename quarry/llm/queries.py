@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, mixing, secrets, sharding
+from . import decontamination, mixing, secrets, sharding, warc
 from .common import table
 
 
@@ -30,6 +30,11 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents"))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as read back from the archives: ``page_id, payload_bytes, payload_digest, record_type, refers_to``."""
+    return warc.roundtrip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 OP1_SQL = f"""
@@ -137,10 +142,24 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
 FROM d LEFT JOIN per_doc USING (doc_id)
 """
 
+#: Base32 of a SHA-1 in SQL: five hexadecimal digits make four letters.
+_B32 = " || ".join(
+    f"substr('{warc.ALPHABET}', ((('0x' || substr(code, {i + 1}, 5))::INT >> {s}) & 31) + 1, 1)" for i in range(0, 40, 5) for s in (15, 10, 5, 0)
+)
+OP9_SQL = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS code FROM pages),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY body) AS top FROM p)
+SELECT page_id, strlen(body)::BIGINT AS payload_bytes, {_B32} AS payload_digest,
+       CASE WHEN page_id IS NOT DISTINCT FROM top THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM top THEN top END AS refers_to
+FROM m
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op3_sharding": op3_sharding,
     "op7_mixing": op7_mixing,
     "op8_secrets": op8_secrets,
+    "op9_warc": op9_warc,
 }
-ORACLES: dict[str, str] = {"op1_decontamination": OP1_SQL, "op3_sharding": OP3_SQL, "op7_mixing": OP7_SQL, "op8_secrets": OP8_SQL}
+ORACLES: dict[str, str] = {"op1_decontamination": OP1_SQL, "op3_sharding": OP3_SQL, "op7_mixing": OP7_SQL, "op8_secrets": OP8_SQL, "op9_warc": OP9_SQL}
