@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, mixing, secrets, sharding, warc
+from . import decontamination, mixing, near_dedup, secrets, sharding, warc
 from .common import table
 
 
@@ -20,6 +20,11 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's class of near-duplicates: ``doc_id, n_shingles, component_id, kept``."""
+    return near_dedup.classes(table(spark, sf_dir, "documents")).drop("th")
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's share of the mix: ``doc_id, size, source_size, target, taken``."""
     return mixing.mix(table(spark, sf_dir, "documents"))
@@ -158,6 +163,7 @@ FROM m
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op3_sharding": op3_sharding,
+    "op5_near_dedup": op5_near_dedup,
     "op7_mixing": op7_mixing,
     "op8_secrets": op8_secrets,
     "op9_warc": op9_warc,
