@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,6 +19,11 @@ ROW_BYTES = 256
 _WRITTEN: dict[int, list[str]] = {}
 
 
+def ship(name: str) -> None:
+    """Send the functions of module ``name`` to executors by value, so that they needn't have this package installed."""
+    cloudpickle.register_pickle_by_value(sys.modules[name])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -30,7 +30,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, text_hash
+from .common import cut, ship, text_hash
+
+ship(__name__)
 
 WORDS = 5
 PERCENT = 85

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, mixing, near_dedup, secrets, sharding, warc
+from . import decontamination, mixing, near_dedup, secrets, sharding, substring_dedup, warc
 from .common import table
 
 
@@ -25,6 +25,12 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.classes(table(spark, sf_dir, "documents")).drop("th")
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the sentences that it repeats: ``doc_id, n_sentences, n_repeated, n_removed, clean_sha256``."""
+    out = substring_dedup.strip(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_sentences", "n_repeated", "n_removed", "clean_sha256")
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's share of the mix: ``doc_id, size, source_size, target, taken``."""
     return mixing.mix(table(spark, sf_dir, "documents"))
@@ -79,6 +85,22 @@ SELECT doc_id, bytes,
 FROM d JOIN leaf ON leaf.prefix = d.key >> (60 - leaf.depth)::INT
 """
 
+_SPACE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+OP6_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+p AS (SELECT doc_id, unnest(range(1, len(ps) + 1)) AS k, unnest(ps) AS p FROM (
+        SELECT doc_id, string_split(regexp_replace(t, '([.!?]+[ \\t\\n\\x0b\\x0c\\r]+|\\n[ \\t\\n\\x0b\\x0c\\r]*)', '\\1' || chr(1), 'g'), chr(1)) AS ps FROM d)),
+s AS (SELECT doc_id, k, trim(p, {_SPACE}) AS s FROM p WHERE trim(p, {_SPACE}) <> ''),
+r AS (SELECT doc_id, k, lead(k) OVER w AS k2, s || chr(31) || lead(s) OVER w AS run, length(s) + length(lead(s) OVER w) AS n FROM s WINDOW w AS (PARTITION BY doc_id ORDER BY k)),
+c AS (SELECT *, min(doc_id) OVER (PARTITION BY run) AS first, max(doc_id) OVER (PARTITION BY run) AS last, min(k) OVER (PARTITION BY run, doc_id) AS k0 FROM r WHERE n >= {substring_dedup.LEAST}),
+gone AS (SELECT DISTINCT doc_id, k FROM (SELECT doc_id, unnest([k, k2]) AS k FROM c WHERE doc_id > first OR k > k0)),
+again AS (SELECT DISTINCT doc_id, k FROM (SELECT doc_id, unnest([k, k2]) AS k FROM c WHERE first <> last OR k > k0)),
+n AS (SELECT doc_id, count(*) AS n_sentences FROM s GROUP BY doc_id), g AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id), a AS (SELECT doc_id, count(*) AS n FROM again GROUP BY doc_id),
+clean AS (SELECT p.doc_id, string_agg(p.p, '' ORDER BY p.k) AS t FROM p ANTI JOIN gone USING (doc_id, k) GROUP BY p.doc_id)
+SELECT doc_id, coalesce(n_sentences, 0) AS n_sentences, coalesce(a.n, 0) AS n_repeated, coalesce(g.n, 0) AS n_removed, sha256(coalesce(clean.t, '')) AS clean_sha256
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN g USING (doc_id) LEFT JOIN a USING (doc_id) LEFT JOIN clean USING (doc_id)
+"""
+
 OP7_SQL = f"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size FROM documents
@@ -164,8 +186,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op3_sharding": op3_sharding,
     "op5_near_dedup": op5_near_dedup,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_mixing": op7_mixing,
     "op8_secrets": op8_secrets,
     "op9_warc": op9_warc,
 }
-ORACLES: dict[str, str] = {"op1_decontamination": OP1_SQL, "op3_sharding": OP3_SQL, "op7_mixing": OP7_SQL, "op8_secrets": OP8_SQL, "op9_warc": OP9_SQL}
+ORACLES: dict[str, str] = {"op1_decontamination": OP1_SQL, "op3_sharding": OP3_SQL, "op6_substring_dedup": OP6_SQL, "op7_mixing": OP7_SQL, "op8_secrets": OP8_SQL, "op9_warc": OP9_SQL}
