@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, mixing, near_dedup, secrets, sharding, substring_dedup, warc
+from . import decontamination, mixing, near_dedup, secrets, sharding, substring_dedup, toxicity, warc
 from .common import table
 
 
@@ -20,6 +20,11 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity: ``doc_id, held_out, score, predicted``; labels of fold 0 of 5 are never learned from."""
+    return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("th")
+
+
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's class of near-duplicates: ``doc_id, n_shingles, component_id, kept``."""
     return near_dedup.classes(table(spark, sf_dir, "documents")).drop("th")
@@ -185,6 +190,7 @@ FROM m
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op3_sharding": op3_sharding,
+    "op4_toxicity": op4_toxicity,
     "op5_near_dedup": op5_near_dedup,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_mixing": op7_mixing,
