@@ -21,13 +21,14 @@ import base64
 import hashlib
 import re
 from collections.abc import Iterator
-from math import ceil
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, new_path
+from .common import cut, new_path, ship, small
+
+ship(__name__)
 
 END = "\r\n\r\n"
 ARCHIVE_BYTES = 16 * 1024 * 1024
@@ -52,9 +53,11 @@ def headers(pages: DataFrame, least: int = 0, page_id: str = "page_id", url: str
     """Per row of ``pages``: ``page_id, url, payload`` (null in revisits), ``digest, bytes, record_type, refers_to``."""
     body = F.encode(F.coalesce(F.col(payload), F.lit("")), "UTF-8")
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(payload), F.lit("")).alias("payload"), base32_sha1(body).alias("digest"), F.octet_length(body).cast("long").alias("bytes"))
-    kept = rows.filter(F.col("bytes") >= least).groupBy(F.col("digest").alias("k_digest"), F.col("bytes").alias("k_bytes"))
-    # most payloads are alone and need no record of it; those with company are few, and hot ones are split by the join
-    kept = kept.agg(F.max("page_id").alias("k_id"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    slim = cut(rows.select("page_id", "digest", "bytes"), "headers")
+    kept = slim.filter(F.col("bytes") >= least).groupBy(F.col("digest").alias("k_digest"), F.col("bytes").alias("k_bytes"))
+    # most payloads are alone and need no record of it, and hot ones are split by the join
+    kept = cut(kept.agg(F.max("page_id").alias("k_id"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "shared_payloads")
+    kept = small(kept, kept.count())
     rows = rows.join(kept, (F.col("digest") == F.col("k_digest")) & (F.col("bytes") == F.col("k_bytes")), "left")
     other = F.col("k_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("k_id"))
     return rows.select(
@@ -95,9 +98,12 @@ def records(rows: DataFrame, date: str = DATE) -> DataFrame:
 
 def write(pages: DataFrame, path: str, least: int = 0, archive_bytes: int = ARCHIVE_BYTES, compression: str = "none", **names: str) -> None:
     """Write ``pages`` as archives of about ``archive_bytes`` below ``path``."""
-    rows = cut(headers(pages, least, **names), "headers")
-    total = rows.agg(F.sum(F.coalesce(F.octet_length("payload"), F.lit(0)) + F.lit(600))).first()[0] or 0
-    records(rows.repartition(max(1, ceil(total / archive_bytes)))).write.option("lineSep", END).option("compression", compression).text(path)
+    text = F.col(names.get("payload", "html"))
+    n, total = pages.agg(F.count(F.lit(1)), F.sum(F.coalesce(F.octet_length(text), F.lit(0)) + F.lit(600))).first()
+    # payloads go from the scan straight to the archives; a file ends after so many records of the mean size
+    per_file = max(1, archive_bytes * n // max(1, total or 1))
+    out = records(headers(pages, least, **names)).write.option("lineSep", END).option("compression", compression)
+    out.option("maxRecordsPerFile", per_file).text(path)
 
 
 HEAD = re.compile(rb"WARC/1\.[01]\r\n(.*?)\r\n\r\n", re.S)
