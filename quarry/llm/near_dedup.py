@@ -273,7 +273,8 @@ def confirmed(docs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     )
     # texts move once, for those documents only that have a candidate
     texts = docs.select("doc_id", text_hash(F.col("text")).alias("t_th"), F.coalesce("text", F.lit("")).alias("text"))
-    ones = members.select(F.col("node").alias("m_node"), F.col("th").alias("m_th"))
+    # the plan is the same at every size: members are as many as documents, in the worst case, and never broadcast
+    ones = members.select(F.col("node").alias("m_node"), F.col("th").alias("m_th")).hint("merge")
     texts = texts.join(ones, (F.col("doc_id") == F.col("m_node")) & (F.col("t_th") == F.col("m_th"))).dropDuplicates(["doc_id", "t_th"]).select("doc_id", "t_th", "text")
     rows = dealt.join(texts, (F.col("node") == F.col("doc_id")) & (F.col("th") == F.col("t_th"))).select("g", "i", "j", "comp", "node", "block", "text")
     return rows.groupBy("g", "i", "j").applyInArrow(_verified(percent), "a long, b long")
