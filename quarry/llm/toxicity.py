@@ -148,15 +148,15 @@ def fold(doc_id: Column, parts: int) -> Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, learn: Column, sample: int, doc_id: str = "doc_id", text: str = "text", chars: int = SAMPLE_CHARS) -> list:
-    """At most ``sample`` rows (text, y), of either label half if there are as many; ids in hash order. Very long texts count
-    in the sample by a stretch of ``chars`` characters (scoring reads them whole)."""
+    """At most ``sample`` rows (text, y), of either label half if there are as many; ids in hash order. The sample is of
+    texts of ``chars`` characters at most, each whole."""
     lab = labels.select(F.col(doc_id).alias("l_id"), F.col(label).cast("int").alias("y")).filter("l_id IS NOT NULL AND y IN (0, 1)")
     lab = lab.filter(learn).groupBy("l_id").agg(F.min("y").alias("y"), F.max("y").alias("y2")).filter("y = y2").drop("y2")
     key = F.xxhash64(F.lit("sample"), "l_id")
     chosen = [lab.filter(F.col("y") == y).orderBy(key, "l_id").limit(sample // 2) for y in (0, 1)]
     chosen = F.broadcast(chosen[0].unionByName(chosen[1]))  # at most `sample` ids
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(chosen, F.col("doc_id") == F.col("l_id"))
-    rows = rows.filter("text IS NOT NULL").select("doc_id", F.substring("text", 1, chars).alias("text"), "y")
+    rows = rows.filter(F.length("text") <= chars).select("doc_id", "text", "y")
     return rows.orderBy(F.xxhash64(F.lit("sample"), "doc_id"), "text").limit(2 * sample).toArrow().to_pylist()
 
 
