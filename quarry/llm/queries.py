@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, mixing, near_dedup, secrets, sharding, substring_dedup, toxicity, warc
+from . import decontamination, mixing, near_dedup, quality, secrets, sharding, substring_dedup, toxicity, warc
 from .common import table
 
 
@@ -15,6 +15,11 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("th")
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality: ``doc_id, held_out, score, predicted``; labels of fold 1 of 3 are never learned from."""
+    return quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("th")
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's shard: ``doc_id, bytes, shard, shard_depth, shard_bytes``."""
     return sharding.shard_rows(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
@@ -189,6 +194,7 @@ FROM m
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
+    "op2_quality": op2_quality,
     "op3_sharding": op3_sharding,
     "op4_toxicity": op4_toxicity,
     "op5_near_dedup": op5_near_dedup,
