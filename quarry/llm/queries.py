@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, mixing, near_dedup, quality, secrets, sharding, substring_dedup, toxicity, warc
+from . import ann, decontamination, mixing, near_dedup, quality, secrets, sharding, substring_dedup, toxicity, warc
 from .common import table
 
 
@@ -56,6 +56,11 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.roundtrip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest found of each query: ``query_id, rank, vec_id, score``."""
+    return ann.search_table(table(spark, sf_dir, "embeddings"))
+
+
 WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 OP1_SQL = f"""
@@ -202,5 +207,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_mixing": op7_mixing,
     "op8_secrets": op8_secrets,
     "op9_warc": op9_warc,
+    "op10_ann": op10_ann,
 }
 ORACLES: dict[str, str] = {"op1_decontamination": OP1_SQL, "op3_sharding": OP3_SQL, "op6_substring_dedup": OP6_SQL, "op7_mixing": OP7_SQL, "op8_secrets": OP8_SQL, "op9_warc": OP9_SQL}
