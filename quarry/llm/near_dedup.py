@@ -6,8 +6,8 @@ least value, and a document is done after the first round that leaves no bin emp
 rounds at most, in about t ln t + n throws, and the share of equal coordinates of two sketches is concentrated about their
 similarity as that of t independent ones would be.
 
-Banding. The t coordinates make BANDS bands of ROWS. With 64 bands of 10, a pair at similarity 0.85 misses all bands with
-probability 8e-7, and one at 0.5 has a band in common in 6 % of cases. Documents with equal sets are one node. Within a
+Banding. The t coordinates make bands of as many rows as let a pair at the threshold miss all of them with probability
+MISS at most: 64 bands of 10 for 0.85 (8e-7), 80 bands of 8 for 0.8 (4e-7). Documents with equal sets are one node. Within a
 bucket only links to its smallest node are made, so a bucket of n documents gives n links, not n**2, and the links'
 components hold every candidate pair.
 
@@ -36,7 +36,7 @@ ship(__name__)
 
 WORDS = 5
 PERCENT = 85
-BANDS, ROWS = 64, 10
+COORDINATES, MISS = 640, 1e-6
 SLICE_BYTES = 1 << 20
 #: A bin of small components, or a block of a large one, holds about as many shingles and documents at most.
 BIN_SHINGLES, BLOCK_DOCS = 600_000, 512
@@ -128,14 +128,17 @@ def sketches(sets: np.ndarray, sizes: np.ndarray, t: int) -> np.ndarray:
     return out.reshape(n, t)
 
 
-def band_keys(sketch: np.ndarray) -> np.ndarray:
-    odd = _band_factors()
-    keys = (sketch.reshape(len(sketch), BANDS, ROWS) * odd).sum(axis=2, dtype=np.uint64)
-    return mixed(keys + STEP * np.arange(1, BANDS + 1, dtype=np.uint64)).view(np.int64)
+def band_rows(percent: int) -> int:
+    """Rows of a band: as many as the bound on missed pairs allows."""
+    same = percent / 100
+    return next(r for r in range(32, 0, -1) if r == 1 or (1 - same**r) ** (COORDINATES // r) <= MISS)
 
 
-def _band_factors() -> np.ndarray:
-    return np.random.default_rng(7).integers(0, 1 << 63, ROWS, dtype=np.uint64) * U(2) + U(1)
+def band_keys(sketch: np.ndarray, rows: int) -> np.ndarray:
+    n = COORDINATES // rows
+    odd = np.random.default_rng(7).integers(0, 1 << 63, rows, dtype=np.uint64) * U(2) + U(1)
+    keys = (sketch[:, : n * rows].reshape(len(sketch), n, rows) * odd).sum(axis=2, dtype=np.uint64)
+    return mixed(keys + STEP * np.arange(1, n + 1, dtype=np.uint64)).view(np.int64)
 
 
 def slices(texts: list[bytes]) -> Iterator[tuple[int, int]]:
@@ -152,23 +155,28 @@ def slices(texts: list[bytes]) -> Iterator[tuple[int, int]]:
 SIGNED = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("n_shingles", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
 
-def _signed(batches):
-    for batch in batches:
-        texts = batch.column("text").cast(pa.binary()).to_pylist()
-        ids, ths = batch.column("doc_id"), batch.column("th")
-        for a, b in slices(texts):
-            sets, sizes = shingle_sets(texts[a:b])
-            some = np.flatnonzero(sizes)
-            d1, d2 = np.zeros(b - a, np.uint64), np.zeros(b - a, np.uint64)
-            keys = np.empty((0, BANDS), np.int64)
-            if len(some):
-                first = (np.cumsum(sizes) - sizes)[some]
-                d1[some] = np.add.reduceat(mixed(sets + U(1)), first)
-                d2[some] = np.add.reduceat(mixed(sets * STEP + U(3)), first)
-                keys = band_keys(sketches(sets, sizes[some], BANDS * ROWS))
-            ends = np.concatenate(([0], np.cumsum(np.where(sizes > 0, BANDS, 0)))).astype(np.int32)
-            bands = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), ths.slice(a, b - a), pa.array(sizes.astype(np.int64)), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), bands], schema=SIGNED)
+def _signed(rows: int):
+    n_bands = COORDINATES // rows
+
+    def run(batches):
+        for batch in batches:
+            texts = batch.column("text").cast(pa.binary()).to_pylist()
+            ids, ths = batch.column("doc_id"), batch.column("th")
+            for a, b in slices(texts):
+                sets, sizes = shingle_sets(texts[a:b])
+                some = np.flatnonzero(sizes)
+                d1, d2 = np.zeros(b - a, np.uint64), np.zeros(b - a, np.uint64)
+                keys = np.empty((0, n_bands), np.int64)
+                if len(some):
+                    first = (np.cumsum(sizes) - sizes)[some]
+                    d1[some] = np.add.reduceat(mixed(sets + U(1)), first)
+                    d2[some] = np.add.reduceat(mixed(sets * STEP + U(3)), first)
+                    keys = band_keys(sketches(sets, sizes[some], COORDINATES), rows)
+                ends = np.concatenate(([0], np.cumsum(np.where(sizes > 0, n_bands, 0)))).astype(np.int32)
+                bands = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.ravel()))
+                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), ths.slice(a, b - a), pa.array(sizes.astype(np.int64)), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), bands], schema=SIGNED)
+
+    return run
 
 
 def components(edges: DataFrame, name: str) -> DataFrame:
@@ -284,7 +292,7 @@ def classes(docs: DataFrame, percent: int = PERCENT, doc_id: str = "doc_id", tex
     """Per row of ``docs``: ``doc_id, th, n_shingles, component_id, kept``."""
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     given = docs.select("doc_id", text_hash(F.col("text")).alias("th"), F.coalesce("text", F.lit("")).alias("text"))
-    signed = cut(given.mapInArrow(_signed, "doc_id long, th long, n_shingles long, d1 long, d2 long, bands array<long>"), "signed")
+    signed = cut(given.mapInArrow(_signed(band_rows(percent)), "doc_id long, th long, n_shingles long, d1 long, d2 long, bands array<long>"), "signed")
     able = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     sets = able.groupBy(F.col("d1").alias("s1"), F.col("d2").alias("s2")).agg(F.min(F.struct("doc_id", "th")).alias("first"), F.max("n_shingles").alias("n"))
     sets = cut(sets.select("s1", "s2", "first.*", "n").withColumnsRenamed({"doc_id": "node", "th": "node_th"}), "sets")

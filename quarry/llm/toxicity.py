@@ -193,6 +193,21 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
     return rows.mapInArrow(_scorer(model.weights.astype(np.float32).tobytes(), model.bias), "doc_id long, th long, score double")
 
 
+def clean_rows(docs: DataFrame, model: Model, least: float = 0.5, text: str = "text") -> DataFrame:
+    """``docs`` without the rows that score ``least`` or more; columns unchanged."""
+    weights, bias = model.weights.astype(np.float32).tobytes(), model.bias
+
+    def run(batches):
+        own, memo = Model(np.frombuffer(weights, np.float32).astype(np.float64), bias), {}
+        for batch in batches:
+            keep = []
+            for t in batch.column(text).to_pylist():
+                keep.append(bool(own.document_scores(*encode([t or ""], memo))[0] < least))
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def locate(docs: DataFrame, model: Model, least: float = 0.5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The offending sentences: ``doc_id, begin, end`` (code points), ``sentence, score`` of those at ``least`` or more."""
     weights, bias = model.weights.astype(np.float32).tobytes(), model.bias
