@@ -3,22 +3,18 @@
 from __future__ import annotations
 
 import sys
-import tempfile
-import uuid
 
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from quarry.plans.cuts import cut, new_path, release  # noqa: F401  part of what operators share
+
 #: Rows up to which a side is broadcast. The rows are narrow (at most ROW_BYTES), so the copy stays within a few MB.
 BROADCAST_ROWS = 50_000
 ROW_BYTES = 256
 
-_WRITTEN: dict[int, list[str]] = {}
-
-
 def ship(name: str) -> None:
     """Send the functions of module ``name`` to executors by value, so that they needn't have this package installed."""
     cloudpickle.register_pickle_by_value(sys.modules[name])
@@ -28,39 +24,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; where none is named (local runs, tests) a temporary one of this machine."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="quarry-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    path = f"{shared_folder(spark).rstrip('/')}/quarry-{name}-{uuid.uuid4().hex}"
-    _WRITTEN.setdefault(id(spark.sparkContext), []).append(path)
-    return path
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: later steps survive lost executors and recompute nothing."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema])).parquet(path)
-
-
-def release(spark: SparkSession) -> int:
-    """Delete what cut() wrote in this application; results that still read it must have been saved before."""
-    gone = 0
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    for path in _WRITTEN.pop(id(spark.sparkContext), []):
-        at = hadoop.Path(path)
-        gone += bool(at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True))
-    return gone
-
-
 def small(df: DataFrame, rows: int) -> DataFrame:
     """``df`` for broadcast if ``rows`` (counted by the caller) is within the bound; a plain side of a shuffled join beyond it."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
