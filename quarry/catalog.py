@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from quarry.plans import graph_queries, search_queries
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+QUERIES: dict = {}
+ORACLES: dict = {}
+for _m in (graph_queries, search_queries):
+    QUERIES |= _m.R.queries
+    ORACLES |= _m.R.oracles
