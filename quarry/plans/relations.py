@@ -125,7 +125,7 @@ SQL = {
       SELECT d.doc_id AS id, source AS name, concat_ws('/', lang, source, d.doc_id::VARCHAR) AS path, text AS body, lang AS scope, source AS file,
              EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND toxic = 1) AS copy FROM documents d""",
     "lines": "SELECT id, file, unnest(range(1, len(string_split(body, chr(10))) + 1)) AS line, unnest(string_split(body, chr(10))) AS text FROM docs",
-    "commits": "SELECT event_id AS hash, user_id AS person, epoch_ms(ts) AS at_ms, event_type AS path FROM events",
+    "commits": "SELECT event_id AS hash, user_id AS person, epoch_us(ts) // 1000 AS at_ms, event_type AS path FROM events",
     "before": "SELECT doc_id AS path, sha256(text) AS body_hash, strlen(text)::BIGINT AS size FROM documents",
     "after": """
       SELECT path, sha256(text) AS body_hash, strlen(text)::BIGINT AS size FROM (
