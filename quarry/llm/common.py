@@ -15,6 +15,7 @@ from quarry.plans.cuts import cut, new_path, release  # noqa: F401  part of what
 BROADCAST_ROWS = 50_000
 ROW_BYTES = 256
 
+
 def ship(name: str) -> None:
     """Send the functions of module ``name`` to executors by value, so that they needn't have this package installed."""
     cloudpickle.register_pickle_by_value(sys.modules[name])

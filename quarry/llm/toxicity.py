@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -64,8 +65,7 @@ def sentences(text: str) -> list[tuple[int, int]]:
 
 def encode(texts: list[str], memo: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(columns, the place of each sentence's first column, the number of sentences of each text)."""
-    cols: list[int] = []
-    starts, counts = [], []
+    cols, starts, counts = array("i"), array("q"), []
     for text in texts:
         low = text.lower()
         if len(low) != len(text):  # a few letters change their number when lowered; places must hold
@@ -73,10 +73,10 @@ def encode(texts: list[str], memo: dict) -> tuple[np.ndarray, np.ndarray, np.nda
         own = sentences(low)
         for a, b in own:
             starts.append(len(cols))
-            for w in set(WORD.findall(low, a, b)):
+            for w in dict.fromkeys(WORD.findall(low, a, b)):
                 cols.extend(feature_ids(w, memo))
         counts.append(len(own))
-    return np.array(cols, np.int64), np.array(starts, np.int64), np.array(counts, np.int64)
+    return np.frombuffer(cols, np.int32) if cols else np.empty(0, np.int32), np.array(starts, np.int64), np.array(counts, np.int64)
 
 
 @dataclass
@@ -101,14 +101,16 @@ class Model:
 
 def fit(texts: list[str], labels: np.ndarray, seed: int = 5) -> Model:
     """Minimise the log loss of the noisy-or by AdaGrad on the documents' labels, the rarer label weighted up."""
-    model = Model(np.zeros(1 << BITS), -5.0)
+    model = Model(np.zeros(1 << BITS), -5.0)  # the arrays below hold the sample once, in four bytes a column
     cols, starts, counts = encode(texts, {})
     if not counts.any():
         return model
     ends = np.append(starts[1:], len(cols))
-    holder = np.repeat(np.repeat(np.arange(len(counts)), counts), ends - starts)
-    rare = np.bincount(np.unique((holder << BITS) + cols) & ((1 << BITS) - 1), minlength=1 << BITS) < LEAST_DOCS
     first = np.cumsum(counts) - counts
+    docs_with = np.zeros(1 << BITS, np.int32)
+    for d in np.flatnonzero(counts):
+        docs_with[np.unique(cols[starts[first[d]] : ends[first[d] + counts[d] - 1]])] += 1
+    rare = docs_with < LEAST_DOCS
     squared, squared_bias = np.full(1 << BITS, 1e-3), 1.0
     rng = np.random.default_rng(seed)
     usable = np.flatnonzero(counts)
