@@ -194,12 +194,13 @@ def generic_rows(path: str, text: str) -> list[dict]:
     from bisect import bisect_left, bisect_right
 
     line = lambda k: bisect_left(breaks, k) + 1
+    reserved = WORDS if fam == "go" else WORDS - {"go", "defer", "select", "func", "fn", "package"}
     defs = []
     for pattern, kind in SHAPES[fam]:
         for m in re.finditer(pattern, clean, re.M):
             name = next(g for k, g in enumerate(m.groups(), 1) if g and m.re.groupindex.get("owner") != k and m.re.groupindex.get("args") != k)
             group = m.groupdict()
-            if name in WORDS:
+            if name in reserved:
                 continue
             end = clean.find("{", m.end())
             stop = clean.find("\n", m.end())
@@ -233,7 +234,7 @@ def generic_rows(path: str, text: str) -> list[dict]:
         named.append((d[0], d[1], base, d[0] + len(d[6].lstrip())))
     starts = [x[0] for x in named]
     for m in CALL.finditer(clean):
-        if m[2] in WORDS:
+        if m[2] in reserved:
             continue
         k = bisect_right(starts, m.start(2)) - 1
         if k >= 0 and named[k][0] <= m.start(2) < named[k][3]:
