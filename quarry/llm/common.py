@@ -25,6 +25,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def packed(docs: DataFrame, **own: Column) -> DataFrame:
+    """``docs`` with each row in one column ``row``, beside the columns ``own``: no name of theirs can clash with ours."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[c.alias(n) for n, c in own.items()])
+
+
+def unpacked(rows: DataFrame, docs: DataFrame, *more: Column) -> DataFrame:
+    """The columns of ``docs`` again, then ``more``."""
+    return rows.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns], *more)
+
+
 def small(df: DataFrame, rows: int) -> DataFrame:
     """``df`` for broadcast if ``rows`` (counted by the caller) is within the bound; a plain side of a shuffled join beyond it."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small, text_hash
+from .common import cut, packed, small, text_hash, unpacked
 
 WINDOW = 8
 MIN_ITEMS = 2
@@ -115,4 +115,5 @@ def report(docs: DataFrame, bench: DataFrame, window: int = WINDOW, min_items: i
 def clean_rows(docs: DataFrame, bench: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """``docs`` without the rows that are contaminated; columns unchanged."""
     bad = report(docs, bench, doc_id=doc_id, text=text, **options).filter("contaminated").select(F.col("doc_id").alias("bad_id"), F.col("th").alias("bad_th")).distinct()
-    return docs.join(bad, F.col(doc_id).eqNullSafe(F.col("bad_id")) & (text_hash(F.col(text)) == F.col("bad_th")), "left_anti")
+    rows = packed(docs, own_id=F.col(doc_id), own_th=text_hash(F.col(text)))
+    return unpacked(rows.join(bad, F.col("own_id").eqNullSafe(F.col("bad_id")) & (F.col("own_th") == F.col("bad_th")), "left_anti"), docs)

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, hash60, ranked, small, word_count
+from .common import cut, hash60, packed, ranked, small, unpacked, word_count
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -138,6 +138,7 @@ def mixed_rows(docs: DataFrame, block_words: int = BLOCK_WORDS, doc_id: str = "d
     times = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.floor(F.col("taken") / F.col("size") + 0.5)).cast("int")
     # rows equal in id and size are interchangeable by number only; sum over them and deal the copies out evenly
     got = got.groupBy(F.col("doc_id").alias("m_id"), F.col("size").alias("m_size")).agg(F.sum(times).alias("copies"), F.count(F.lit(1)).alias("same"))
-    both = docs.withColumn("m_words", size).alias("d").join(got, F.col(f"d.{doc_id}").eqNullSafe(F.col("m_id")) & (F.col("d.m_words") == F.col("m_size")))
+    rows = packed(docs, own_id=F.col(doc_id), own_words=size)
+    both = rows.join(got, F.col("own_id").eqNullSafe(F.col("m_id")) & (F.col("own_words") == F.col("m_size")))
     each = F.ceil(F.col("copies") / F.col("same")).cast("int")
-    return both.withColumn("m_turn", F.explode(F.array_repeat(F.lit(1), each))).select(*[F.col(f"d.`{c}`") for c in docs.columns])
+    return unpacked(both.withColumn("turn", F.explode(F.array_repeat(F.lit(1), each))), docs)

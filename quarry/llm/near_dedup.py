@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, ship, text_hash
+from .common import cut, packed, ship, text_hash, unpacked
 
 ship(__name__)
 
@@ -318,11 +318,8 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", pe
     found = cut(classes(docs, percent, doc_id, text), "classes")
     keep = found.filter("kept").groupBy(F.col("doc_id").alias("k_id")).agg(F.min("th").alias("k_th"), F.count(F.lit(1)).alias("k_n"))
     keep = cut(keep, "kept")
-    hit = F.col(doc_id).eqNullSafe(F.col("k_id")) & (F.col("k_id").isNull() | (text_hash(F.col(text)) == F.col("k_th")))
-    out = docs.join(keep, hit, "left_semi")
-    return out if keep.filter("k_n > 1 AND k_id IS NOT NULL").isEmpty() else once(out, doc_id)
-
-
-def once(rows: DataFrame, doc_id: str) -> DataFrame:
-    """One row of each id that is not null; ``rows`` may repeat some."""
-    return rows.filter(F.col(doc_id).isNotNull()).dropDuplicates([doc_id]).unionByName(rows.filter(F.col(doc_id).isNull()))
+    rows = packed(docs, own_id=F.col(doc_id), own_th=text_hash(F.col(text)))
+    out = rows.join(keep, F.col("own_id").eqNullSafe(F.col("k_id")) & (F.col("k_id").isNull() | (F.col("own_th") == F.col("k_th"))), "left_semi")
+    if not keep.filter("k_n > 1 AND k_id IS NOT NULL").isEmpty():  # rows that repeat
+        out = out.filter("own_id IS NOT NULL").dropDuplicates(["own_id"]).unionByName(out.filter("own_id IS NULL"))
+    return unpacked(out, docs)

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, hash60, small
+from .common import cut, hash60, packed, small, unpacked
 
 BITS = 60
 STEP = 20
@@ -54,10 +54,9 @@ def leaves_of(rows: DataFrame, base: int, limit: int) -> tuple[DataFrame, DataFr
 def shard_rows(docs: DataFrame, limit: int = LIMIT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with ``bytes, shard, shard_depth, shard_bytes``: each row's shard, none over ``limit`` bytes of text."""
     docs = docs.drop("bytes", "shard", "shard_depth", "shard_bytes")
-    own = docs.columns
     size = F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("long")
     identity = F.concat(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.lit("|"), F.coalesce(F.col(text), F.lit("")))
-    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("row"), hash60(identity).alias("key"), size.alias("bytes"))
+    keyed = packed(docs, key=hash60(identity), bytes=size)
     narrow, rest, placed = cut(keyed.select("key", "bytes"), "keys"), keyed, []
     for base in range(0, BITS, STEP):
         width = base + STEP
@@ -83,7 +82,7 @@ def shard_rows(docs: DataFrame, limit: int = LIMIT, doc_id: str = "doc_id", text
     if width == BITS and n:
         out = number_copies(out, limit)
         name = F.when(F.col("part_no").isNull(), name).otherwise(F.concat(name, F.lit("-"), F.col("part_no").cast("string")))
-    return out.select(*[F.col(f"row.`{c}`").alias(c) for c in own], "bytes", name.alias("shard"), F.col("depth").cast("long").alias("shard_depth"), F.col("shard_bytes").cast("long").alias("shard_bytes"))
+    return unpacked(out, docs, F.col("bytes"), name.alias("shard"), F.col("depth").cast("long").alias("shard_depth"), F.col("shard_bytes").cast("long").alias("shard_bytes"))
 
 
 def number_copies(placed: DataFrame, limit: int) -> DataFrame:
