@@ -29,19 +29,42 @@ def split_identifiers(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, "([A-Z]+)([A-Z][a-z]{2})", "$1 $2"), "([a-z0-9])([A-Z])", "$1 $2")
 
 
+def _cut(c: Column, n: int) -> Column:
+    return F.substring(c, F.lit(1), F.length(c) - n)
+
+
+def _singular(w: Column) -> Column:
+    n = F.length(w)
+    hissing = F.lit(False)
+    for end in ("ses", "xes", "zes", "ches", "shes"):
+        hissing = hissing | w.endswith(end)
+    single = ~(w.endswith("ss") | w.endswith("us") | w.endswith("is"))
+    many = F.when((n >= 5) & w.endswith("ies"), F.concat(_cut(w, 3), F.lit("y"))).when((n >= 5) & hissing, _cut(w, 2)).when((n >= 4) & single, _cut(w, 1))
+    return F.when(w.endswith("s"), many.otherwise(w)).otherwise(w)
+
+
+def _stem(w: Column) -> Column:
+    def undoubled(s):
+        last = F.substring(s, -1, 1)
+        return F.when((F.length(s) >= 4) & (last == F.substring(s, F.length(s) - 1, F.lit(1))) & last.isin(*DOUBLED), _cut(s, 1)).otherwise(s)
+
+    n = F.length(w)
+    return F.when(w.endswith("ing") & (n >= 6), undoubled(_cut(w, 3))).when(w.endswith("ed") & (n >= 5), undoubled(_cut(w, 2))).otherwise(w)
+
+
+def _without_e(w: Column) -> Column:
+    return F.when(w.endswith("e") & (F.length(w) >= 4), _cut(w, 1)).otherwise(w)
+
+
+def fold_all(words: Column) -> Column:
+    """Each word of an array folded: plurals, then -ing and -ed, then a final e. Every step leaves three letters or more. A pass
+    for each step, so that no step's expression is evaluated more than once."""
+    return F.transform(F.transform(F.transform(words, _singular), _stem), _without_e)
+
+
 def fold(term: Column) -> Column:
-    """One form for the regular inflections of a lower-case word: plurals, then -ing and -ed, then a final e. Every step
-    leaves three letters or more. Null stays null."""
-    cut = lambda c, n: F.substring(c, F.lit(1), F.length(c) - n)
-    plural = (
-        F.when(term.rlike("^.{2,}ies$"), F.concat(cut(term, 3), F.lit("y")))
-        .when(term.rlike("^.+(s|x|z|ch|sh)es$") & (F.length(term) >= 5), cut(term, 2))
-        .when(term.rlike("^.{3,}s$") & ~term.rlike("(ss|us|is)$"), cut(term, 1))
-        .otherwise(term)
-    )
-    stem = F.regexp_replace(plural, "^(.{3,})(ing|ed)$", "$1")
-    stem = F.when(stem != plural, F.regexp_replace(stem, f"^(.{{2,}})([{DOUBLED}])\\2$", "$1$2")).otherwise(plural)
-    return F.regexp_replace(stem, "^(.{3,})e$", "$1")
+    """One form for the regular inflections of a lower-case word. Null stays null."""
+    return fold_all(F.array(term))[0]
 
 
 def raw_terms(text: Column) -> Column:
@@ -52,7 +75,16 @@ def raw_terms(text: Column) -> Column:
 
 def terms(text: Column) -> Column:
     """The index terms of a text, in order. Null has none."""
-    return F.coalesce(F.transform(raw_terms(text), fold), F.array().cast("array<string>"))
+    return F.coalesce(fold_all(raw_terms(text)), F.array().cast("array<string>"))
+
+
+def terms_among(raw: Column, wanted: list[str]) -> Column:
+    """Those of an array of unfolded words whose folded form is wanted, folded. Folding keeps the first two letters, so only
+    words that begin like a wanted one are folded at all."""
+    if not wanted:
+        return F.array().cast("array<string>")
+    heads = sorted({w[:2] for w in wanted})
+    return F.filter(fold_all(F.filter(raw, lambda w: F.substring(w, 1, 2).isin(*heads))), lambda w: w.isin(*wanted))
 
 
 def query_terms(query: str) -> list[str]:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quarry.functions.text import query_terms, terms
+from quarry.functions.text import fold_all, query_terms, raw_terms, terms, terms_among
 from quarry.plans.cuts import cut
 
 #: Fixed values of the score: field weights, BM25, the penalty of copies, the graph's weight, floors and ratios.
@@ -26,17 +26,20 @@ def index_terms(docs: DataFrame) -> DataFrame:
     return docs.select("id", fields).select("id", "x.field", F.explode("x.terms").alias("term")).groupBy("id", "field", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def document_frequency(index: DataFrame) -> DataFrame:
-    """``term, df``: in how many documents, in any field."""
-    return index.groupBy("term", "id").agg(F.lit(1).alias("one")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+def document_frequency(docs: DataFrame) -> DataFrame:
+    """``term, df``: in how many documents, in any field. A document's words are made distinct where it lies, so the one shuffle
+    is of partial counts."""
+    raw = F.array_distinct(F.flatten(F.array(*[F.coalesce(raw_terms(F.col(f)), F.array().cast("array<string>")) for f in FIELDS])))
+    each = docs.select(raw.alias("raw")).select(F.explode(F.array_distinct(fold_all(F.col("raw")))).alias("term"))
+    return each.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
 def matches(docs: DataFrame, query: str) -> tuple[DataFrame, list[str]]:
     """Per document ``id, body_len`` and for the query's terms the counts in each field, as arrays in order of the terms."""
     q = query_terms(query)
-    lists = docs.select("id", *[terms(F.col(f)).alias(f) for f in FIELDS])
-    # one pass over a document's terms for each field keeps the query's only; then counting is over a few
-    few = lists.select("id", F.size("body").cast("long").alias("body_len"), *[F.filter(f, lambda t: t.isin(*q) if q else F.lit(False)).alias(f) for f in FIELDS])
+    raw = docs.select("id", *[F.coalesce(raw_terms(F.col(f)), F.array().cast("array<string>")).alias(f) for f in FIELDS])
+    # one pass over a document's words keeps those that fold to a query term; then counting is over a few
+    few = raw.select("id", F.size("body").cast("long").alias("body_len"), *[terms_among(F.col(f), q).alias(f) for f in FIELDS])
     same = lambda w: lambda t: t == w
     count = lambda f: F.array(*[F.size(F.filter(f, same(w))).cast("long") for w in q]) if q else F.array().cast("array<bigint>")
     return few.select("id", "body_len", *[count(f).alias(f"n_{f}") for f in FIELDS]), q
@@ -158,7 +161,7 @@ def best_window(lines: DataFrame, query: str, size: int = 7) -> DataFrame:
     """Per document the run of ``size`` lines that holds the most of the query's terms, the first of equals: ``id, start,
     hits``. ``lines (id, line, text)``."""
     q = query_terms(query)
-    n = lines.select("id", "line", F.size(F.filter(F.array_distinct(terms(F.col("text"))), lambda t: t.isin(*q))).cast("long").alias("k"))
+    n = lines.select("id", "line", F.size(F.array_distinct(terms_among(raw_terms(F.col("text")), q))).cast("long").alias("k"))
     # a line of k terms lends them to the windows that begin up to size - 1 lines before it
     lent = n.filter("k > 0").select("id", F.explode(F.sequence(F.greatest(F.lit(1).cast("long"), F.col("line") - (size - 1)), F.col("line"))).alias("start"), "k")
     sums = lent.groupBy("id", "start").agg(F.sum("k").alias("hits"))

@@ -47,7 +47,7 @@ FIELDS = "fields AS (SELECT id, 'name' AS field, name AS t FROM docs UNION ALL S
 
 @R.query(with_relations(f"WITH {FIELDS}, {folded_ctes('fields')}, tf AS (SELECT DISTINCT id, term FROM terms) SELECT term, count(*) AS df FROM tf GROUP BY term", "docs"))
 def text_document_frequency(r: Relations):
-    return S.document_frequency(S.index_terms(r.docs()))
+    return S.document_frequency(r.docs())
 
 
 @R.query(with_relations(f"WITH {FIELDS}, {folded_ctes('fields')} SELECT id, field, term, count(*) AS tf FROM terms GROUP BY ALL", "docs"))
