@@ -304,9 +304,9 @@ def index(vectors: DataFrame, k: int = K, shard_rows: int = SHARD_ROWS, vec_id:
     """A row for each shard, its graph in flat arrays. Every valid row is in it."""
     rows = valid(vectors, vec_id, embedding)
     # the smallest k + 1 ids of each distinct vector, in two steps so that copies in great number are thinned where they lie
-    own = rows.select("vec_id", "v", F.xxhash64("v").alias("h"), F.pmod(F.xxhash64("vec_id"), F.lit(64)).alias("salt"))
+    own = rows.select("vec_id", "v").distinct().select("vec_id", "v", F.xxhash64("v").alias("h"), F.pmod(F.xxhash64("vec_id"), F.lit(64)).alias("salt"))
     smallest = lambda c: F.slice(F.array_sort(F.array_distinct(c)), 1, k + 1)
-    near = own.withColumn("at", F.row_number().over(Window.partitionBy("v", "h", "salt").orderBy("vec_id"))).filter(F.col("at") <= 2 * k + 2)
+    near = own.withColumn("at", F.row_number().over(Window.partitionBy("v", "h", "salt").orderBy("vec_id"))).filter(F.col("at") <= k + 1)
     nodes = near.groupBy("v", "h", "salt").agg(smallest(F.collect_list("vec_id")).alias("ids"))
     nodes = cut(nodes.groupBy("v", "h").agg(smallest(F.flatten(F.collect_list("ids"))).alias("ids")), "nodes")
     n = nodes.count()
