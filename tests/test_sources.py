@@ -131,3 +131,25 @@ def test_as_of(spark):
     right = spark.createDataFrame([("k", 2, "a"), ("k", 5, "b"), ("k", 9, "c")], "key string, at long, v string")
     got = {(r.key, r.at): r.v_as_of for r in J.as_of(left, right, "key", "at", "v", 4).collect()}
     assert got == {("k", 5): "b", ("k", 50): "c", ("k", 1): None, ("z", 9): None}
+
+
+def test_report_steps():
+    from quarry.operators import retrieval as T
+
+    assert T.shortest_loop([("a", "b"), ("b", "c"), ("c", "a"), ("b", "a")], "a") == ["a", "b", "a"]
+    assert T.shortest_loop([("a", "b")], "a") == []
+    assert T.coarsened({"a/b/c": 1, "a/b/d": 2, "a/e": 3, "f": 4}, 2) in ({"a": 6, "f": 4}, {"a/b": 3, "a": 3, "f": 4}) and sum(T.coarsened({"a/b": 1, "c/d": 2, "e": 3}, 1).values()) == 6
+    assert [T.limited([1, 2, 3], x) for x in (float("nan"), 1.9, -1, float("inf"), 0)] == [[], [1], [1, 2], [1, 2, 3], []]
+    hits = [{"id": "a", "code": "x" * 4000, "doc": None}, {"id": "b", "code": "y" * 4000, "doc": "z"}]
+    out = T.cut_to_budget(hits, 700)
+    assert out[0]["id"] == "a" and sum(len(h.get("code") or "") for h in out) <= 2800
+    assert T.relevant(["cache", "it"], ["cache", "server"], False) and not T.relevant(["it"], ["it"], False)
+
+
+def test_interfaces(spark):
+    from quarry.operators import retrieval as T
+
+    cols = "owner string, dir string, method string, arity int, variadic boolean, results int, exported boolean"
+    types = spark.createDataFrame([("A", "p", "Save", 1, False, 1, True), ("A", "p", "hid", 0, False, None, False), ("B", "q", "Save", 1, False, 2, True), ("B", "q", "hid", 0, False, 0, False)], cols)
+    asks = spark.createDataFrame([("Saver", "p", "Save", 1, False, 1, True), ("Hider", "p", "hid", 0, False, 0, False), ("Vague", "p", "x", None, False, None, True)], cols)
+    assert {(r.type, r.interface) for r in T.satisfied(types, asks).collect()} == {("A", "Saver"), ("A", "Hider")}
