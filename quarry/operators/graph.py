@@ -196,7 +196,7 @@ def pagerank(edges: DataFrame, seeds: DataFrame, rounds: int = 25, restart: floa
         dangling = mass.join(lonely.select("id"), "id", "left_semi").agg(F.coalesce(F.sum("m"), F.lit(0.0)).alias("lost"))
         given = start.join(F.broadcast(dangling)).select("id", (F.col("r") * (F.lit(restart) + (1 - restart) * F.col("lost"))).alias("m"))
         mass = moved.unionByName(given).groupBy("id").agg(F.sum("m").alias("m"))
-        if k % every == every - 1:
+        if k % every == every - 1 or k == rounds - 1:
             mass = cut(mass, "mass")
     top = mass.agg(F.max("m").alias("top"))
     return mass.join(F.broadcast(top)).select("id", (F.col("m") / F.col("top")).alias("rank"))
