@@ -29,3 +29,19 @@ def test_order_of_partitions_does_not_matter(spark, sf):
     a = G.dedup_edges(r.edges()).collect()
     b = G.dedup_edges(r.edges().repartition(7, "ord")).collect()
     assert sorted(a) == sorted(b)
+
+
+def test_entry_without_its_optional_part(monkeypatch):
+    import importlib
+    import sys
+
+    import __spark_entry__ as e
+
+    for m in [m for m in sys.modules if m.startswith("quarry.llm") or m == "corpus_pipeline"]:
+        monkeypatch.delitem(sys.modules, m)
+    monkeypatch.setitem(sys.modules, "quarry.llm", None)
+    monkeypatch.setitem(sys.modules, "corpus_pipeline", None)
+    monkeypatch.delattr("quarry.llm", raising=False)
+    assert set(importlib.reload(e).queries()) == set(catalog.QUERIES)
+    monkeypatch.undo()
+    importlib.reload(e)
