@@ -62,7 +62,9 @@ def candidates(docs: DataFrame, wins: DataFrame, n_wins: int) -> DataFrame:
         ones = tokens.select("doc_id", "th", F.size("w").alias("n"), F.posexplode(F.transform("w", lambda x: F.xxhash64(F.lit("one"), x))).alias("at", "h"))
         seen = seen.unionByName(ones)
     known = shingles.select(F.col("sh").alias("k")).distinct()
-    counts = seen.select("h").join(small(known, n_wins * WINDOW), F.col("h") == F.col("k"), "left_semi").groupBy("h").agg(F.count(F.lit(1)).alias("freq"))
+    # one pass over all texts: the places of shingles that some window has, for counting and for joining
+    seen = cut(seen.join(small(known, n_wins * WINDOW), F.col("h") == F.col("k"), "left_semi"), "places")
+    counts = seen.groupBy("h").agg(F.count(F.lit(1)).alias("freq"))
     # windows with a shingle that no document holds drop out here
     rare = shingles.join(counts, F.col("sh") == F.col("h"), "left").groupBy("win").agg(F.min(F.struct(F.coalesce("freq", F.lit(0)).alias("freq"), "off", "sh")).alias("best"))
     prefix = rare.filter("best.freq > 0").select(F.col("win").alias("p_win"), F.col("best.off").alias("off"), F.col("best.sh").alias("sh"))
