@@ -91,6 +91,31 @@ def folded_scopes(members: DataFrame, least: int = LEAST_SCOPE) -> DataFrame:
     return n.groupBy(F.when(F.col("n") >= least, F.col("scope")).otherwise("").alias("scope")).agg(F.sum("n").alias("n"))
 
 
+def split_folders(files: DataFrame) -> DataFrame:
+    """``dir, files``: files by first folder, the root's as ``(root)``; a folder with more than 60 % of all is split a level deeper."""
+    parts = F.split("path", "/")
+    depth = F.size(parts)
+    first = F.when(depth > 1, F.concat(parts[0], F.lit("/"))).otherwise("(root)")
+    second = F.when(depth > 2, F.concat(parts[0], F.lit("/"), F.get(parts, F.lit(1)), F.lit("/"))).otherwise(first)
+    rows = files.select("path").distinct().select(first.alias("first"), second.alias("second"))
+    n = rows.groupBy("first", "second").agg(F.count(F.lit(1)).alias("n"))
+    by_first = n.groupBy(F.col("first").alias("f")).agg(F.sum("n").alias("own"))
+    total = n.agg(F.sum("n").alias("total"))
+    both = n.join(by_first, F.col("first") == F.col("f")).join(F.broadcast(total))
+    key = F.when(F.col("own") * 10 > F.col("total") * 6, F.col("second")).otherwise(F.col("first"))
+    return both.groupBy(key.alias("dir")).agg(F.sum("n").alias("files"))
+
+
+def symbol_search(nodes: DataFrame, degree: DataFrame, text: str, n: int = 20) -> DataFrame:
+    """The ``n`` symbols a text finds: equal names, then names that begin with it, then names that hold it; copies behind, then by
+    degree, name and id. ``nodes (id, name, copy)``, ``degree (id, in_degree)``."""
+    low, t = F.lower("name"), text.lower()
+    cls = F.when(low == t, 0).when(low.startswith(t), 1).when(low.contains(t), 2)
+    rows = nodes.withColumn("match", cls.cast("long")).filter("match IS NOT NULL").join(degree.withColumnRenamed("id", "d_id"), F.col("id") == F.col("d_id"), "left")
+    rows = rows.withColumn("degree", F.coalesce("in_degree", F.lit(0)).cast("long"))
+    return rows.orderBy("match", "copy", F.desc("degree"), "name", "id").limit(n).select("id", "name", "match", "degree")
+
+
 def freshness(indexed: DataFrame, present: DataFrame) -> DataFrame:
     """One row: files, and how many of them the index lacks."""
     have = indexed.select(F.col("path").alias("i_path")).distinct().withColumn("i", F.lit(1))
