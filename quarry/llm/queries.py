@@ -104,7 +104,7 @@ _SPACE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 OP6_SQL = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 p AS (SELECT doc_id, unnest(range(1, len(ps) + 1)) AS k, unnest(ps) AS p FROM (
-        SELECT doc_id, string_split(regexp_replace(t, '([.!?]+[ \\t\\n\\x0b\\x0c\\r]+|\\n[ \\t\\n\\x0b\\x0c\\r]*)', '\\1' || chr(1), 'g'), chr(1)) AS ps FROM d)),
+        SELECT doc_id, string_split(regexp_replace(t, '([.!?,;:]+[ \\t\\n\\x0b\\x0c\\r]+|\\n[ \\t\\n\\x0b\\x0c\\r]*)', '\\1' || chr(1), 'g'), chr(1)) AS ps FROM d)),
 s AS (SELECT doc_id, k, trim(p, {_SPACE}) AS s FROM p WHERE trim(p, {_SPACE}) <> ''),
 r AS (SELECT doc_id, k, lead(k) OVER w AS k2, s || chr(31) || lead(s) OVER w AS run, length(s) + length(lead(s) OVER w) AS n FROM s WINDOW w AS (PARTITION BY doc_id ORDER BY k)),
 c AS (SELECT *, min(doc_id) OVER (PARTITION BY run) AS first, max(doc_id) OVER (PARTITION BY run) AS last, min(k) OVER (PARTITION BY run, doc_id) AS k0 FROM r WHERE n >= {substring_dedup.LEAST}),

@@ -1,7 +1,8 @@
 """Substring dedup by sliding sentence spans.
 
-A sentence ends after a run of . ! ? and white space, or after a line break. Every run of ``RUN`` consecutive sentences with
-``LEAST`` characters or more is hashed (128 bits). The hashes are joined over the whole corpus: the first occurrence of a
+A sentence ends after a run of . ! ? , ; : and white space, or after a line break: clauses count as sentences, so that a
+passage cut out of the middle of others still holds whole ones. Every run of ``RUN`` consecutive sentences with ``LEAST``
+characters or more is hashed (128 bits). The hashes are joined over the whole corpus: the first occurrence of a
 run, by document id and place, stays; each sentence covered by any other occurrence is removed. Within a document only the
 first of equal runs goes into the join, so a document counts once for each run; the join itself sees, for each hash, a count
 and the smallest id, pre-aggregated before the shuffle, so a passage in a third of all documents is a partial count in
@@ -30,7 +31,7 @@ ship(__name__)
 RUN = 2
 LEAST = 40
 SPACE = " \t\n\x0b\x0c\r"
-BREAK = re.compile(r"[.!?]+[ \t\n\x0b\x0c\r]+|\n[ \t\n\x0b\x0c\r]*")
+BREAK = re.compile(r"[.!?,;:]+[ \t\n\x0b\x0c\r]+|\n[ \t\n\x0b\x0c\r]*")
 #: The largest long stands for a null id.
 LAST = (1 << 63) - 1
 
