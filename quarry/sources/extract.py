@@ -151,7 +151,7 @@ USES = re.compile(r"(?i)\b(from|join|into|update|references)\s+([A-Za-z_\"][\w.\
 
 
 def sql_rows(path: str, text: str) -> list[dict]:
-    out, clean, at = [], blanked(text, "--", nested=True, quotes="'\""), 0
+    out, clean = [], blanked(text, "--", nested=True, quotes="'\"")
     line = lambda k: clean.count("\n", 0, k) + 1
     for statement in re.finditer(r"[^;]*;?", clean):
         body = statement[0]
@@ -168,7 +168,6 @@ def sql_rows(path: str, text: str) -> list[dict]:
             target = u[2].replace('"', "")
             if target.lower() not in with_names and target.lower() not in ("select", "only", "lateral", "set"):
                 out.append({"record": "intent", "base": source, "relation": "references", "target": target, "line": line(statement.start() + u.start())})
-        at = statement.end()
     return out
 
 
