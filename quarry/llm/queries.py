@@ -36,7 +36,14 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document without the sentences that it repeats: ``doc_id, n_sentences, n_repeated, n_removed, clean_sha256``."""
+    """Every document without the sentences that it repeats: ``doc_id, n_sentences, n_repeated, n_removed, clean_sha256``.
+    Runs of two, as in the SQL; ``op6_substring_dedup_grown`` finds the rest."""
+    out = substring_dedup.strip(table(spark, sf_dir, "documents"), pairs=True)
+    return out.select("doc_id", "n_sentences", "n_repeated", "n_removed", "clean_sha256")
+
+
+def op6_substring_dedup_grown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with runs that grow to the least length and long sentences in pieces, which SQL can't cut."""
     out = substring_dedup.strip(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_sentences", "n_repeated", "n_removed", "clean_sha256")
 
@@ -204,6 +211,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_toxicity": op4_toxicity,
     "op5_near_dedup": op5_near_dedup,
     "op6_substring_dedup": op6_substring_dedup,
+    "op6_substring_dedup_grown": op6_substring_dedup_grown,
     "op7_mixing": op7_mixing,
     "op8_secrets": op8_secrets,
     "op9_warc": op9_warc,
