@@ -114,10 +114,27 @@ def ranks(hits: DataFrame, by: str, top: int) -> DataFrame:
     return hits.withColumn("pos", F.row_number().over(w).cast("long")).filter(F.col("pos") <= top)
 
 
-def reciprocal(hits: DataFrame, top: int = 100) -> DataFrame:
-    """Reciprocal-rank fusion over scopes that take part: sum of 1 / (60 + position), over the largest sum."""
+def all_ranks(hits: DataFrame, by: str) -> DataFrame:
+    """``hits`` with ``pos`` (from 1) within ``by``, all of them: dealt by range and numbered range by range, so that a group
+    with most of the rows isn't one task's."""
+    order = [F.desc("score"), F.asc("id")]
+    dealt = cut(hits.repartitionByRange(F.col(by), *order).withColumn("range_no", F.spark_partition_id()), "ranges")
+    # one row a range and group: at most as many as shuffle partitions and groups together
+    ahead = Window.partitionBy("r_by").orderBy("r_no").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = dealt.groupBy(F.col(by).alias("r_by"), F.col("range_no").alias("r_no")).agg(F.count(F.lit(1)).alias("n"))
+    ranges = ranges.select("r_by", "r_no", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("r_n"))
+    within = Window.partitionBy(by, "range_no").orderBy(*order)
+    out = dealt.withColumn("k", F.row_number().over(within)).join(ranges, F.col(by).eqNullSafe(F.col("r_by")) & (F.col("range_no") == F.col("r_no")))
+    return out.withColumn("pos", (F.col("k") + F.col("r_n")).cast("long")).drop("range_no", "r_by", "r_no", "r_n", "k")
+
+
+def reciprocal(hits: DataFrame, top: int | None = None) -> DataFrame:
+    """Reciprocal-rank fusion over scopes that take part: sum of 1 / (60 + position), over the largest sum. All positive hits
+    are fused, or with ``top`` the first ``top`` of each scope."""
+    hits = hits.filter("score > 0")
     open_ = scope_gate(hits).filter("takes_part").select("scope")
-    own = ranks(hits.join(open_, "scope", "left_semi"), "scope", top)
+    own = hits.join(open_, "scope", "left_semi")
+    own = ranks(own, "scope", top) if top else all_ranks(own, "scope")
     fused = own.groupBy("id").agg(F.sum(1.0 / (RRF + F.col("pos"))).alias("s"), F.min("pos").alias("pos"))
     return fused.join(F.broadcast(fused.agg(F.max("s").alias("m")))).select("id", "pos", (F.col("s") / F.col("m")).alias("fused"))
 

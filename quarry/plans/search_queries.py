@@ -115,6 +115,13 @@ GATE = HITS + ", open AS (SELECT scope FROM hits GROUP BY scope HAVING max(score
 @R.query(with_relations(GATE + """, ranked AS (SELECT id, row_number() OVER (PARTITION BY scope ORDER BY score DESC, id) AS pos FROM hits WHERE scope IN (FROM open)),
   f AS (SELECT id, min(pos) AS pos, sum(1.0::DOUBLE / (60 + pos)) AS s FROM ranked WHERE pos <= 100 GROUP BY id) SELECT id, pos, round(s / max(s) OVER (), 6) AS fused FROM f""", "docs"))
 def search_rrf(r: Relations):
+    """The first 100 of each scope, as in the SQL; ``search_rrf_full`` fuses all hits."""
+    return S.reciprocal(hits(r), top=100).select("id", "pos", F.round("fused", 6).alias("fused"))
+
+
+@R.query(with_relations(GATE + """, ranked AS (SELECT id, row_number() OVER (PARTITION BY scope ORDER BY score DESC, id) AS pos FROM hits WHERE scope IN (FROM open) AND score > 0),
+  f AS (SELECT id, min(pos) AS pos, sum(1.0::DOUBLE / (60 + pos)) AS s FROM ranked GROUP BY id) SELECT id, pos, round(s / max(s) OVER (), 6) AS fused FROM f""", "docs"))
+def search_rrf_full(r: Relations):
     return S.reciprocal(hits(r)).select("id", "pos", F.round("fused", 6).alias("fused"))
 
 

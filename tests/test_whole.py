@@ -6,6 +6,7 @@ import pytest
 
 from quarry import catalog
 from quarry.operators import graph as G
+from quarry.operators import search as S
 from quarry.plans.relations import Relations
 
 
@@ -29,3 +30,16 @@ def test_pagerank_runs_all_rounds(spark, sf):
     got = {x.id: x.rank for x in catalog.QUERIES["graph_pagerank_full"](spark, sf).collect()}
     top = max(mass.values())
     assert got == pytest.approx({x: m / top for x, m in mass.items()}, abs=2e-6)
+
+
+def test_reciprocal_fuses_every_hit(spark):
+    rows = [(k, "big", 1000.0 - k // 3) for k in range(700)] + [(k, "small", 900.0 - k) for k in range(0, 700, 5)] + [(k, "weak", 1.0) for k in range(9)] + [(999, "big", 0.0)]
+    want, first = collections.defaultdict(float), {}
+    for scope in ("big", "small"):
+        own = sorted((-score, k) for k, at, score in rows if at == scope and score > 0)
+        for pos, (_, k) in enumerate(own, 1):
+            want[k] += 1 / (60 + pos)
+            first[k] = min(pos, first.get(k, pos))
+    got = {r.id: (r.pos, r.fused) for r in S.reciprocal(spark.createDataFrame(rows, "id long, scope string, score double").repartition(7)).collect()}
+    assert {k: pos for k, (pos, _) in got.items()} == first
+    assert {k: fused for k, (_, fused) in got.items()} == pytest.approx({k: v / max(want.values()) for k, v in want.items()})
