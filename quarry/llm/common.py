@@ -11,9 +11,11 @@ from pyspark.sql.window import Window
 
 from quarry.plans.cuts import cut, new_path, release  # noqa: F401  part of what operators share
 
-#: Rows up to which a side is broadcast. The rows are narrow (at most ROW_BYTES), so the copy stays within a few MB.
-BROADCAST_ROWS = 50_000
+#: Bytes up to which a side is broadcast, as rows (counted by the caller) times what a row takes in a hash table.
+BROADCAST_BYTES = 32 * 1024 * 1024
 ROW_BYTES = 256
+#: Bits of the filter that stands in for a set of hashes too large to be broadcast: 16 MB of them.
+FILTER_BITS = 1 << 27
 
 
 def ship(name: str) -> None:
@@ -35,9 +37,25 @@ def unpacked(rows: DataFrame, docs: DataFrame, *more: Column) -> DataFrame:
     return rows.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns], *more)
 
 
-def small(df: DataFrame, rows: int) -> DataFrame:
-    """``df`` for broadcast if ``rows`` (counted by the caller) is within the bound; a plain side of a shuffled join beyond it."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def small(df: DataFrame, rows: int, row_bytes: int = ROW_BYTES) -> DataFrame:
+    """``df`` for broadcast if its ``rows`` (counted by the caller) take no more than the bound; a plain side of a shuffled join
+    beyond it."""
+    return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
+
+
+def among(rows: DataFrame, hashed: str, keys: DataFrame, key: str, n: int) -> DataFrame:
+    """``rows`` whose long ``hashed`` is one of the ``n`` (counted by the caller) of ``keys``. A set too large for broadcast is
+    stood in for by a bitmap of bounded size, which leaves few others to the shuffled join."""
+    narrow = keys.select(F.col(key).alias("among_key")).distinct()
+    if n * 40 > BROADCAST_BYTES:
+        place = F.pmod(F.col("among_key"), F.lit(FILTER_BITS))
+        marks = narrow.select(F.bitmap_bucket_number(place).alias("bucket"), F.bitmap_bit_position(place).alias("bit"))
+        marks = marks.groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("marks"))  # FILTER_BITS / 2**15 rows of 4 KB
+        own = F.pmod(F.col(hashed), F.lit(FILTER_BITS))
+        byte = F.conv(F.hex(F.expr(f"substring(marks, cast(bitmap_bit_position(pmod({hashed}, {FILTER_BITS}L)) div 8 as int) + 1, 1)")), 16, 10).cast("int")
+        bit = byte.bitwiseAND(F.expr(f"shiftleft(1, cast(bitmap_bit_position(pmod({hashed}, {FILTER_BITS}L)) % 8 as int))"))
+        rows = rows.join(F.broadcast(marks), F.bitmap_bucket_number(own) == F.col("bucket")).filter(bit != 0).drop("bucket", "marks")
+    return rows.join(small(narrow, n, 40), F.col(hashed) == F.col("among_key"), "left_semi")
 
 
 def text_hash(text: Column) -> Column:

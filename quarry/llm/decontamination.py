@@ -5,8 +5,9 @@ an item, or the whole item if it has fewer. To hold a window, a document must ho
 words) of it, so one necessary shingle, the rarest in the corpus, is its prefix: only documents' shingles that are some
 window's prefix are joined. A match fixes where the window would begin; the length bound (the document has words enough)
 and the positional bound (it begins at or after the first word) are applied at once, and what is left is verified word by
-word on the document itself. Candidates are found on Unicode lower case, of which the ASCII one is a refinement, so none
-is missed; only documents with candidates pay for the exact lower case.
+word on the document itself. Candidates are found on words lower-cased by Unicode one at a time, on both sides: words that are
+equal once A-Z are lower-cased stay equal, whatever stands around them, so none is missed (lower-casing whole texts would
+miss some: a capital sigma's small letter depends on what follows). Only documents with candidates pay for the exact case.
 
 Nulls: a null text has no words, a null id is an id like any other. Items without words have no window; items that repeat
 or share windows are all counted. Rows that repeat give equal rows. Empty tables give no rows, or zero counts. Very long
@@ -18,17 +19,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, packed, small, text_hash, unpacked
+from .common import among, cut, packed, small, text_hash, unpacked
 
 WINDOW = 8
 MIN_ITEMS = 2
 SPANS = "array<struct<begin:int,wlen:int,win:bigint>>"
-#: What lies between words (fixed values: all ASCII but digits and letters)
-GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What lies between words (fixed values: all ASCII but digits and letters), whether or not A-Z are lower-cased yet
+GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
-def words(lowered: Column) -> Column:
-    return F.coalesce(F.filter(F.split(lowered, GAP), lambda w: w != ""), F.array().cast("array<string>"))
+def words(text: Column) -> Column:
+    return F.coalesce(F.filter(F.split(text, GAP), lambda w: w != ""), F.array().cast("array<string>"))
 
 
 def ascii_lower(text: Column) -> Column:
@@ -52,8 +53,8 @@ def windows_of(bench: DataFrame, window: int, item_id: str, text: str) -> tuple[
 
 def candidates(docs: DataFrame, wins: DataFrame, n_wins: int) -> DataFrame:
     """``doc_id, th, begin, win, wtext, wlen`` where a prefix and both bounds agree. ``docs``: doc_id, text."""
-    tokens = docs.filter(F.col("text").isNotNull()).select("doc_id", text_hash(F.col("text")).alias("th"), words(F.lower("text")).alias("w"))
-    single = F.xxhash64(F.lit("one"), "wtext")
+    tokens = docs.filter(F.col("text").isNotNull()).select("doc_id", text_hash(F.col("text")).alias("th"), F.transform(words(F.col("text")), F.lower).alias("w"))
+    single = F.xxhash64(F.lit("one"), F.lower("wtext"))
     shingles = wins.select("win", "wlen", "wtext", F.split("wtext", " ").alias("w"))
     shingles = shingles.select("win", "wlen", "wtext", F.posexplode(F.when(F.size("w") > 1, pairs(F.transform("w", F.lower))).otherwise(F.array(single))).alias("off", "sh"))
     shingles = cut(shingles, "shingles")
@@ -61,9 +62,8 @@ def candidates(docs: DataFrame, wins: DataFrame, n_wins: int) -> DataFrame:
     if not wins.filter("wlen = 1").isEmpty():
         ones = tokens.select("doc_id", "th", F.size("w").alias("n"), F.posexplode(F.transform("w", lambda x: F.xxhash64(F.lit("one"), x))).alias("at", "h"))
         seen = seen.unionByName(ones)
-    known = shingles.select(F.col("sh").alias("k")).distinct()
     # one pass over all texts: the places of shingles that some window has, for counting and for joining
-    seen = cut(seen.join(small(known, n_wins * WINDOW), F.col("h") == F.col("k"), "left_semi"), "places")
+    seen = cut(among(seen, "h", shingles, "sh", shingles.count()), "places")
     counts = seen.groupBy("h").agg(F.count(F.lit(1)).alias("freq"))
     # windows with a shingle that no document holds drop out here
     rare = shingles.join(counts, F.col("sh") == F.col("h"), "left").groupBy("win").agg(F.min(F.struct(F.coalesce("freq", F.lit(0)).alias("freq"), "off", "sh")).alias("best"))
@@ -84,7 +84,7 @@ def scan(docs: DataFrame, bench: DataFrame, window: int = WINDOW, doc_id: str =
     # a document has a bounded number of candidates for each of its words: those windows that share a prefix
     found = found.groupBy(F.col("doc_id").alias("c_id"), F.col("th").alias("c_th")).agg(F.collect_set(F.struct("begin", "wlen", "win", "wtext")).alias("c"))
     both = docs.withColumn("th", text_hash(F.col("text"))).join(found, F.col("doc_id").eqNullSafe(F.col("c_id")) & (F.col("th") == F.col("c_th")), "left")
-    both = both.select("doc_id", "th", "c", words(F.when(F.col("c").isNull(), F.lower("text")).otherwise(ascii_lower(F.col("text")))).alias("w"))
+    both = both.select("doc_id", "th", "c", words(F.when(F.col("c").isNull(), F.col("text")).otherwise(ascii_lower(F.col("text")))).alias("w"))
     true = F.filter("c", lambda x: F.array_join(F.slice(F.col("w"), x["begin"] + 1, x["wlen"]), " ") == x["wtext"])
     hits = F.array_sort(F.transform(true, lambda x: F.struct(x["begin"], x["wlen"], x["win"])))
     return both.select("doc_id", "th", F.size("w").cast("long").alias("n_words"), F.coalesce(hits.cast(SPANS), F.array().cast(SPANS)).alias("hits")), owners
