@@ -177,17 +177,17 @@ WITH d AS (
   WHERE regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Z]') AND regexp_matches(value, '[a-z]')
     AND NOT EXISTS (SELECT 1 FROM base WHERE base.doc_id = b.doc_id AND b.start < base.stop AND base.start < b.stop)
 ), every AS (SELECT * FROM base UNION ALL SELECT * FROM bare),
-owners AS (SELECT value, count(DISTINCT owner) AS n_owners FROM every JOIN d USING (doc_id) GROUP BY value),
-judged AS (SELECT *, ['assign', 'access', 'hex', 'owned'][kind + 1] || ':' || start || ':' || stop AS item FROM every JOIN owners USING (value) WHERE kind < 3 OR n_owners = 1),
+owners AS (SELECT value, count(DISTINCT doc_id) AS n_repos, count(DISTINCT owner) >= {secrets.EXAMPLE_OWNERS} OR count(DISTINCT doc_id) >= {secrets.EXAMPLE_REPOS} AS wide FROM every JOIN d USING (doc_id) GROUP BY value),
+judged AS (SELECT *, ['assign', 'access', 'hex', 'owned'][kind + 1] || ':' || start || ':' || stop AS item FROM every JOIN owners USING (value) WHERE kind < 3 OR NOT wide),
 per_doc AS (
   SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
          string_agg(item, ',' ORDER BY start, kind) FILTER (kind < 3) AS base, string_agg(item, ',' ORDER BY start, kind) AS spans,
-         count(*) FILTER (kind = 3) AS n_owned, count(*) FILTER (n_owners < {secrets.EXAMPLE_OWNERS}) AS n_live,
-         count(*) FILTER (n_owners >= {secrets.EXAMPLE_OWNERS}) AS n_example
+         count(*) FILTER (kind = 3) AS n_owned, count(*) FILTER (NOT wide) AS n_live,
+         count(*) FILTER (wide) AS n_example, max(n_repos) AS most_repos
   FROM judged GROUP BY doc_id)
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
        sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
-       coalesce(n_owned, 0) AS n_owned, coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example
+       coalesce(n_owned, 0) AS n_owned, coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example, coalesce(most_repos, 0) AS most_repos
 FROM d LEFT JOIN per_doc USING (doc_id)
 """
 

@@ -2,8 +2,9 @@
 
 Candidates are found by pattern in whole texts: the base kinds assign, access and hex, and bare tokens (long runs that mix
 upper case, lower case and digits) outside every base span. Their SHA-256 digests are aggregated over the corpus by
-distinct repositories and owners: a value seen with ``EXAMPLE_OWNERS`` owners or more is a widely copied example, one with
-fewer looks live. Base spans always stay; a bare token is only taken for a secret (kind ``owned``) if a single owner has it.
+distinct repositories and owners: a value that ``EXAMPLE_OWNERS`` owners or ``EXAMPLE_REPOS`` repositories have is a widely
+copied example, any other is its owner's and looks live. Base spans always stay; a bare token is only taken for a secret (kind
+``owned``) if it looks live.
 
 Places come from the text itself: each match is wrapped in marks by one regular-expression pass, and lengths between marks
 are summed. Marks that a text already holds are masked by another control character first, which no pattern reads.
@@ -28,7 +29,8 @@ PATTERNS = (
     (r"()([0-9a-f]+)", 24),
 )
 BARE = r"()([A-Za-z0-9+/_=-]{20,})"
-EXAMPLE_OWNERS = 3
+#: From how many distinct owners, or repositories whoever owns them, a value is an example.
+EXAMPLE_OWNERS, EXAMPLE_REPOS = 3, 25
 OPEN, MID, CLOSE, MASK = "\u0001", "\u0002", "\u0003", "\u0004"
 SPAN = "array<struct<start:int,kind:int,end:int,value:string>>"
 
@@ -85,19 +87,21 @@ def listed(c: Column) -> Column:
 
 
 def report(docs: DataFrame, **names: str) -> DataFrame:
-    """Per row of ``docs``: ``doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_owned, n_live, n_example``."""
+    """Per row of ``docs``: ``doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_owned, n_live, n_example``, and
+    ``most_repos``, the most repositories that any of its values is in."""
     rows = cut(scan(docs, **names), "secrets")
     each = rows.select("doc_id", "th", "owner", "repo", F.explode(F.concat("base", "bare")).alias("x")).select("doc_id", "th", "owner", "repo", "x.*")
     each = cut(each, "candidates")
     counts = ownership(each.select("digest", "owner", "repo"))
     judged = each.select("doc_id", "th", "start", "kind", "end", F.col("digest").alias("d")).distinct().join(counts, F.col("d") == F.col("digest"))
-    judged = judged.filter((F.col("kind") < 3) | (F.col("n_owners") == 1))
-    wide = F.col("n_owners") >= EXAMPLE_OWNERS
+    wide = (F.col("n_owners") >= EXAMPLE_OWNERS) | (F.col("n_repos") >= EXAMPLE_REPOS)
+    judged = judged.filter((F.col("kind") < 3) | ~wide)
     per_doc = judged.groupBy(F.col("doc_id").alias("j_id"), F.col("th").alias("j_th")).agg(
         F.array_sort(F.collect_list(F.struct("start", "kind", "end"))).alias("all"),
         F.count(F.when(F.col("kind") == 3, 1)).alias("n_owned"),
         F.count(F.when(~wide, 1)).alias("n_live"),
         F.count(F.when(wide, 1)).alias("n_example"),
+        F.max("n_repos").alias("most_repos"),
     )
     both = rows.join(per_doc, F.col("doc_id").eqNullSafe(F.col("j_id")) & (F.col("th") == F.col("j_th")), "left")
     number = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("long")
@@ -106,7 +110,7 @@ def report(docs: DataFrame, **names: str) -> DataFrame:
         *[number(k).alias(f"n_{KINDS[k]}") for k in range(3)],
         F.sha2(listed(F.col("base")), 256).alias("base_sha256"),
         F.coalesce(listed(F.col("all")), F.lit("")).alias("spans"),
-        *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_owned", "n_live", "n_example")],
+        *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_owned", "n_live", "n_example", "most_repos")],
     )
 
 

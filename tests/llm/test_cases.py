@@ -5,7 +5,7 @@ import re
 
 import pytest
 
-from quarry.llm import common, decontamination
+from quarry.llm import common, decontamination, secrets
 
 A_Z = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 ITEM_WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
@@ -52,3 +52,13 @@ def test_decontamination_any_case(spark, monkeypatch, bound):
         docs.append((k, "".join(x + rng.choice([" ", ".", "'", ": ", ", "]) for x in w[:a] + piece + w[a:])))
     got = decontamination.report(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
     assert {r.doc_id: (r.n_words, r.n_hit, r.n_items) for r in got} == plain_hits(docs, items)
+
+
+def test_secrets_judged_by_repositories_too(spark):
+    """Tokens of one owner: one in few documents, one in many; and one that two owners have."""
+    live, copied, two = "Zz9" + "aB3" * 8, "Yy8" + "cD4" * 8, "Xx7" + "eF5" * 8
+    rows = [(0, live, "a"), (1, two, "a"), (2, two, "b")] + [(10 + k, copied, "a") for k in range(secrets.EXAMPLE_REPOS)]
+    got = {r.doc_id: r for r in secrets.report(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert (got[0].n_owned, got[0].n_live, got[0].most_repos) == (1, 1, 1)
+    assert got[1].n_owned == got[2].n_owned == 1 and got[1].most_repos == 2
+    assert all((got[10 + k].n_owned, got[10 + k].spans, got[10 + k].n_example) == (0, "", 0) for k in range(secrets.EXAMPLE_REPOS))
