@@ -36,14 +36,7 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document without the sentences that it repeats: ``doc_id, n_sentences, n_repeated, n_removed, clean_sha256``.
-    Runs of two, as in the SQL; ``op6_substring_dedup_grown`` finds the rest."""
-    out = substring_dedup.strip(table(spark, sf_dir, "documents"), pairs=True)
-    return out.select("doc_id", "n_sentences", "n_repeated", "n_removed", "clean_sha256")
-
-
-def op6_substring_dedup_grown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same with runs that grow to the least length and long sentences in pieces, which SQL can't cut."""
+    """Every document without the sentences that it repeats: ``doc_id, n_sentences, n_repeated, n_removed, clean_sha256``."""
     out = substring_dedup.strip(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_sentences", "n_repeated", "n_removed", "clean_sha256")
 
@@ -108,17 +101,32 @@ FROM d JOIN leaf ON leaf.prefix = d.key >> (60 - leaf.depth)::INT
 """
 
 _SPACE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
-OP6_SQL = f"""
+_BLANK = r"\x20\x09-\x0D"
+OP6_SQL = rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
-p AS (SELECT doc_id, unnest(range(1, len(ps) + 1)) AS k, unnest(ps) AS p FROM (
-        SELECT doc_id, string_split(regexp_replace(t, '([.!?,;:]+[ \\t\\n\\x0b\\x0c\\r]+|\\n[ \\t\\n\\x0b\\x0c\\r]*)', '\\1' || chr(1), 'g'), chr(1)) AS ps FROM d)),
-s AS (SELECT doc_id, k, trim(p, {_SPACE}) AS s FROM p WHERE trim(p, {_SPACE}) <> ''),
-r AS (SELECT doc_id, k, lead(k) OVER w AS k2, s || chr(31) || lead(s) OVER w AS run, length(s) + length(lead(s) OVER w) AS n FROM s WINDOW w AS (PARTITION BY doc_id ORDER BY k)),
-c AS (SELECT *, min(doc_id) OVER (PARTITION BY run) AS first, max(doc_id) OVER (PARTITION BY run) AS last, min(k) OVER (PARTITION BY run, doc_id) AS k0 FROM r WHERE n >= {substring_dedup.LEAST}),
-gone AS (SELECT DISTINCT doc_id, k FROM (SELECT doc_id, unnest([k, k2]) AS k FROM c WHERE doc_id > first OR k > k0)),
-again AS (SELECT DISTINCT doc_id, k FROM (SELECT doc_id, unnest([k, k2]) AS k FROM c WHERE first <> last OR k > k0)),
+whole AS (SELECT doc_id, unnest(range(1, len(ps) + 1)) AS i, unnest(ps) AS p FROM (
+            SELECT doc_id, string_split(regexp_replace(t, '([.!?]+[{_BLANK}]+|\n[{_BLANK}]*)', '\1' || chr(1), 'g'), chr(1)) AS ps FROM d)),
+listed AS (SELECT doc_id, i, p, regexp_extract_all(p, '[{_BLANK}]*[^{_BLANK}]+[{_BLANK}]*') AS ws FROM whole),
+long AS (SELECT doc_id, i, unnest(range(1, len(ws) + 1)) AS j, unnest(ws) AS w FROM listed WHERE len(ws) > {substring_dedup.BOUND}),
+ends AS (SELECT *, (('0x' || substr(md5(trim(w, {_SPACE})), 1, 2))::INT < {substring_dedup.CUT})::INT AS cut FROM long),
+own AS (SELECT *, coalesce(sum(cut) OVER (PARTITION BY doc_id, i ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS part FROM ends),
+p AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i, part) AS k, p FROM (
+        SELECT doc_id, i, 0 AS part, p FROM listed WHERE len(ws) <= {substring_dedup.BOUND}
+        UNION ALL SELECT doc_id, i, part, string_agg(w, '' ORDER BY j) FROM own GROUP BY doc_id, i, part)),
+s AS (SELECT doc_id, k, row_number() OVER o AS n, s, sum(length(s)) OVER o AS upto, sum(length(s)) OVER o - length(s) AS ahead
+      FROM (SELECT doc_id, k, trim(p, {_SPACE}) AS s FROM p WHERE trim(p, {_SPACE}) <> '') WINDOW o AS (PARTITION BY doc_id ORDER BY k)),
+fore AS (SELECT a.doc_id, a.n AS lo, greatest(b.n, a.n + {substring_dedup.RUN - 1}) AS hi
+         FROM s a ASOF JOIN s b ON a.doc_id = b.doc_id AND a.ahead + {substring_dedup.LEAST} <= b.upto),
+back AS (SELECT a.doc_id, least(b.n, a.n - {substring_dedup.RUN - 1}) AS lo, a.n AS hi
+         FROM s a ASOF JOIN s b ON a.doc_id = b.doc_id AND a.upto - {substring_dedup.LEAST} >= b.ahead),
+span AS (SELECT f.doc_id, lo, hi FROM (SELECT * FROM fore UNION SELECT * FROM back) f JOIN (SELECT doc_id, max(n) AS most FROM s GROUP BY doc_id) m ON f.doc_id = m.doc_id AND lo >= 1 AND hi <= most),
+r AS (SELECT span.doc_id, lo, hi, string_agg(s.s, chr(31) ORDER BY s.n) AS run FROM span JOIN s ON s.doc_id = span.doc_id AND s.n BETWEEN lo AND hi GROUP BY span.doc_id, lo, hi),
+c AS (SELECT *, min(doc_id) OVER (PARTITION BY run) AS first, max(doc_id) OVER (PARTITION BY run) AS last, min(lo) OVER (PARTITION BY run, doc_id) AS lo0 FROM r),
+gone AS (SELECT DISTINCT doc_id, unnest(range(lo, hi + 1)) AS n FROM c WHERE doc_id > first OR lo > lo0),
+again AS (SELECT DISTINCT doc_id, unnest(range(lo, hi + 1)) AS n FROM c WHERE first <> last OR lo > lo0),
 n AS (SELECT doc_id, count(*) AS n_sentences FROM s GROUP BY doc_id), g AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id), a AS (SELECT doc_id, count(*) AS n FROM again GROUP BY doc_id),
-clean AS (SELECT p.doc_id, string_agg(p.p, '' ORDER BY p.k) AS t FROM p ANTI JOIN gone USING (doc_id, k) GROUP BY p.doc_id)
+shut AS (SELECT doc_id, unnest(range(min_k, max_k + 1)) AS k FROM (SELECT c.doc_id, x.k AS min_k, y.k AS max_k FROM c JOIN s x ON x.doc_id = c.doc_id AND x.n = lo JOIN s y ON y.doc_id = c.doc_id AND y.n = hi WHERE c.doc_id > first OR lo > lo0)),
+clean AS (SELECT p.doc_id, string_agg(p.p, '' ORDER BY p.k) AS t FROM p ANTI JOIN shut USING (doc_id, k) GROUP BY p.doc_id)
 SELECT doc_id, coalesce(n_sentences, 0) AS n_sentences, coalesce(a.n, 0) AS n_repeated, coalesce(g.n, 0) AS n_removed, sha256(coalesce(clean.t, '')) AS clean_sha256
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN g USING (doc_id) LEFT JOIN a USING (doc_id) LEFT JOIN clean USING (doc_id)
 """
@@ -211,7 +219,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_toxicity": op4_toxicity,
     "op5_near_dedup": op5_near_dedup,
     "op6_substring_dedup": op6_substring_dedup,
-    "op6_substring_dedup_grown": op6_substring_dedup_grown,
     "op7_mixing": op7_mixing,
     "op8_secrets": op8_secrets,
     "op9_warc": op9_warc,

@@ -1,25 +1,23 @@
 """Substring dedup by sliding sentence spans.
 
-A sentence ends after a run of . ! ? , ; : and white space, or after a line break: clauses count as sentences, so that a
-passage cut out of the middle of others still holds whole ones. A sentence of more than ``BOUND`` words is cut before every
-word whose hash is the least of some ``WINDOW`` words in a row (the last of equals), a word of more than ``BOUND_CHARS``
-characters likewise by four characters, so that equal passages are cut at the same places whatever stands around them. A run
-grows from each piece, forwards and backwards, until it has ``RUN`` pieces and ``LEAST`` characters, and is hashed (128 bits).
-With ``pairs`` sentences stay whole and only runs of exactly ``RUN`` are hashed, as in the SQL: text of short sentences, or of
-one long one, then gives no run. The hashes are joined over the whole corpus: the first occurrence of a
-run, by document id and place, stays; each piece covered by any other occurrence is removed. Within a document only the
-first of equal runs goes into the join, so a document counts once for each run; the join itself sees, for each hash, a count
-and the smallest id, pre-aggregated before the shuffle, so a passage in a third of all documents is a partial count in
-every task and its occurrences are spread by the skew join.
+A sentence ends after a run of . ! ? and white space, or after a line break. One of more than ``BOUND`` words, a run-on, is cut
+after each of its words whose MD5 begins with a byte below ``CUT``, so that equal passages are cut at the same places whatever
+stands around them. A span runs over consecutive sentences: from each one on, and back from each one, over ``RUN`` of them at
+least and as many as it takes to reach ``LEAST`` characters. Every span is hashed (128 bits) and the hashes are joined over the
+whole corpus: the first occurrence of a span, by document id and place, stays; each sentence covered by any other occurrence is
+removed. Within a document only the first of equal spans goes into the join, so a document counts once for each; the join itself
+sees, for each hash, a count and the smallest id, pre-aggregated before the shuffle, so a passage in a third of all documents is
+a partial count in every task and its occurrences are spread by the skew join.
+
+Not found: what is less than ``RUN`` whole sentences, such as the edges of a passage that was cut inside a sentence.
 
 Nulls: a null text has no sentences; a null id comes last in the order of ids. Rows that share an id never strip each
-other, but each is stripped by itself and by smaller ids. Documents of fewer pieces than ``RUN`` or of less than ``LEAST`` characters have no
-span and stay whole. Texts of any length are used whole. Empty tables give no rows.
+other, but each is stripped by itself and by smaller ids. Documents of fewer sentences than ``RUN`` or of less than ``LEAST``
+characters have no span and stay whole. Texts of any length are used whole. Empty tables give no rows. Other columns are left out.
 """
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import re
 import zlib
@@ -30,70 +28,48 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, ship, text_hash
+from .common import ship, text_hash
 
 ship(__name__)
 
-RUN = 2
-LEAST = 40
+RUN, LEAST = 2, 120
+BOUND, CUT = 30, 32
 SPACE = " \t\n\x0b\x0c\r"
-BOUND = 24
-WINDOW = 10
-BOUND_CHARS = 64
-WINDOW_CHARS = 32
-WORD = re.compile(r"\S+", re.ASCII)
-BREAK = re.compile(r"[.!?,;:]+[ \t\n\x0b\x0c\r]+|\n[ \t\n\x0b\x0c\r]*")
+WORD = re.compile(r"[^ \t\n\x0b\x0c\r]+[ \t\n\x0b\x0c\r]*")
+BREAK = re.compile(r"[.!?]+[ \t\n\x0b\x0c\r]+|\n[ \t\n\x0b\x0c\r]*")
 #: The largest long stands for a null id.
 LAST = (1 << 63) - 1
-
-
-def sentences(text: str) -> list[str]:
-    """The text's pieces, each with the white space after it; joined they are the text."""
-    ends = [m.end() for m in BREAK.finditer(text)]
-    pieces = [text[a:b] for a, b in zip([0, *ends], [*ends, len(text)])]
-    return [p for p in pieces if p]
-
-
-def least(keys: list[int], size: int) -> list[int]:
-    """The places that hold the least key, the last of equals, of any ``size`` keys in a row."""
-    out, best, key = [], -1, 0
-    for end in range(size, len(keys) + 1):
-        if best >= end - size:
-            if keys[end - 1] > key:
-                continue
-            best = end - 1
-        else:
-            own = keys[end - size : end][::-1]
-            best = end - 1 - own.index(min(own))
-        key = keys[best]
-        out.append(best)
-    return out
-
-
-def parts(text: str) -> list[str]:
-    """The text's sentences, long ones and long words cut where their content says; joined they are the text."""
-    out = []
-    for piece in sentences(text):
-        if len(piece) <= min(2 * BOUND, BOUND_CHARS):  # neither more words nor a longer word
+MEMO = 200_000
+
+
+def sentences(text: str, memo: dict[str, bool]) -> list[str]:
+    """The text's sentences, each with the white space after it; joined they are the text. ``memo``: which words end a cut."""
+    out, a = [], 0
+    for b in [*(m.end() for m in BREAK.finditer(text)), len(text)]:
+        piece = text[a:b]
+        if b - a > 2 * BOUND and len(words := WORD.findall(piece)) > BOUND:
+            at = len(piece) - sum(map(len, words))  # white space at the very start
+            begin = 0
+            for w in words:
+                at += len(w)
+                word = w.rstrip(SPACE)
+                cut_here = memo.get(word)
+                if cut_here is None:
+                    cut_here = hashlib.md5(word.encode()).digest()[0] < CUT
+                    if len(memo) < MEMO:
+                        memo[word] = cut_here
+                if cut_here:
+                    out.append(piece[begin:at])
+                    begin = at
+            piece = piece[begin:]
+        if piece:
             out.append(piece)
-            continue
-        words = piece.encode().split()  # bytes split at the same white space as WORD
-        at = set()
-        if len(words) > BOUND:
-            starts = [m.start() for m in WORD.finditer(piece)]
-            at.update(starts[k] for k in least(list(map(xxhash.xxh3_64_intdigest, words)), WINDOW))
-        if max(map(len, words), default=0) > BOUND_CHARS:
-            for m in WORD.finditer(piece):
-                w = m[0]
-                if len(w) > BOUND_CHARS:
-                    at.update(m.start() + k for k in least([xxhash.xxh3_64_intdigest(w[k : k + 4]) for k in range(len(w) - 3)], WINDOW_CHARS))
-        ends = sorted(at - {0})
-        out.extend(piece[a:b] for a, b in zip([0, *ends], [*ends, len(piece)]))
+        a = b
     return out
 
 
 def _grown(sizes: list[int]) -> list[tuple[int, int]]:
-    """(first, end) of the shortest runs from each piece and up to each piece that have ``RUN`` pieces and ``LEAST`` characters."""
+    """(first, end) of the shortest runs from each sentence and up to each that have ``RUN`` sentences and ``LEAST`` characters."""
     found = set()
     end = total = 0
     for first, size in enumerate(sizes):
@@ -115,22 +91,19 @@ def _grown(sizes: list[int]) -> list[tuple[int, int]]:
     return sorted(found)
 
 
-def runs(pieces: list[str], pairs: bool = False) -> list[tuple[int, int, bytes]]:
-    """(first piece, last piece, digest) of each run, in order; pieces of white space only are no sentences."""
+def runs(pieces: list[str]) -> list[tuple[int, int, bytes]]:
+    """(first, last, digest) of each span, in order; white space only is no sentence."""
     real = [(k, s) for k, p in enumerate(pieces) if (s := p.strip(SPACE))]
-    if pairs:
-        ends = [(i, i + RUN) for i in range(len(real) - RUN + 1) if sum(len(s) for _, s in real[i : i + RUN]) >= LEAST]
-    else:
-        ends = _grown([len(s) for _, s in real])
     own = [s for _, s in real]
-    return [(real[i][0], real[j - 1][0], xxhash.xxh3_128_digest("\x1f".join(own[i:j]))) for i, j in ends]
+    return [(real[i][0], real[j - 1][0], xxhash.xxh3_128_digest("\x1f".join(own[i:j]))) for i, j in _grown([len(s) for s in own])]
 
 
 SPAN = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("pos", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64())])
 BATCH = 100_000
 
 
-def _spans(batches, pairs):
+def _spans(batches):
+    memo = {}
     for batch in batches:
         ids, ths, pos, digests = [], [], [], []
 
@@ -140,7 +113,7 @@ def _spans(batches, pairs):
 
         for doc, th, text in zip(*(c.to_pylist() for c in batch.columns)):
             seen = set()
-            for k, (_, _, digest) in enumerate(runs(sentences(text) if pairs else parts(text), pairs)):
+            for k, (_, _, digest) in enumerate(runs(sentences(text, memo))):
                 if digest not in seen:
                     seen.add(digest)
                     ids.append(doc)
@@ -163,19 +136,18 @@ def _packed(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], names=["doc_id", "th", "text"])
 
 
-def _stripped(batches, pairs):
+def _stripped(batches):
+    memo = {}
     for batch in batches:
         out = []
         for doc, th, text, marks in zip(*(c.to_pylist() for c in batch.columns)):
             if text is None:
                 out.append((doc, th, 0, 0, 0, None, hashlib.sha256(b"").hexdigest()))
                 continue
-            if isinstance(text, bytes):
-                text = zlib.decompress(text).decode()
-            pieces = sentences(text) if pairs else parts(text)
+            pieces = sentences(zlib.decompress(text).decode(), memo)
             marks = {m >> 1: m & 1 for m in marks or ()}  # number of a run -> whether another document has it first
             drop, again, seen = set(), set(), set()
-            for k, (first, last, digest) in enumerate(runs(pieces, pairs)):
+            for k, (first, last, digest) in enumerate(runs(pieces)):
                 span = range(first, last + 1)
                 if k in marks:
                     again.update(span)
@@ -186,26 +158,23 @@ def _stripped(batches, pairs):
                     drop.update(span)
                 seen.add(digest)
             real = {k for k, p in enumerate(pieces) if p.strip(SPACE)}
-            clean = "".join(p for k, p in enumerate(pieces) if k not in drop) if drop else text
+            clean = "".join(p for k, p in enumerate(pieces) if k not in drop)
             out.append((doc, th, len(real), len(again & real), len(drop & real), clean, hashlib.sha256(clean.encode()).hexdigest()))
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out)) or [[]] * 7, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()))], names=[c.split()[0] for c in CLEAN.split(", ")])
 
 
-def strip(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", pairs: bool = False) -> DataFrame:
-    """Per row of ``docs``: ``doc_id, th, n_sentences, n_repeated`` (in any repeated run), ``n_removed, clean_text, clean_sha256``;
-    the numbers are of pieces, with ``pairs`` of sentences."""
+def strip(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Per row of ``docs``: ``doc_id, th, n_sentences, n_repeated`` (in any repeated span), ``n_removed, clean_text, clean_sha256``."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_hash(F.col(text)).alias("th"), F.col(text).alias("text"))
     given = rows.filter(F.col("text").isNotNull()).select(F.coalesce("doc_id", F.lit(LAST)).alias("doc_id"), "th", "text")
-    spans = given.mapInArrow(functools.partial(_spans, pairs=pairs), "doc_id long, th long, pos int, h1 long, h2 long")
-    if pairs:
-        spans = cut(spans, "spans")
-    else:  # twice as many: found again for the join rather than kept
-        rows = rows.mapInArrow(_packed, "doc_id long, th long, text binary")
+    # found once to be counted and once to be joined: they are larger than the texts, and aren't kept
+    spans = given.mapInArrow(_spans, "doc_id long, th long, pos int, h1 long, h2 long")
     often = spans.groupBy(F.col("h1").alias("o1"), F.col("h2").alias("o2")).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
     often = often.filter("first <> last").drop("last")
     marks = spans.join(often, (F.col("h1") == F.col("o1")) & (F.col("h2") == F.col("o2")))
     mark = F.col("pos") * 2 + F.when(F.col("doc_id") > F.col("first"), 1).otherwise(0)
-    # a document's own marks: no more than twice its pieces
+    # a document's own marks: no more than twice its sentences
     marks = marks.groupBy(F.col("doc_id").alias("m_id"), F.col("th").alias("m_th")).agg(F.collect_set(mark).alias("marks"))
-    both = rows.join(marks, (F.coalesce("doc_id", F.lit(LAST)) == F.col("m_id")) & (F.col("th") == F.col("m_th")), "left")
-    return both.select("doc_id", "th", "text", "marks").mapInArrow(functools.partial(_stripped, pairs=pairs), CLEAN)
+    packed = rows.mapInArrow(_packed, "doc_id long, th long, text binary")
+    both = packed.join(marks, (F.coalesce("doc_id", F.lit(LAST)) == F.col("m_id")) & (F.col("th") == F.col("m_th")), "left")
+    return both.select("doc_id", "th", "text", "marks").mapInArrow(_stripped, CLEAN)

@@ -141,8 +141,9 @@ def test_sketch_properties():
 
 
 def test_substring_dedup(spark, nothing):
-    p = "The passage runs on for quite a while here. And it has a second sentence of some length. And even a third."
-    rows = [(2, "Own words of two. " + p + " More own words."), (1, "Start. " + p), (3, None), (4, ""), (None, p + " End."), (5, p + " Middle. " + p), (6, "No. No. No."), (2, "Another row of the same id.")]
+    one, two = "The passage runs on for quite a while here and never comes to speak of much else at all. ", "And it has a second sentence of some length, with a clause or two. "
+    p = one + two + "And even a third."
+    rows = [(2, "Own words of two. " + p + " More own words."), (1, "Start. " + p), (3, None), (4, ""), (None, p + " End."), (5, p + " Middle. " + p), (6, "No. No. No."), (2, "Another row of the same id."), (7, one + "Alone.")]
     d = spark.createDataFrame(rows, "doc_id long, text string")
     got = collections.defaultdict(list)
     for r in substring_dedup.strip(wide(d)).collect():
@@ -150,6 +151,7 @@ def test_substring_dedup(spark, nothing):
     assert got[1][0].n_removed == 0 and got[1][0].n_repeated == 3 and got[1][0].clean_text == "Start. " + p
     assert sorted(r.clean_text for r in got[2]) == ["Another row of the same id.", "Own words of two. More own words."]
     assert got[None][0].clean_text == "End." and got[5][0].clean_text == "Middle. " and got[3][0].clean_text is None and got[6][0].n_removed == 0
+    assert got[7][0].n_repeated == 0  # one sentence is no span
     assert substring_dedup.strip(nothing).count() == 0
 
 
