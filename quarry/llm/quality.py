@@ -1,18 +1,17 @@
 """Quality by a byte-level convolutional network in numpy.
 
-Input. A text's UTF-8 bytes, each with one bit more: whether the eight bytes from it on also stand up to ``LAGS`` bytes
-before (so that repetition is visible to short filters). Together they are a code of 0..511.
-Network. FILTERS learned filters of WIDTH codes are slid over the whole text; ReLU; max-pooled over chunks of two blocks of
+Input. A text's UTF-8 bytes.
+Network. FILTERS learned filters of WIDTH bytes are slid over the whole text; ReLU; max-pooled over chunks of two blocks of
 BLOCK bytes, overlapping by one block, which cover the document; a learned layer gives each chunk a logit; their mean, over
 all chunks, is the logit of the document's one probability.
-Training. By Adam on the driver, gradients through the pooled maxima, on at most SAMPLE labelled documents (half of either
-label as far as they go), each by at most TRAIN_CHUNKS chunks spread evenly over it; both bounds are parameters. Executors
-score all chunks of all documents.
+Training. By Adam on the driver, gradients through the pooled maxima, on all chunks of at most SAMPLE labelled documents of
+SAMPLE_BYTES together and SAMPLE_BYTES / 64 each (half of either label as far as they go); these bounds are parameters.
+Executors score all chunks of all documents.
 
 Nulls: a null or empty text is one chunk of zero bytes and scores what the network makes of it. A null id is held in no
-fold. Labels that are null or contradict each other for one id are not learned from; with none at all, every text scores
-0.5. Repeated rows are scored alike. Empty tables give no rows. Texts of any length are scored in segments of a bounded
-number of blocks.
+fold. Labels that are null or contradict each other for one id are not learned from; with none at all, or of one kind only, every
+text scores 0.5. Repeated rows are scored alike. Empty tables give no rows. Texts of any length are scored in segments of a
+bounded number of blocks. Other columns are left out.
 """
 
 from __future__ import annotations
@@ -29,39 +28,23 @@ from .toxicity import fold, training_rows
 
 ship(__name__)
 
-BLOCK, LAGS = 256, 40
+BLOCK = 256
 FILTERS, WIDTH = 12, 6
-SAMPLE, SAMPLE_CHARS = 4_000, 200_000
-TRAIN_CHUNKS, EPOCHS, BATCH, RATE = 6, 8, 64, 0.01
+SAMPLE, SAMPLE_BYTES = 4_000, 16 << 20
+EPOCHS, BATCH, RATE = 8, 64, 0.01
 SEGMENT = 384
 SLICE = 1 << 20
 
 
 def codes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(codes of the texts, each filled up with zeros to whole blocks and WIDTH - 1 codes at least; blocks of each)."""
+    """(bytes of the texts, each filled up with zeros to whole blocks and WIDTH - 1 more bytes at least; blocks of each)."""
     blocks = np.array([-(-(len(t) + WIDTH - 1) // BLOCK) for t in texts])
-    raw = np.frombuffer(b"".join(t.ljust(n * BLOCK, b"\0") for t, n in zip(texts, blocks)) + bytes(8), np.uint8)
-    n = len(raw) - 8
-    # a 32-bit digest of the eight bytes from each place on
-    wide = np.zeros(n, np.uint32)
-    for k in range(8):
-        wide *= np.uint32(0x01000193)
-        wide += raw[k : n + k]
-    wide ^= wide >> np.uint32(15)
-    again = np.zeros(n, bool)
-    for lag in range(1, LAGS + 1):
-        again[lag:] |= wide[lag:] == wide[:-lag]
-    again &= raw[:n] != 0
-    begin = (np.cumsum(blocks) - blocks) * BLOCK
-    for lag in range(min(8, LAGS)):  # what stood before belongs to another text
-        at = begin + lag
-        again[at[at < n]] = False
-    return raw[:n].astype(np.int16) + np.int16(256) * again, blocks
+    return np.frombuffer(b"".join(t.ljust(n * BLOCK, b"\0") for t, n in zip(texts, blocks)), np.uint8), blocks
 
 
 @dataclass
 class Model:
-    taps: np.ndarray  # WIDTH x 512 x FILTERS
+    taps: np.ndarray  # WIDTH x 256 x FILTERS
     shift: np.ndarray  # FILTERS
     weight: np.ndarray  # FILTERS
     bias: float
@@ -97,7 +80,7 @@ class Model:
 
 def untrained() -> Model:
     rng = np.random.default_rng(11)
-    return Model((rng.normal(0, 0.1, (WIDTH, 512, FILTERS))).astype(np.float32), np.zeros(FILTERS, np.float32), np.zeros(FILTERS, np.float32), 0.0)
+    return Model((rng.normal(0, 0.1, (WIDTH, 256, FILTERS))).astype(np.float32), np.zeros(FILTERS, np.float32), np.zeros(FILTERS, np.float32), 0.0)
 
 
 def fit(texts: list[bytes], labels: np.ndarray) -> Model:
@@ -110,10 +93,7 @@ def fit(texts: list[bytes], labels: np.ndarray) -> Model:
     for k, t in enumerate(texts):
         code, blocks = codes([t])
         code = np.concatenate((code, np.zeros(reach, code.dtype)))
-        starts = np.arange(max(1, int(blocks[0]) - 1))
-        if len(starts) > TRAIN_CHUNKS:
-            starts = starts[np.linspace(0, len(starts) - 1, TRAIN_CHUNKS).astype(int)]
-        for s in starts:
+        for s in range(max(1, int(blocks[0]) - 1)):
             piece = code[s * BLOCK : s * BLOCK + reach].copy()
             piece[min(reach, (int(blocks[0]) - s) * BLOCK) :] = 0
             chunks.append(piece)
@@ -156,9 +136,9 @@ def fit(texts: list[bytes], labels: np.ndarray) -> Model:
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "quality", sample: int = SAMPLE, **names: str) -> Model:
+def train(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "quality", sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES, **names: str) -> Model:
     """``learn``: which labels may be learned from, an expression over the label's id as ``l_id``."""
-    rows = training_rows(docs, labels, label, learn, sample, chars=SAMPLE_CHARS, **names)
+    rows = training_rows(docs, labels, label, learn, sample, sample_bytes, **names)
     return fit([r["text"].encode() for r in rows], np.array([r["y"] for r in rows]))
 
 

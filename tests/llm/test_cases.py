@@ -3,9 +3,10 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
-from quarry.llm import common, decontamination, secrets
+from quarry.llm import common, decontamination, secrets, toxicity
 
 A_Z = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 ITEM_WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
@@ -62,3 +63,42 @@ def test_secrets_judged_by_repositories_too(spark):
     assert (got[0].n_owned, got[0].n_live, got[0].most_repos) == (1, 1, 1)
     assert got[1].n_owned == got[2].n_owned == 1 and got[1].most_repos == 2
     assert all((got[10 + k].n_owned, got[10 + k].spans, got[10 + k].n_example) == (0, "", 0) for k in range(secrets.EXAMPLE_REPOS))
+
+
+def test_toxicity_that_learned_nothing_calls_nothing_toxic(spark):
+    text = "Clean words of no kind. " * 5_000
+    d = spark.createDataFrame([(1, text), (2, "a b. c")], "doc_id long, text string")
+    for rows in ([], [(1, 0), (2, 0)], [(1, 1), (2, 1)], [(3, 1)]):
+        lab = spark.createDataFrame(rows, "doc_id long, toxic int")
+        assert all(r.score < 1e-6 and r.predicted == 0 for r in toxicity.report(d, lab, held=9).collect())
+
+
+def test_toxicity_blocks_do_not_change_scores():
+    rng = np.random.default_rng(4)
+    words = [f"w{k}" for k in range(300)] + ["averylongwordwithinnerletters", "日本語の文章は空白を持たない"]
+    texts = [". ".join(" ".join(rng.choice(words, 7)) for _ in range(n)) for n in (1, 50, 700, 0, 3)]
+    model = toxicity.Model(rng.normal(0, 0.5, 1 << toxicity.BITS), -4.0)
+    want = []
+    for t in texts:
+        clean = 1.0
+        for s in re.split(r"[.!?]+\s+|\n+", t.lower()):
+            if w := dict.fromkeys(re.findall(r"\w+", s)):
+                clean *= 1 - 1 / (1 + np.exp(-(sum(model.weights[list(toxicity.feature_ids(x, {}))].sum() for x in w) + model.bias)))
+        want.append(1 - clean)
+    assert model.document_scores(texts, {}) == pytest.approx(want, abs=1e-9)
+    old, toxicity.BLOCK = toxicity.BLOCK, 64
+    try:
+        parts = list(toxicity.blocks(texts, {}, 64))
+    finally:
+        toxicity.BLOCK = old
+    assert len(parts) > 50 and max(len(c) for c, _, _ in parts) < 64 + 7 * 30
+
+
+def test_sample_is_filled_up_after_the_bounds(spark):
+    from pyspark.sql import functions as F
+
+    d = spark.createDataFrame([(k, "x " * (5_000 if k % 2 else 10)) for k in range(100)] + [(0, "x again")], "doc_id long, text string")
+    lab = spark.createDataFrame([(k, int(k % 4 < 2)) for k in range(100)], "doc_id long, toxic int")
+    rows = toxicity.training_rows(d, lab, "toxic", F.lit(True), 40, 64 * 1_000)
+    assert len(rows) == 40 == len({r["doc_id"] for r in rows}) and sum(r["y"] for r in rows) == 20 and all(len(r["text"]) < 1_000 for r in rows)
+    assert sum(len(r["text"]) for r in toxicity.training_rows(d, lab, "toxic", F.lit(True), 40, 640)) <= 640
