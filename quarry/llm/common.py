@@ -93,3 +93,23 @@ def ranked(df: DataFrame, order: str, value: str | None, name: str) -> DataFrame
         prior = F.coalesce(F.sum(value).over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         out = out.withColumn("before", prior + F.col("r_v"))
     return out.drop("range_no", "r_no", "r_n", "r_v")
+
+
+def numbered(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """``rows`` with ``no`` (0, 1, ... within rows of equal ``keys``) and ``same`` (how many these are). Numbers are given within
+    a written partition and then lifted by those ahead, so equal rows in any number aren't one task's work."""
+    rows = cut(rows.withColumn("file_no", F.spark_partition_id()), name)
+    tally = rows.groupBy(*keys, "file_no").agg(F.count(F.lit(1)).alias("n"))
+    own = Window.partitionBy(*keys)  # a row for each partition at most
+    tally = tally.select(
+        *[F.col(k).alias(f"n_{k}") for k in keys],
+        F.col("file_no").alias("n_file"),
+        F.coalesce(F.sum("n").over(own.orderBy("file_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("skip"),
+        F.sum("n").over(own).alias("same"),
+    )
+    within = F.row_number().over(Window.partitionBy(*keys, "file_no").orderBy("file_no")) - 1
+    match = F.col("file_no") == F.col("n_file")
+    for k in keys:
+        match = match & F.col(k).eqNullSafe(F.col(f"n_{k}"))
+    out = rows.withColumn("within", within).join(tally, match)
+    return out.select(*[F.col(c) for c in rows.columns if c != "file_no"], (F.col("within") + F.col("skip")).cast("long").alias("no"), "same")

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, hash60, packed, ranked, small, unpacked, word_count
+from .common import cut, hash60, numbered, packed, ranked, small, unpacked, word_count
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -136,9 +136,14 @@ def mixed_rows(docs: DataFrame, block_words: int = BLOCK_WORDS, doc_id: str = "d
     size = word_count(F.col(text))
     got = mix(docs, block_words, doc_id=doc_id, text=text, source=source)
     times = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.floor(F.col("taken") / F.col("size") + 0.5)).cast("int")
-    # rows equal in id and size are interchangeable by number only; sum over them and deal the copies out evenly
-    got = got.groupBy(F.col("doc_id").alias("m_id"), F.col("size").alias("m_size")).agg(F.sum(times).alias("copies"), F.count(F.lit(1)).alias("same"))
+    got = got.groupBy(F.col("doc_id").alias("m_id"), F.col("size").alias("m_size")).agg(F.sum(times).alias("copies"), F.count(F.lit(1)).alias("rows"))
+    got = cut(got.filter("copies > 0"), "copies")
     rows = packed(docs, own_id=F.col(doc_id), own_words=size)
     both = rows.join(got, F.col("own_id").eqNullSafe(F.col("m_id")) & (F.col("own_words") == F.col("m_size")))
-    each = F.ceil(F.col("copies") / F.col("same")).cast("int")
-    return unpacked(both.withColumn("turn", F.explode(F.array_repeat(F.lit(1), each))), docs)
+    out = both.filter("rows = 1").withColumn("times", F.col("copies").cast("int"))
+    if not got.filter("rows > 1").isEmpty():
+        # rows equal in id and size: each gets its share of the turns, the first ones what is over
+        equal = numbered(both.filter("rows > 1"), ["own_id", "own_words"], "equal_rows")
+        equal = equal.withColumn("times", F.expr("copies div same + if(no < copies % same, 1, 0)").cast("int")).select(*out.columns)
+        out = out.unionByName(equal.filter("times > 0"))
+    return unpacked(out.withColumn("turn", F.explode(F.array_repeat(F.lit(1), F.col("times")))), docs)

@@ -1,12 +1,14 @@
 """Cases that an operator once got wrong, held against plain versions."""
 
+import collections
+import hashlib
 import random
 import re
 
 import numpy as np
 import pytest
 
-from quarry.llm import common, decontamination, secrets, toxicity
+from quarry.llm import common, decontamination, mixing, secrets, sharding, toxicity, warc
 
 A_Z = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 ITEM_WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
@@ -102,3 +104,54 @@ def test_sample_is_filled_up_after_the_bounds(spark):
     rows = toxicity.training_rows(d, lab, "toxic", F.lit(True), 40, 64 * 1_000)
     assert len(rows) == 40 == len({r["doc_id"] for r in rows}) and sum(r["y"] for r in rows) == 20 and all(len(r["text"]) < 1_000 for r in rows)
     assert sum(len(r["text"]) for r in toxicity.training_rows(d, lab, "toxic", F.lit(True), 40, 640)) <= 640
+
+
+def plain_shards(rows, limit):
+    """{(id, text): (shard, depth)} by splitting lists of rows on one bit after another."""
+    key = lambda r: int(hashlib.md5(f"{'' if r[0] is None else r[0]}|{r[1] or ''}".encode()).hexdigest()[:15], 16)
+    out, todo = {}, [("", rows)]
+    while todo:
+        bits, own = todo.pop()
+        if sum(len((r[1] or "").encode()) for r in own) <= limit or len(bits) == 60:
+            out.update({r: bits for r in own})
+        else:
+            for b in "01":
+                todo.append((bits + b, [r for r in own if format(key(r), "060b")[len(bits)] == b]))
+    return out
+
+
+@pytest.mark.parametrize("bound", [None, 0])
+def test_sharding_against_plain_splits(spark, monkeypatch, bound):
+    """With a broadcast directory and without; with a cell that the first bits can't split; a caller's own ``shard`` is kept."""
+    from pyspark.sql import functions as F
+
+    if bound is not None:
+        monkeypatch.setattr(sharding, "BROADCAST_BYTES", bound)
+        monkeypatch.setattr(common, "BROADCAST_BYTES", bound)
+    rng = random.Random(5)
+    rows = [(k, "é" * rng.randint(0, 200)) for k in range(400)] + [(None, "z"), (7, None)]
+    hot = [(1000, "h" * 90)] * 30
+    d = spark.createDataFrame(rows + hot, "doc_id long, text string").withColumn("shard", F.lit("mine"))
+    out = sharding.shard_rows(d, 1_000)
+    assert out.columns == ["doc_id", "text", "shard", "bytes", "shard_", "shard_depth", "shard_bytes"]
+    got, size = out.collect(), collections.Counter()
+    want = plain_shards(rows, 10**9) | plain_shards(rows + hot, 1_000)
+    for r in got:
+        size[r.shard_] += r.bytes
+        assert r.shard == "mine" and r.shard_.split("-")[0] == want[r.doc_id, r.text]
+    assert len(got) == 432 and max(size.values()) <= 1_000 and all(size[r.shard_] == r.shard_bytes for r in got)
+
+
+def test_mixed_rows_take_the_planned_turns(spark):
+    """Rows that are equal in id and size get exactly the turns that were planned for them together."""
+    rng = random.Random(6)
+    rows = [(k // 4, " ".join(f"{'abc'[k % 3]}{k}" for _ in range(10 + k // 4 % 7)), "abc"[k // 4 % 3]) for k in range(1_200)] + [(None, "n m", None)] * 50
+    rng.shuffle(rows)
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    want = collections.Counter()
+    for r in mixing.mix(d).collect():
+        want[r.doc_id, r.size] += int(r.taken / r.size + 0.5)
+    got = mixing.mixed_rows(d).collect()
+    assert collections.Counter((r.doc_id, len(r.text.split())) for r in got) == +want
+    each = collections.Counter((r.doc_id, r.text) for r in got)
+    assert max(each[r[0], r[1]] for r in rows if r[0] is not None) <= 2
