@@ -32,8 +32,9 @@ from .common import cut, ship
 
 ship(__name__)
 
-SHARD_ROWS = 16_384
-LINKS, BUILD_BEAM, BEAM = 16, 64, 160
+#: Each query meets each shard, so shards are as large as a task can build; a graph is read once for a block of queries.
+SHARD_ROWS, BLOCK_QUERIES = 65_536, 65_536
+LINKS, BUILD_BEAM, BEAM = 16, 64, 400
 ADD, ASK = 512, 512
 K = 20
 
@@ -177,21 +178,26 @@ def build(x: np.ndarray, draw: np.ndarray) -> list[Layer]:
     return layers
 
 
-def bridged(layer: Layer, x: np.ndarray) -> None:
-    """Link islands of a level to the rest: each one's first node and the node nearest to it outside, both ways."""
-    n = len(layer.nodes)
-    for _ in range(32):
-        label = np.arange(n)
-        rows, cols = np.nonzero(layer.near >= 0)
-        target = layer.near[rows, cols]
-        while True:
-            low = label.copy()
-            np.minimum.at(low, rows, label[target])
-            np.minimum.at(low, target, label[rows])
-            low = low[low]
-            if (low == label).all():
-                break
-            label = low
+def islands(near: np.ndarray) -> np.ndarray:
+    """The first node of each one's island, links read both ways."""
+    label = np.arange(len(near))
+    rows, cols = np.nonzero(near >= 0)
+    target = near[rows, cols]
+    while True:
+        low = label.copy()
+        np.minimum.at(low, rows, label[target])
+        np.minimum.at(low, target, label[rows])
+        low = low[low]
+        if (low == label).all():
+            return label
+        label = low
+
+
+def bridged(layer: Layer, x: np.ndarray, rounds: int = 32) -> None:
+    """Link islands of a level to the rest: each one's first node and the node nearest to it outside, both ways. Such a link may
+    push out another, so what is apart after ``rounds`` is chained by two neighbours more, which are nobody else's."""
+    for _ in range(rounds):
+        label = islands(layer.near)
         heads = np.unique(label)
         if len(heads) == 1:
             return
@@ -200,6 +206,10 @@ def bridged(layer: Layer, x: np.ndarray) -> None:
             d[label == label[head]] = np.inf
             other = int(d.argmin())
             layer.near[head, -1], layer.near[other, -1] = other, head
+    heads = np.unique(islands(layer.near))
+    if len(heads) > 1:
+        layer.near = np.pad(layer.near, ((0, 0), (0, 2)), constant_values=-1)
+        layer.near[heads[1:], -2], layer.near[heads[:-1], -1] = heads[:-1], heads[1:]
 
 
 def entries(layers: list[Layer], below: Layer, x: np.ndarray, q: np.ndarray, default: np.ndarray) -> np.ndarray:
@@ -244,7 +254,7 @@ def _built(group: pa.Table) -> pa.Table:
     draw = ((group.column("h").to_numpy().astype(np.uint64) >> np.uint64(11)).astype(np.float64) + 1) / 2.0**53
     layers = build(x, np.minimum(draw, 1 - 1e-12))
     ids = group.column("ids").combine_chunks()
-    sizes = [int(v) for layer in layers for v in (len(layer.nodes), layer.width)]
+    sizes = [int(v) for layer in layers for v in layer.near.shape]
     row = [[group.column("shard")[0].as_py()], [x64.shape[1]], [x64.tobytes()], [ids.flatten().to_pylist()], [np.asarray(ids.offsets)[1:].tolist()], [sizes], [b"".join(y.nodes.astype(np.int32).tobytes() for y in layers)], [b"".join(y.near.tobytes() for y in layers)]]
     return pa.table([pa.array(v, t) for v, t in zip(row, GRAPH_ARROW.types)], schema=GRAPH_ARROW)
 
@@ -316,7 +326,7 @@ def index(vectors: DataFrame, k: int = K, shard_rows: int = SHARD_ROWS, vec_id:
     return cut(dealt.select("shard", "v", "h", "ids").groupBy("shard").applyInArrow(_built, GRAPH), "graphs")
 
 
-def nearest(graphs: DataFrame, queries: DataFrame, k: int = K, beam: int = BEAM, block: int = 4096, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
+def nearest(graphs: DataFrame, queries: DataFrame, k: int = K, beam: int = BEAM, block: int = BLOCK_QUERIES, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """Per query ``query_id, rank, vec_id, score``: the k nearest found, the query's own id left out."""
     asked = valid(queries, vec_id, embedding).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")).distinct()
     asked = cut(asked, "queries")

@@ -2,17 +2,19 @@
 
 Writing: headers (digest, length, id, no payload) are shuffled by payload digest; of equal payloads of ``least`` bytes or
 more, the one of the largest id is kept as a response and the others become revisit records that name it. Records are
-written by Spark's text writer with the record end (two CRLF) as line separator, so archives are plain WARC 1.1 files in the
-shared folder and a lost executor's files are written again. Record ids are made from the page's id and digest, so reruns
-agree.
+joined, where they lie, to archives that end once ``archive_bytes`` are reached (so none is larger by more than one record),
+and written by Spark's text writer, a file each, with the record end (two CRLF) as line separator: archives are plain WARC 1.1
+files in the shared folder and a lost executor's files are written again. Record ids are made from the page's id and digest, so
+reruns agree.
 
 Reading: each archive is parsed by its Content-Length fields, never by looking for a separator that a payload may hold, and
 each response's digest is computed from its bytes again. Revisits are then joined to responses by digest and id, to get
 the full payload's length.
 
 Nulls: a null payload is empty; a null page id is never the largest and reads back as null; a null URL reads back as null.
-Rows that repeat an id and a payload are each written; those of the largest id are each a response. Control characters
-in URLs are percent-encoded. Empty tables give no rows. Extra columns are left out.
+Rows that repeat an id and a payload are each written; those of the largest id are each a response. Blanks,
+line ends and percent signs in URLs are percent-encoded in headers and decoded on reading. Empty tables give no rows, and no
+archive. Extra columns are left out.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ import base64
 import hashlib
 import re
 from collections.abc import Iterator
+from urllib.parse import unquote
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -75,7 +78,9 @@ def named(page_id: Column, digest: Column) -> Column:
 def records(rows: DataFrame, date: str = DATE) -> DataFrame:
     """The text of each record, without its end."""
     line = lambda name, value: F.when(value.isNull(), F.lit("")).otherwise(F.concat(F.lit(f"{name}: "), value.cast("string"), F.lit("\r\n")))
-    clean = F.regexp_replace(F.regexp_replace(F.regexp_replace("url", "%", "%25"), "\r", "%0D"), "\n", "%0A")
+    clean = F.col("url")
+    for c in "%\r\n\t\x0b\x0c ":
+        clean = F.replace(clean, F.lit(c), F.lit(f"%{ord(c):02X}"))
     revisit = F.col("record_type") == "revisit"
     target = named(F.col("refers_to"), F.col("digest"))
     head = F.concat(
@@ -96,14 +101,29 @@ def records(rows: DataFrame, date: str = DATE) -> DataFrame:
     return rows.select(F.concat(head, F.coalesce("payload", F.lit(""))).alias("value"))
 
 
+def _archives(most: int):
+    """Joins records to archives of ``most`` bytes; the last one's end is the writer's."""
+
+    def run(batches):
+        parts, held = [], 0
+        for batch in batches:
+            for value in batch.column(0).cast(pa.binary()).to_pylist():
+                parts.append(value)
+                held += len(value) + len(END)
+                if held >= most:
+                    yield pa.RecordBatch.from_arrays([pa.array([END.encode().join(parts)], pa.large_binary()).cast(pa.large_string())], names=["value"])
+                    parts, held = [], 0
+        if parts:
+            yield pa.RecordBatch.from_arrays([pa.array([END.encode().join(parts)], pa.large_binary()).cast(pa.large_string())], names=["value"])
+
+    return run
+
+
 def write(pages: DataFrame, path: str, least: int = 0, archive_bytes: int = ARCHIVE_BYTES, compression: str = "none", **names: str) -> None:
-    """Write ``pages`` as archives of about ``archive_bytes`` below ``path``."""
-    text = F.col(names.get("payload", "html"))
-    n, total = pages.agg(F.count(F.lit(1)), F.sum(F.coalesce(F.octet_length(text), F.lit(0)) + F.lit(600))).first()
-    # payloads go from the scan straight to the archives; a file ends after so many records of the mean size
-    per_file = max(1, archive_bytes * n // max(1, total or 1))
-    out = records(headers(pages, least, **names)).write.option("lineSep", END).option("compression", compression)
-    out.option("maxRecordsPerFile", per_file).text(path)
+    """Write ``pages`` as archives of ``archive_bytes``, and up to one record more, below ``path``."""
+    # payloads go from the scan straight to the archives
+    archives = records(headers(pages, least, **names)).mapInArrow(_archives(archive_bytes), "value string")
+    archives.write.option("lineSep", END).option("compression", compression).option("maxRecordsPerFile", 1).text(path)
 
 
 HEAD = re.compile(rb"WARC/1\.[01]\r\n(.*?)\r\n\r\n", re.S)
@@ -130,7 +150,7 @@ def _parsed(batches):
                 kind, uri = f[b"warc-type"].decode(), f.get(b"warc-target-uri")
                 response = kind == "response"
                 digest = base64.b32encode(hashlib.sha1(payload).digest()).decode() if response else f[b"warc-payload-digest"].decode().removeprefix("sha1:")
-                url = None if uri is None else uri.decode().replace("%0A", "\n").replace("%0D", "\r").replace("%25", "%")
+                url = None if uri is None else unquote(uri.decode())
                 for k, v in zip(out, (number(b"x-page-id"), url, kind, number(b"x-refers-to-page-id"), digest, len(payload) if response else None)):
                     out[k].append(v)
             yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64())]))
@@ -139,7 +159,7 @@ def _parsed(batches):
 def read(spark: SparkSession, path: str) -> DataFrame:
     """The records below ``path``, revisits resolved: ``page_id, url, record_type, refers_to, payload_digest, payload_bytes``.
     One archive at a time is in a task's memory, so archives should be written of a bounded size, as ``write`` does."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).filter("length > 0").select("content")
     rows = cut(files.mapInArrow(_parsed, READ), "records")
     found = rows.filter("record_type = 'response'").groupBy(F.col("payload_digest").alias("f_digest"), F.col("page_id").alias("f_id")).agg(F.max("payload_bytes").alias("f_bytes"))
     revisits = rows.filter("record_type = 'revisit'").drop("payload_bytes")

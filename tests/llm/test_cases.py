@@ -8,7 +8,7 @@ import re
 import numpy as np
 import pytest
 
-from quarry.llm import common, decontamination, mixing, secrets, sharding, toxicity, warc
+from quarry.llm import ann, common, decontamination, mixing, secrets, sharding, toxicity, warc
 
 A_Z = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 ITEM_WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
@@ -155,3 +155,43 @@ def test_mixed_rows_take_the_planned_turns(spark):
     assert collections.Counter((r.doc_id, len(r.text.split())) for r in got) == +want
     each = collections.Counter((r.doc_id, r.text) for r in got)
     assert max(each[r[0], r[1]] for r in rows if r[0] is not None) <= 2
+
+
+def test_warc_archives_are_bounded_by_bytes(spark, tmp_path):
+    """A stretch of large pages among small ones; URLs with blanks at their ends."""
+    rows = [(k, f" http://a/{k} %41\t", f"{k}" + "x" * (30_000 if 500 < k < 540 else 20)) for k in range(1_000)] + [(2_000, "big", "y" * 200_000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)
+    path = str(tmp_path / "w")
+    warc.write(pages, path, archive_bytes=100_000)
+    sizes = sorted(p.stat().st_size for p in (tmp_path / "w").glob("part-*"))
+    assert sizes[-2] <= 100_000 + 31_000 and sizes[-1] <= 301_000 and len(sizes) >= 12
+    got = {r.page_id: r for r in warc.read(spark, path).collect()}
+    assert {k: (r.url, r.payload_bytes) for k, r in got.items()} == {k: (u, len(h)) for k, u, h in rows}
+
+
+def test_islands_that_stay_apart_are_chained():
+    x = np.zeros((6, 2), np.float32)
+    layer = ann.Layer(np.arange(6), 1, 6)
+    layer.near[:, 0] = [1, 0, 3, 2, 5, 4]
+    ann.bridged(layer, x, rounds=0)
+    assert layer.near.shape == (6, 3) and len(np.unique(ann.islands(layer.near))) == 1
+
+
+def test_ann_over_shards(spark):
+    """Shards answer alone and are merged: recall over all of them, blocks of queries smaller than the query set."""
+    rng = np.random.default_rng(8)
+    center = rng.normal(size=(20, 16))
+    v = (center[rng.integers(0, 20, 3_000)] + 0.6 * rng.normal(size=(3_000, 16))).astype(np.float32)
+    d = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "vec_id long, embedding array<float>")
+    graphs = ann.index(d, shard_rows=500)
+    assert graphs.count() >= 6
+    got = collections.defaultdict(dict)
+    for r in ann.nearest(graphs, d.filter("vec_id % 20 = 0"), block=40).collect():
+        got[r.query_id][r["rank"]] = r.vec_id
+    v, hit = v.astype(np.float64), 0
+    for q, own in got.items():
+        score = v @ v[q]
+        score[q] = -np.inf
+        hit += len(set(own.values()) & set(np.argsort(-score)[:20]))
+        assert sorted(own) == list(range(1, 21))
+    assert len(got) == 150 and hit / 3_000 >= 0.95
