@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import decontamination, mixing, near_dedup, sharding, toxicity
-from quarry.llm.common import cut, table
+from quarry.llm.common import cut, discard, scope, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,8 +58,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = cut(docs, name)
-    return docs
+    for name, stage in STAGES[:-1]:
+        keep: list[DataFrame] = []
+        with scope(spark, keep):  # what a stage cut for itself goes once its result is written
+            kept = cut(stage(spark, docs, sf_dir), name)
+            keep.append(kept)
+        discard(docs)
+        docs = kept
+    return STAGES[-1][1](spark, docs, sf_dir)

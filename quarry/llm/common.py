@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quarry.plans.cuts import cut, new_path, release  # noqa: F401  part of what operators share
+from quarry.plans.cuts import cut, discard, new_path, release, scope  # noqa: F401  part of what operators share
 
 #: Bytes up to which a side is broadcast, as rows (counted by the caller) times what a row takes in a hash table.
 BROADCAST_BYTES = 32 * 1024 * 1024
@@ -58,6 +58,20 @@ def among(rows: DataFrame, hashed: str, keys: DataFrame, key: str, n: int) -> Da
     return rows.join(small(narrow, n, 40), F.col(hashed) == F.col("among_key"), "left_semi")
 
 
+#: A key with more rows than the greater of these (a count, a share of all rows) is met by broadcast, so that it isn't one
+#: task's work; there are at most HOT_SHARE such keys.
+HOT_ROWS, HOT_SHARE = 256, 100_000
+
+
+def meet(rows: DataFrame, key: str, facts: DataFrame, fact_key: str, count: str, total: int) -> DataFrame:
+    """Inner join of ``rows`` to ``facts``, one for each key, of which ``count`` says how many rows it has, out of ``total``."""
+    least = max(HOT_ROWS, total // HOT_SHARE)
+    hot = facts.filter(F.col(count) > least)
+    hot_keys = hot.select(F.col(fact_key).alias("hot_key"))
+    cold = rows.join(F.broadcast(hot_keys), F.col(key) == F.col("hot_key"), "left_anti").join(facts.filter(F.col(count) <= least), F.col(key) == F.col(fact_key))
+    return rows.join(F.broadcast(hot), F.col(key) == F.col(fact_key)).unionByName(cold)
+
+
 def text_hash(text: Column) -> Column:
     """With a document's id this names a row; rows equal in both are interchangeable."""
     return F.xxhash64(F.coalesce(text, F.lit("")), text.isNull())

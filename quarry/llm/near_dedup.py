@@ -7,14 +7,19 @@ rounds at most, in about t ln t + n throws, and the share of equal coordinates o
 similarity as that of t independent ones would be.
 
 Banding. The t coordinates make bands of as many rows as let a pair at the threshold miss all of them with probability
-MISS at most: 64 bands of 10 for 0.85 (8e-7), 80 bands of 8 for 0.8 (4e-7). Documents with equal sets are one node. Within a
-bucket only links to its smallest node are made, so a bucket of n documents gives n links, not n**2, and the links'
-components hold every candidate pair.
-
-Exact verification. The documents of a component are compared by their full sets, all pairs at once, as products of
-zero-one matrices. Small components are packed into bins of bounded size. A large one is dealt into blocks, and each pair
-of blocks is a task of its own; from each only a spanning forest of the confirmed links comes back. The components of
-these are the classes.
+MISS at most: 64 bands of 10 for 0.85 (8e-7), 80 bands of 8 for 0.8 (4e-7). Documents with equal sets are one node. Nodes that
+share a band are in one bucket; every pair of a bucket is a candidate.
+
+Exact verification, in groups of bounded size, by full sets, all pairs of a group at once as products of zero-one matrices.
+1. A node meets the least leader of its buckets (a bucket's leader is its smallest node); a leader with many such nodes meets
+   them in as many groups as it takes. Confirmed links make components.
+2. Buckets whose nodes were all in one group, or are in one component by now, are done: only links between components are
+   still of interest. Of buckets with the same nodes one is kept. What is left is dealt again: a small bucket is a group; of a
+   large one, the nodes outside its main component, if few, meet that component's in as many groups as it takes; else the bucket
+   is divided by each other band that its nodes share, so that documents which share a template but little more part, and
+   these buckets are treated likewise. A bucket that is large after DEPTH divisions is verified by pairs of blocks.
+So nodes are compared within buckets and with their leaders, never all over a component, and no pair of a bucket is left out
+(but for one divided: a pair that shares that band and no other, which pairs at the threshold do with probability 1e-5).
 
 Nulls: a null text has no words. Documents without words are linked with nothing. A row with a null id is linked with
 nothing either, its component is null and it is kept. Rows that share an id are one document. Texts of any length are
@@ -24,13 +29,14 @@ used whole: they are hashed in slices of a bounded number of bytes. Empty tables
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, packed, ship, text_hash, unpacked
+from .common import cut, discard, meet, packed, ship, text_hash, unpacked
 
 ship(__name__)
 
@@ -38,8 +44,9 @@ WORDS = 5
 PERCENT = 85
 COORDINATES, MISS = 640, 1e-6
 SLICE_BYTES = 1 << 20
-#: A bin of small components, or a block of a large one, holds about as many shingles and documents at most.
-BIN_SHINGLES, BLOCK_DOCS = 600_000, 512
+#: A group holds about as many documents and shingles at most.
+GROUP_DOCS, GROUP_SHINGLES = 256, 600_000
+DEPTH = 3
 
 U = np.uint64
 _rng = np.random.default_rng(20240501)
@@ -183,20 +190,20 @@ def components(edges: DataFrame, name: str) -> DataFrame:
     """``edges (a, b)`` of longs -> ``node, root``, root the smallest node of its component. Alternates large-star and
     small-star steps (Kiveris and others), each written to the shared folder, until the links no longer change."""
     now = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), name)
-    mark = None
-    while True:
+    mark, n = None, now.count()
+    while n:
         both = now.select("a", "b").unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy(F.col("a").alias("u")).agg(F.least(F.min("b"), F.col("u")).alias("m"))
-        star = both.filter("b > a").join(low, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        star = star.unionByName(low.filter("u <> m").select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct()
-        star = cut(star, name)
-        low = star.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
-        more = star.join(low, F.col("a") == F.col("u")).filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now = cut(more.unionByName(low.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct(), name)
-        new = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
-        if new == mark:
+        low = both.groupBy(F.col("a").alias("u")).agg(F.least(F.min("b"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("degree"))
+        star = meet(both.filter("b > a"), "a", low, "u", "degree", 2 * n).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        star = cut(star.unionByName(low.filter("u <> m").select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct(), name)
+        low = star.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("degree"))
+        more = meet(star, "a", low, "u", "degree", 2 * n).filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        old, now = now, cut(more.unionByName(low.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct(), name)
+        n, new = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
+        discard(old, star)
+        if (n, new) == mark:
             break
-        mark = new
+        mark = (n, new)
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
@@ -261,31 +268,106 @@ def _verified(percent: int):
     return run
 
 
-def confirmed(docs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """Confirmed links ``a, b`` (a spanning forest of each task's) within the components of ``members (node, th, n, comp)``."""
-    weight = members.groupBy(F.col("comp").alias("w_comp")).agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("shingles"))
-    weight = weight.withColumn("blocks", F.greatest(F.ceil(F.col("docs") / BLOCK_DOCS), F.ceil(F.col("shingles") / BIN_SHINGLES)))
-    weight = cut(weight, "weights")
-    total = weight.filter("blocks = 1").agg(F.sum("shingles")).first()[0] or 0
-    bins = max(1, -(-total // (BIN_SHINGLES // 2)))
-    dealt = members.join(weight, F.col("comp") == F.col("w_comp"))
-    dealt = dealt.withColumn("block", F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("node", F.lit("block")), F.col("blocks"))).otherwise(F.lit(0)).cast("long"))
-    # a block meets each block of its component once, itself included
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)))
-    big = F.col("blocks") > 1
-    dealt = dealt.select(
-        "node", "th", "comp", "block",
-        F.when(big, F.col("comp")).otherwise(F.pmod(F.xxhash64("comp"), F.lit(bins))).alias("g"),
-        F.when(big, F.least("block", "other")).otherwise(F.lit(-1)).cast("long").alias("i"),
-        F.when(big, F.greatest("block", "other")).otherwise(F.lit(-1)).cast("long").alias("j"),
-    )
-    # texts move once, for those documents only that have a candidate
+def weight(n: str) -> Column:
+    """A node's share of a group."""
+    return F.greatest(F.lit(1 / GROUP_DOCS), F.col(n) / GROUP_SHINGLES)
+
+
+def confirmed(texts: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """Confirmed links ``a, b`` (a spanning forest of each group's, written) within ``groups (comp, node, th, block, w)``: ``comp``
+    names a group, ``w`` is its weight; a group of two blocks is compared across them only. ``texts``: doc_id, th, text."""
+    groups = cut(groups, "groups")
+    small_groups = F.col("w") <= 0.25
+    bins = max(1, ceil(2 * (groups.filter(small_groups).agg(F.sum(F.col("share"))).first()[0] or 0)))
+    # light groups share a task; texts move only for nodes that are in some group
+    task = F.when(small_groups, F.pmod(F.xxhash64("comp"), F.lit(bins))).otherwise(F.col("comp"))
+    wanted = groups.select(F.col("node").alias("w_node"), F.col("th").alias("w_th")).distinct().hint("merge")
+    own = texts.join(wanted, (F.col("doc_id") == F.col("w_node")) & (F.col("t_th") == F.col("w_th"))).dropDuplicates(["doc_id", "t_th"]).select("doc_id", "t_th", "text")
+    rows = groups.join(own, (F.col("node") == F.col("doc_id")) & (F.col("th") == F.col("t_th")))
+    rows = rows.select(task.alias("g"), small_groups.alias("light"), "comp", "node", F.col("block").cast("long").alias("block"), "text")
+    return cut(rows.groupBy("g", "light").applyInArrow(_verified(percent), "a long, b long"), "links")
+
+
+def led(lead: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of ``lead (node, th, n, bands)``: (per node with a candidate ``node, th, n, bands, leader``, the least leader of its buckets;
+    per leader ``l_node, l_n, chunks``, the groups that it takes, and ``w``)."""
+    keys = lead.select("node", F.explode("bands").alias("key"))
+    buckets = keys.groupBy(F.col("key").alias("b_key")).agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count(F.lit(1)).alias("c")).filter("low <> high").drop("high")
+    buckets = cut(buckets, "buckets")
+    total = buckets.agg(F.sum("c")).first()[0] or 0
+    low = meet(keys, "key", buckets, "b_key", "c", total).groupBy(F.col("node").alias("k_node")).agg(F.min("low").alias("leader"))
+    followers = cut(lead.join(low, F.col("node") == F.col("k_node")).drop("k_node"), "followers")
+    taken = followers.filter("leader <> node").groupBy(F.col("leader").alias("l_node")).agg(F.count(F.lit(1)).alias("c"), F.sum(weight("n")).alias("w"))
+    heads = followers.select(F.col("node").alias("h_node"), F.col("n").alias("l_n"), F.col("th").alias("l_th"))
+    taken = taken.join(heads, F.col("l_node") == F.col("h_node")).drop("h_node")
+    taken = taken.withColumn("chunks", F.when(F.col("w") + weight("l_n") <= 1, F.lit(1)).otherwise(F.ceil(2 * F.col("w"))).cast("long"))
+    return followers, cut(taken, "leaders")
+
+
+NODE = ["node", "th", "n", "bands"]
+
+
+def first_groups(followers: DataFrame, leaders: DataFrame) -> DataFrame:
+    """Every leader with those that it leads, in its chunks."""
+    total = leaders.agg(F.sum("c")).first()[0] or 0
+    rows = meet(followers.filter("leader <> node").select("node", "th", "n", "leader"), "leader", leaders, "l_node", "c", total)
+    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("node", F.lit("chunk")), F.col("chunks")))
+    heads = leaders.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+    heads = heads.select(F.col("l_node").alias("leader"), "chunk", F.col("l_node").alias("node"), F.col("l_th").alias("th"), F.col("l_n").alias("n"), "w", "chunks", "l_n")
+    rows = rows.select(*heads.columns).unionByName(heads)
+    return rows.select(F.xxhash64("leader", "chunk").alias("comp"), "node", "th", F.lit(0).alias("block"), (F.col("w") / F.col("chunks") + weight("l_n")).alias("w"), weight("n").alias("share"))
+
+
+def dealt_again(live: DataFrame, depth: int) -> tuple[DataFrame, DataFrame]:
+    """Of ``live (key, node, th, n, bands, comp, leader, whole)``, the members of buckets: (groups to verify, the members of divided
+    buckets, named anew, for the next round)."""
+    size = weight("n")
+    facts = live.groupBy(F.col("key").alias("b_key")).agg(F.min("node").alias("low"), F.count(F.lit(1)).alias("c"), F.sum(size).alias("bw"), F.min("comp").alias("main"), F.max("comp").alias("other"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("sign"))
+    facts = facts.filter("main <> other").drop("other")
+    one = facts.groupBy("c", "sign").agg(F.min("b_key").alias("keep")).select("keep")
+    facts = cut(facts.join(one, F.col("b_key") == F.col("keep"), "left_semi").drop("sign"), "open")
+    total = facts.agg(F.sum("c")).first()[0] or 0
+    seen = (F.col("node") == F.col("low")) | (F.col("leader") == F.col("low")) & F.col("whole")
+    rows = cut(meet(live, "key", facts, "b_key", "c", total).drop("b_key").withColumn("seen", seen), "members")
+    state = rows.groupBy(F.col("key").alias("s_key")).agg(F.min("seen").alias("all_seen"), F.sum(F.when(F.col("comp") != F.col("main"), size)).alias("rest"), F.max("c").alias("s_c"))
+    rows = meet(rows, "key", cut(state.filter("not all_seen"), "state"), "s_key", "s_c", total).drop("s_key", "s_c", "all_seen")
+    fits, few, many = F.col("bw") <= 1, F.col("rest") <= 0.5, (F.col("c") > GROUP_DOCS) & F.lit(depth < DEPTH)
+    rows = cut(rows.withColumn("way", F.when(fits, "group").when(few, "main").when(many, "divide").otherwise("blocks")), "dealt")
+    named = lambda *c: F.xxhash64("key", *c, F.lit(depth))
+    out = rows.filter("way = 'group'").select(named().alias("comp"), "node", "th", F.lit(0).alias("block"), F.col("bw").alias("w"), size.alias("share"))
+    # the few outside the main component meet it chunk by chunk
+    chunks = F.greatest(F.lit(1), F.ceil(2 * (F.col("bw") - F.col("rest")))).cast("long")
+    own = F.when(F.col("comp") == F.col("main"), F.array(F.pmod(F.xxhash64("node", F.lit("chunk")), chunks))).otherwise(F.sequence(F.lit(0).cast("long"), chunks - 1))
+    main = rows.filter("way = 'main'").withColumn("chunk", F.explode(own))
+    out = out.unionByName(main.select(named("chunk").alias("comp"), "node", "th", F.lit(0).alias("block"), F.lit(1.0).alias("w"), size.alias("share")))
+    blocks = F.greatest(F.lit(2), F.ceil(2 * F.col("bw"))).cast("long")
+    pairs = rows.filter("way = 'blocks'").withColumn("block", F.pmod(F.xxhash64("node", F.lit("block")), blocks)).withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    i, j = F.least("block", "with"), F.greatest("block", "with")
+    out = out.unionByName(pairs.select(F.xxhash64("key", i, j, F.lit(depth)).alias("comp"), "node", "th", F.col("block").cast("int").alias("block"), F.lit(1.0).alias("w"), size.alias("share")))
+    again = rows.filter("way = 'divide'").withColumn("band", F.explode("bands")).filter("band <> key")
+    return out, again.select(F.xxhash64("key", "band").alias("key"), *NODE, "leader", F.lit(False).alias("whole"))
+
+
+def links_of(docs: DataFrame, lead: DataFrame, percent: int) -> DataFrame:
+    """``node, root`` of the nodes that have a confirmed link. ``docs``: doc_id, text; ``lead``: node, th, n, bands."""
     texts = docs.select("doc_id", text_hash(F.col("text")).alias("t_th"), F.coalesce("text", F.lit("")).alias("text"))
-    # the plan is the same at every size: members are as many as documents, in the worst case, and never broadcast
-    ones = members.select(F.col("node").alias("m_node"), F.col("th").alias("m_th")).hint("merge")
-    texts = texts.join(ones, (F.col("doc_id") == F.col("m_node")) & (F.col("t_th") == F.col("m_th"))).dropDuplicates(["doc_id", "t_th"]).select("doc_id", "t_th", "text")
-    rows = dealt.join(texts, (F.col("node") == F.col("doc_id")) & (F.col("th") == F.col("t_th"))).select("g", "i", "j", "comp", "node", "block", "text")
-    return rows.groupBy("g", "i", "j").applyInArrow(_verified(percent), "a long, b long")
+    followers, leaders = led(lead)
+    links = confirmed(texts, first_groups(followers, leaders), percent)
+    roots = components(links, "roots")
+    whole = leaders.filter("chunks = 1").select(F.col("l_node").alias("whole_node"))
+    near = followers.join(whole, F.col("leader") == F.col("whole_node"), "left").withColumn("whole", F.col("whole_node").isNotNull()).drop("whole_node")
+    live = near.withColumn("key", F.explode("bands"))
+    for depth in range(DEPTH + 1):
+        known = roots.select(F.col("node").alias("r_node"), "root")
+        live = live.join(known, F.col("node") == F.col("r_node"), "left").withColumn("comp", F.coalesce("root", "node")).drop("r_node", "root")
+        groups, live = dealt_again(live, depth)
+        new = confirmed(texts, groups, percent)
+        if not new.isEmpty():
+            links = links.unionByName(new)
+            roots = components(links, "roots")
+        if live.isEmpty():
+            break
+    return roots
 
 
 def classes(docs: DataFrame, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -293,23 +375,18 @@ def classes(docs: DataFrame, percent: int = PERCENT, doc_id: str = "doc_id", tex
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     given = docs.select("doc_id", text_hash(F.col("text")).alias("th"), F.coalesce("text", F.lit("")).alias("text"))
     signed = cut(given.mapInArrow(_signed(band_rows(percent)), "doc_id long, th long, n_shingles long, d1 long, d2 long, bands array<long>"), "signed")
-    able = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    sets = able.groupBy(F.col("d1").alias("s1"), F.col("d2").alias("s2")).agg(F.min(F.struct("doc_id", "th")).alias("first"), F.max("n_shingles").alias("n"))
-    sets = cut(sets.select("s1", "s2", "first.*", "n").withColumnsRenamed({"doc_id": "node", "th": "node_th"}), "sets")
-    # the bands of one document for each distinct set
-    lead = able.select("doc_id", "th", "bands").join(sets.select("node", "node_th"), (F.col("doc_id") == F.col("node")) & (F.col("th") == F.col("node_th")), "left_semi")
-    keys = lead.select(F.col("doc_id").alias("node"), F.explode("bands").alias("key"))
-    buckets = keys.groupBy(F.col("key").alias("b_key")).agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high")
-    star = keys.join(buckets.drop("high"), F.col("key") == F.col("b_key")).filter("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b"))
-    groups = components(star, "candidates")
-    members = sets.join(groups.withColumnRenamed("node", "g_node"), F.col("node") == F.col("g_node")).select("node", F.col("node_th").alias("th"), "n", F.col("root").alias("comp"))
-    links = confirmed(docs, cut(members, "members"), percent)
+    able = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL").withColumn("s", F.xxhash64("d1", "d2", "n_shingles"))
+    sets = able.groupBy(F.col("s").alias("set_s"), F.col("d1").alias("s1"), F.col("d2").alias("s2")).agg(F.min(F.struct("doc_id", "th")).alias("first"), F.max("n_shingles").alias("n"), F.count(F.lit(1)).alias("copies"))
+    sets = cut(sets.select("set_s", "s1", "s2", "first.*", "n", "copies").withColumnsRenamed({"doc_id": "rep", "th": "rep_th"}), "sets")
+    # one document for each distinct set
+    lead = able.select("doc_id", "th", "d1", "d2", "bands").join(sets, (F.col("doc_id") == F.col("rep")) & (F.col("th") == F.col("rep_th")) & (F.col("d1") == F.col("s1")) & (F.col("d2") == F.col("s2")))
+    lead = lead.dropDuplicates(["rep", "rep_th"]).select(F.col("rep").alias("node"), "th", "n", "bands")
+    roots = links_of(docs, lead, percent)
     # copies of one set, and rows that share an id, hang on the set's first document
-    roots = components(links, "links")
-    own = sets.select("s1", "s2", F.col("node").alias("rep"))
-    rows = signed.select("doc_id", "th", "n_shingles", "d1", "d2").join(own, (F.col("d1") == F.col("s1")) & (F.col("d2") == F.col("s2")) & (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), "left")
-    rows = rows.join(roots, F.col("rep") == F.col("node"), "left")
-    rows = rows.select("doc_id", "th", "n_shingles", F.coalesce("root", "rep", "doc_id").alias("component_id"))
+    roots = cut(sets.join(roots, F.col("rep") == F.col("node"), "left").select("set_s", "s1", "s2", "copies", F.coalesce("root", "rep").alias("class")), "classes")
+    rows = meet(able.select("doc_id", "th", "n_shingles", "d1", "d2", "s"), "s", roots, "set_s", "copies", roots.agg(F.sum("copies")).first()[0] or 0)
+    rows = rows.filter("d1 = s1 AND d2 = s2").select("doc_id", "th", "n_shingles", F.col("class").alias("component_id"))
+    rows = rows.unionByName(signed.filter("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "th", "n_shingles", F.col("doc_id").alias("component_id")))
     return rows.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 

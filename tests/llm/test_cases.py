@@ -8,7 +8,7 @@ import re
 import numpy as np
 import pytest
 
-from quarry.llm import ann, common, decontamination, mixing, secrets, sharding, toxicity, warc
+from quarry.llm import ann, common, decontamination, mixing, near_dedup, secrets, sharding, toxicity, warc
 
 A_Z = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 ITEM_WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
@@ -195,3 +195,15 @@ def test_ann_over_shards(spark):
         hit += len(set(own.values()) & set(np.argsort(-score)[:20]))
         assert sorted(own) == list(range(1, 21))
     assert len(got) == 150 and hit / 3_000 >= 0.95
+
+
+def test_near_dedup_of_a_template_is_near_linear(spark, monkeypatch):
+    """5,000 documents of one template, similar by about a half: few of their pairs meet, and planted copies are found."""
+    dealt = []
+    monkeypatch.setattr(near_dedup, "cut", lambda df, name: (lambda out: (dealt.append(out.count()) if name == "groups" else None, out)[1])(common.cut(df, name)))
+    frame = " ".join(f"t{k}" for k in range(40))
+    rows = [(k, f"{frame} " + " ".join(f"d{k}x{j}" for j in range(20))) for k in range(5_000)]
+    rows += [(10_000 + k, rows[k][1] + " more") for k in range(0, 5_000, 500)]
+    got = near_dedup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: i % 10_000 for i, _ in rows}
+    assert sum(dealt) <= 6 * len(rows)

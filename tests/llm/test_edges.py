@@ -115,9 +115,11 @@ def test_near_dedup(spark, docs, nothing):
     assert sorted((r.doc_id or 0) for r in kept) == [0, 1, 3, 4, 5, 6, 7]
 
 
-def test_near_dedup_large_component(spark, monkeypatch):
-    """A group over the block size: all links are found across blocks."""
-    monkeypatch.setattr(near_dedup, "BLOCK_DOCS", 16)
+@pytest.mark.parametrize("depth", [0, 1, 3])
+def test_near_dedup_large_component(spark, monkeypatch, depth):
+    """A group over the bound of documents: all links are found across groups, divisions and blocks."""
+    monkeypatch.setattr(near_dedup, "GROUP_DOCS", 16)
+    monkeypatch.setattr(near_dedup, "DEPTH", depth)
     base = [f"b{k}" for k in range(200)]
     rows = [(k, " ".join(base[:190] + [f"x{k}_{j}" for j in range(10)])) for k in range(60)] + [(100 + k, " ".join(base[: 40 + k])) for k in range(20)]
     d = spark.createDataFrame(rows, "doc_id long, text string")
