@@ -7,12 +7,22 @@ vertex of any degree is spread by the skew join, and only counts come to the dri
 
 from __future__ import annotations
 
+import sys
+from collections import defaultdict
+from collections.abc import Iterable
+
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quarry.plans.cuts import cut
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+#: Edges that one task searches for strong components.
+IN_ONE_TASK = 500_000
+
 #: What a walk follows, what a path follows forward, and what a path follows backward.
 WALK = ("calls", "imports", "references", "writes", "implements", "extends")
 FORWARD, BACKWARD = ("calls", "references", "imports"), ("implements",)
@@ -50,7 +60,9 @@ def impact(edges: DataFrame, seeds: DataFrame, depth: int, incoming: bool = True
     """``id, depth, via, relation``: each node within ``depth`` steps of ``seeds (id)``, at its first reach, by the first edge
     of the first node of the frontier that reaches it; seeds left out."""
     here, there = ("target", "source") if incoming else ("source", "target")
-    steps = walkable(edges).select(F.col(here).alias("here"), F.col(there).alias("there"), "relation", "ord")
+    # of parallel edges only the first can be the one that reaches; cut once, for all levels
+    steps = walkable(edges).groupBy(F.col(here).alias("here"), F.col(there).alias("there")).agg(F.min(F.struct("ord", "relation")).alias("e"))
+    steps = cut(steps.select("here", "there", "e.*"), "steps")
     seen = cut(seeds.select("id").distinct(), "seen")
     frontier = seen.select("id", F.col("id").alias("rank"))
     out = None
@@ -119,29 +131,30 @@ def closure(edges: DataFrame, rounds: int = 40) -> DataFrame:
     return now
 
 
-def components_of(edges: DataFrame, least: int = 2) -> DataFrame:
+def components_of(edges: DataFrame, least: int = 2, in_one_task: int = IN_ONE_TASK) -> DataFrame:
     """``id, component, size``: strongly connected components of ``least`` nodes or more, named by their smallest node.
 
-    Nodes without a way in or out are trimmed first; the rest are coloured by the smallest node that reaches them, and a
-    colour's nodes that reach back form a component; those go, and the rest is coloured again."""
+    Nodes without a way in or out are trimmed first. What is left, if it has no more than ``in_one_task`` edges (a stated bound:
+    some 100 MB), is searched depth-first by one task; else it is coloured by the smallest node that reaches each, a colour's
+    nodes that reach back form a component, these go, and the rest is taken up again. Both ways give the same rows."""
     live = cut(edges.select("source", "target").filter("source <> target").distinct(), "scc")
-    out = None
-    while True:
-        while True:
-            n = live.count()
+    n, out = live.count(), None
+    while n:
+        while n > in_one_task:
             ins, outs = live.select(F.col("target").alias("k")).distinct(), live.select(F.col("source").alias("k")).distinct()
             both = cut(ins.join(outs, "k"), "scc_live")
             live = cut(live.join(both, F.col("source") == F.col("k"), "left_semi").join(both.withColumnRenamed("k", "k2"), F.col("target") == F.col("k2"), "left_semi"), "scc")
-            if live.count() == n:
+            before, n = n, live.count()
+            if n == before:
                 break
-        if not n:
+        if n <= in_one_task:
+            found = live.repartition(1).mapInArrow(_strong, "id string, c string")
+            out = found if out is None else out.unionByName(found)
             break
         colour = spread_smallest(both.select(F.col("k").alias("id"), F.col("k").alias("c")), live)
         back = live.join(colour.select(F.col("id").alias("source"), F.col("c").alias("c1")), "source").join(colour.select(F.col("id").alias("target"), F.col("c").alias("c2")), "target").filter("c1 = c2")
         same = cut(back.select(F.col("target").alias("source"), F.col("source").alias("target")), "scc_same")
-        roots = colour.filter("id = c")
-        found = roots
-        frontier = roots
+        found = frontier = colour.filter("id = c")
         while True:  # backwards from each root within its colour
             step = frontier.join(same, F.col("id") == F.col("source")).select(F.col("target").alias("id"), "c").distinct()
             step = cut(step.join(found, ["id", "c"], "left_anti"), "scc_back")
@@ -152,12 +165,59 @@ def components_of(edges: DataFrame, least: int = 2) -> DataFrame:
         out = found if out is None else out.unionByName(found)
         gone = found.select(F.col("id").alias("k"))
         live = cut(live.join(gone, F.col("source") == F.col("k"), "left_anti").join(gone.withColumnRenamed("k", "k2"), F.col("target") == F.col("k2"), "left_anti"), "scc")
+        n = live.count()
     if out is None:
         return edges.sparkSession.createDataFrame([], "id string, component string, size long")
     size = out.groupBy(F.col("c").alias("component")).agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("low"))
     return out.join(size.filter(F.col("size") >= least), F.col("c") == F.col("component")).select("id", F.col("low").alias("component"), "size")
 
 
+def strong_components(pairs: Iterable[tuple[str, str]]) -> dict[str, str]:
+    """node -> smallest node of its component: the forward order of finishing, then floods against it, without recursion."""
+    ahead, behind = defaultdict(list), defaultdict(list)
+    for a, b in pairs:
+        ahead[a].append(b)
+        behind[b].append(a)
+    order, seen = [], set()
+    for start in list(ahead):
+        if start in seen:
+            continue
+        seen.add(start)
+        way = [(start, iter(ahead.get(start, ())))]
+        while way:
+            node, rest = way[-1]
+            for nxt in rest:
+                if nxt not in seen:
+                    seen.add(nxt)
+                    way.append((nxt, iter(ahead.get(nxt, ()))))
+                    break
+            else:
+                order.append(node)
+                way.pop()
+    out: dict[str, str] = {}
+    for root in reversed(order):
+        if root in out:
+            continue
+        group, todo = [], [root]
+        out[root] = root
+        while todo:
+            node = todo.pop()
+            group.append(node)
+            for x in behind.get(node, ()):
+                if x not in out:
+                    out[x] = root
+                    todo.append(x)
+        low = min(group)
+        out.update(dict.fromkeys(group, low))
+    return out
+
+
+def _strong(batches):
+    pairs = [p for b in batches for p in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+    found = strong_components(pairs)
+    yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.string())], names=["id", "c"])
+
+
 def spread_smallest(colour: DataFrame, edges: DataFrame) -> DataFrame:
     """Each node takes the smallest colour that reaches it."""
     colour = cut(colour, "colour")
@@ -180,24 +240,27 @@ def pagerank(edges: DataFrame, seeds: DataFrame, rounds: int = 25, restart: floa
     """``id, rank``: personalised PageRank over the undirected multigraph, divided by the largest.
 
     ``seeds (id, weight)`` share the restart by weight; parallel edges count as often as they are; a node without neighbours
-    gives its mass back to the seeds. Nodes that no mass reaches are left out."""
+    gives its mass back to the seeds. Nodes that no mass reaches are left out. A round reads the mass once: links lie hashed by
+    their beginnings, as the sums of a round do, so only the moved mass is shuffled."""
     both = edges.select(F.col("source").alias("a"), F.col("target").alias("b")).unionByName(edges.select(F.col("target").alias("a"), F.col("source").alias("b")))
     links = both.groupBy("a", "b").agg(F.count(F.lit(1)).alias("times"))
     degree = links.groupBy(F.col("a").alias("d_id")).agg(F.sum("times").alias("degree"))
     links = cut(links.join(degree, F.col("a") == F.col("d_id")).select("a", "b", (F.col("times") / F.col("degree")).alias("share")), "links")
+    links = links.repartition("a").persist()
     total = seeds.agg(F.sum("weight")).first()[0] or 1.0
     start = cut(seeds.select("id", (F.col("weight") / total).alias("r")), "restart")
-    lonely = start.join(links.select(F.col("a").alias("id")).distinct(), "id", "left_anti")
+    # of nodes without neighbours only seeds hold mass, and all they get is the restart's: what they lose is a number a round
+    lonely = start.join(links.select(F.col("a").alias("l_id")).distinct(), F.col("id") == F.col("l_id"), "left_anti").agg(F.sum("r")).first()[0] or 0.0
+    lost = lonely
     mass = start.select("id", F.col("r").alias("m"))
     for k in range(rounds):
-        moved = mass.join(links, F.col("id") == F.col("a")).groupBy(F.col("b").alias("id")).agg(F.sum(F.col("m") * F.col("share")).alias("m"))
-        moved = moved.select("id", (F.col("m") * (1 - restart)).alias("m"))
-        # what the lonely seeds hold (no other node without neighbours can get mass) goes to all seeds again
-        dangling = mass.join(lonely.select("id"), "id", "left_semi").agg(F.coalesce(F.sum("m"), F.lit(0.0)).alias("lost"))
-        given = start.join(F.broadcast(dangling)).select("id", (F.col("r") * (F.lit(restart) + (1 - restart) * F.col("lost"))).alias("m"))
-        mass = moved.unionByName(given).groupBy("id").agg(F.sum("m").alias("m"))
+        moved = mass.join(links, F.col("id") == F.col("a")).select(F.col("b").alias("id"), ((1 - restart) * F.col("m") * F.col("share")).alias("m"))
+        share = restart + (1 - restart) * lost
+        mass = moved.unionByName(start.select("id", (F.col("r") * share).alias("m"))).groupBy("id").agg(F.sum("m").alias("m"))
+        lost = lonely * share
         if k % every == every - 1 or k == rounds - 1:
             mass = cut(mass, "mass")
+    links.unpersist()
     top = mass.agg(F.max("m").alias("top"))
     return mass.join(F.broadcast(top)).select("id", (F.col("m") / F.col("top")).alias("rank"))
 

@@ -37,24 +37,24 @@ def graph_callees(r: Relations):
     return G.neighbours(r.edges(), r.nodes(), r.nodes().filter("kind = 'interface'"), incoming=False)
 
 
-IMPACT = """
-WITH RECURSIVE walk AS (SELECT DISTINCT source, target FROM edges WHERE relation <> 'contains'),
-seed AS (SELECT id FROM nodes WHERE {seed}),
-reach AS (SELECT id, 0::BIGINT AS depth FROM seed UNION SELECT walk.source, depth + 1 FROM reach JOIN walk ON walk.target = reach.id WHERE depth < {depth})
-SELECT id, min(depth) AS depth FROM reach WHERE id NOT IN (SELECT id FROM seed) GROUP BY id
-"""
+def impact_sql(seed: str, depth: int) -> str:
+    """A level after another: each node not seen before, by the first edge of the first node that reaches it."""
+    levels = "".join(f""",
+l{d} AS (SELECT source AS id, {d}::BIGINT AS depth, target AS via, relation FROM walk WHERE target IN (SELECT id FROM {"seed" if d == 1 else f"l{d - 1}"})
+  AND source NOT IN (SELECT id FROM seed{"".join(f" UNION ALL SELECT id FROM l{k}" for k in range(1, d))}) QUALIFY row_number() OVER (PARTITION BY source ORDER BY target, ord, relation) = 1)""" for d in range(1, depth + 1))
+    return f"WITH walk AS (SELECT * FROM edges WHERE {W}), seed AS (SELECT id FROM nodes WHERE {seed}){levels}\n" + " UNION ALL ".join(f"SELECT id, depth, via, relation FROM l{d}" for d in range(1, depth + 1))
 
 
-@R.query(with_relations(IMPACT.format(seed="path = 'AMERICA/NATION_1/BUILDING'", depth=3), "nodes", "edges"))
+@R.query(with_relations(impact_sql("path = 'AMERICA/NATION_1/BUILDING'", 3), "nodes", "edges"))
 def graph_impact(r: Relations):
-    """Callers of callers of one file's symbols, three levels up."""
-    return G.impact(r.edges(), G.file_seeds(r.nodes(), "AMERICA/NATION_1/BUILDING"), 3).select("id", "depth")
+    """Callers of callers of one file's symbols, three levels up, each with the edge that reaches it first."""
+    return G.impact(r.edges(), G.file_seeds(r.nodes(), "AMERICA/NATION_1/BUILDING"), 3)
 
 
-@R.query(with_relations(IMPACT.format(seed="kind = 'class'", depth=2), "nodes", "edges"))
+@R.query(with_relations(impact_sql("kind = 'class'", 2), "nodes", "edges"))
 def graph_impact_wide(r: Relations):
     """Two levels up from every customer: a frontier of the whole graph."""
-    return G.impact(r.edges(), r.nodes().filter("kind = 'class'").select("id"), 2).select("id", "depth")
+    return G.impact(r.edges(), r.nodes().filter("kind = 'class'").select("id"), 2)
 
 
 @R.query(with_relations("""
@@ -70,9 +70,10 @@ def graph_distances(r: Relations):
 WITH RECURSIVE reach AS (SELECT source, target FROM trade UNION SELECT reach.source, trade.target FROM reach JOIN trade ON trade.source = reach.target),
 same AS (SELECT a.source AS id, a.target AS peer FROM reach a JOIN reach b ON a.source = b.target AND a.target = b.source),
 named AS (SELECT id, min(least(id, peer)) AS component FROM same WHERE id <> peer GROUP BY id)
-SELECT id, component, count(*) OVER (PARTITION BY component) AS size FROM named""", "trade"))
+SELECT id, component, count(*) OVER (PARTITION BY component) AS size FROM named""".replace("trade", "follows"), "follows"))
 def graph_scc(r: Relations):
-    return G.components_of(r.trade())
+    """Over a graph of all customers that order, cyclic, with components of all sizes."""
+    return G.components_of(r.follows())
 
 
 @R.query(with_relations("""
@@ -102,14 +103,14 @@ def graph_mutual_dirs(r: Relations):
     return dep.join(back, (F.col("a") == F.col("x")) & (F.col("b") == F.col("y")), "left").select("a", "b", F.coalesce("m", F.lit(False)).alias("mutual"))
 
 
-ROUNDS = 4
+ROUNDS = 25
 _PPR = """
 WITH pair AS (SELECT source AS a, target AS b FROM edges WHERE relation <> 'contains' UNION ALL SELECT target, source FROM edges WHERE relation <> 'contains'),
-link AS (SELECT a, b, count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY a) AS share FROM pair GROUP BY a, b),
-seed AS (SELECT id, 1.0::DOUBLE / count(*) OVER () AS r FROM nodes WHERE kind = 'interface'),
-lone AS (SELECT id FROM seed WHERE id NOT IN (SELECT a FROM link)),
-m0 AS (SELECT id, r AS m FROM seed)""" + "".join(f""",
-m{k + 1} AS (SELECT id, sum(m) AS m FROM (
+link AS MATERIALIZED (SELECT a, b, count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY a) AS share FROM pair GROUP BY a, b),
+seed AS MATERIALIZED (SELECT id, 1.0::DOUBLE / count(*) OVER () AS r FROM nodes WHERE kind = 'interface'),
+lone AS MATERIALIZED (SELECT id FROM seed WHERE id NOT IN (SELECT a FROM link)),
+m0 AS MATERIALIZED (SELECT id, r AS m FROM seed)""" + "".join(f""",
+m{k + 1} AS MATERIALIZED (SELECT id, sum(m) AS m FROM (
   SELECT b AS id, 0.75::DOUBLE * m * share AS m FROM m{k} JOIN link ON id = a
   UNION ALL SELECT id, r * (0.25::DOUBLE + 0.75::DOUBLE * coalesce((SELECT sum(m) FROM m{k} WHERE id IN (SELECT id FROM lone)), 0)) FROM seed) GROUP BY id)""" for k in range(ROUNDS)) + f"""
 SELECT id, round(m / max(m) OVER (), 6) AS rank FROM m{ROUNDS}"""
@@ -117,16 +118,9 @@ SELECT id, round(m / max(m) OVER (), 6) AS rank FROM m{ROUNDS}"""
 
 @R.query(with_relations(_PPR, "nodes", "edges"))
 def graph_pagerank(r: Relations):
-    """Personalised PageRank from all suppliers (four rounds, as unrolled in the SQL; ``graph_pagerank_full`` has the 25)."""
+    """Personalised PageRank from all suppliers."""
     seeds = r.nodes().filter("kind = 'interface'").select("id", F.lit(1.0).alias("weight"))
-    return G.pagerank(G.walkable(r.edges()), seeds, rounds=ROUNDS).select("id", F.round("rank", 6).alias("rank"))
-
-
-@R.query()
-def graph_pagerank_full(r: Relations):
-    """Personalised PageRank from all suppliers in the operator's 25 rounds, too many to chain in SQL."""
-    seeds = r.nodes().filter("kind = 'interface'").select("id", F.lit(1.0).alias("weight"))
-    return G.pagerank(G.walkable(r.edges()), seeds).select("id", F.round("rank", 6).alias("rank"))
+    return G.pagerank(G.walkable(r.edges()), seeds, ROUNDS).select("id", F.round("rank", 6).alias("rank"))
 
 
 @R.query(with_relations("""

@@ -68,6 +68,16 @@ class Relations:
         total = Window.partitionBy("source")  # 25 rows each
         return pairs.withColumn("all_n", F.sum("n").over(total)).withColumn("k", F.count(F.lit(1)).over(total)).filter(F.col("n") * F.col("k") * 10 > F.col("all_n") * 11).select(F.concat(F.lit("n"), F.col("source")).alias("source"), F.concat(F.lit("n"), F.col("target")).alias("target"), "n")
 
+    def follows(self) -> DataFrame:
+        """``source, target``: from each customer to those whose orders come right after its first, its last and its dearest
+        one. It grows with the tables, and has cycles."""
+        o = self.table("orders")
+        own = o.groupBy("o_custkey").agg(F.min("o_orderkey").alias("a"), F.max("o_orderkey").alias("b"), F.max(F.struct("o_totalprice", "o_orderkey"))["o_orderkey"].alias("c"))
+        asked = own.select("o_custkey", F.explode(F.array(*[F.col(c) + 1 for c in "abc"])).alias("next"))
+        after = o.select(F.col("o_orderkey").alias("next"), F.col("o_custkey").alias("then"))
+        mark = lambda c: F.concat(F.lit("c"), F.col(c).cast("string"))
+        return asked.join(after, "next").select(mark("o_custkey").alias("source"), mark("then").alias("target")).distinct()
+
     def docs(self) -> DataFrame:
         """``id, name, path, body, scope, file, copy``: the search corpus; labelled toxic documents play the copies."""
         toxic = self.table("labels").groupBy("doc_id").agg((F.max("toxic") == 1).alias("copy")).filter("copy").withColumnRenamed("doc_id", "t_id")
@@ -121,6 +131,9 @@ SQL = {
           SELECT s_nationkey AS source, c_nationkey AS target, count(*) AS n
           FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL))
       WHERE n * k * 10 > all_n * 11""",
+    "follows": """
+      SELECT DISTINCT 'c' || k AS source, 'c' || o_custkey AS target FROM (
+        SELECT o_custkey AS k, unnest([min(o_orderkey), max(o_orderkey), arg_max(o_orderkey, struct_pack(p := o_totalprice, k := o_orderkey))]) + 1 AS next FROM orders GROUP BY o_custkey) JOIN orders ON o_orderkey = next""",
     "docs": """
       SELECT d.doc_id AS id, source AS name, concat_ws('/', lang, source, d.doc_id::VARCHAR) AS path, text AS body, lang AS scope, source AS file,
              EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND toxic = 1) AS copy FROM documents d""",

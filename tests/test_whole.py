@@ -27,7 +27,7 @@ def test_pagerank_runs_all_rounds(spark, sf):
         for x in seeds:
             step[x] += (0.25 + lost) / len(seeds)
         mass = step
-    got = {x.id: x.rank for x in catalog.QUERIES["graph_pagerank_full"](spark, sf).collect()}
+    got = {x.id: x.rank for x in catalog.QUERIES["graph_pagerank"](spark, sf).collect()}
     top = max(mass.values())
     assert got == pytest.approx({x: m / top for x, m in mass.items()}, abs=2e-6)
 
@@ -43,3 +43,10 @@ def test_reciprocal_fuses_every_hit(spark):
     got = {r.id: (r.pos, r.fused) for r in S.reciprocal(spark.createDataFrame(rows, "id long, scope string, score double").repartition(7)).collect()}
     assert {k: pos for k, (pos, _) in got.items()} == first
     assert {k: fused for k, (_, fused) in got.items()} == pytest.approx({k: v / max(want.values()) for k, v in want.items()})
+
+
+def test_components_by_either_way(spark, sf):
+    edges = Relations(spark, sf).follows()
+    rows = lambda n: sorted(map(tuple, G.components_of(edges, in_one_task=n).collect()))
+    assert rows(G.IN_ONE_TASK) == rows(10) != []
+    assert G.strong_components([("a", "b"), ("b", "a"), ("b", "c"), ("c", "d"), ("d", "c"), ("e", "a")]) == {"a": "a", "b": "a", "c": "c", "d": "c", "e": "e"}
