@@ -1,16 +1,20 @@
 """Ranked search over documents ``(id, name, path, body, scope, file, copy)``.
 
-The index is a long table of term counts by field. Only the query's terms are ever exploded: they are matched inside each
-document's term array first, so that what is shuffled is a few counts a document.
+Documents are tokenised once, into an index kept as Parquet: a row for each term and document with its counts by field, dealt
+over folders by the term's hash and sorted, so that a query reads its own terms' rows only; what it needs to know of the
+documents (length, scope, file, copy); and the corpus's totals. An index of another version, or over other documents, is absent.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quarry.functions.text import fold_all, query_terms, raw_terms, terms, terms_among
+from quarry.functions.text import query_terms, raw_terms, terms, terms_among
 from quarry.plans.cuts import cut
 
 #: Fixed values of the score: field weights, BM25, the penalty of copies, the graph's weight, floors and ratios.
@@ -18,70 +22,103 @@ NAME, PATH, BODY = 3.0, 2.0, 1.0
 K1, B = 1.2, 0.75
 COPY_PENALTY, GRAPH_WEIGHT, RESCUE_FLOOR, PARTICIPATION, FILE_DECAY, RRF = 0.35, 0.5, 0.15, 0.25, 0.9, 60
 FIELDS = ("name", "path", "body")
+INDEX_VERSION, BUCKETS = 3, 32
+
+
+@dataclass
+class Index:
+    postings: DataFrame  # term, id, n_name, n_path, n_body, bucket
+    docs: DataFrame  # id, body_len, scope, file, copy
+    n_docs: int
+    avg_len: float
+
+
+def bucket_of(term):
+    return F.pmod(F.crc32(term.cast("binary")), F.lit(BUCKETS)).cast("int")
+
+
+def signature_of(docs: DataFrame) -> str:
+    """What an index was made of: the documents' number and a sum over their contents."""
+    n, total = docs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("id", *FIELDS, "scope", "file", "copy").cast("decimal(38,0)"))).first()
+    return f"{INDEX_VERSION}:{n}:{total}"
 
 
-def index_terms(docs: DataFrame) -> DataFrame:
-    """The inverted index: ``id, field, term, tf``."""
-    fields = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), terms(F.col(f)).alias("terms")) for f in FIELDS])).alias("x")
-    return docs.select("id", fields).select("id", "x.field", F.explode("x.terms").alias("term")).groupBy("id", "field", "term").agg(F.count(F.lit(1)).alias("tf"))
+def write_index(docs: DataFrame, path: str, signature: str = "") -> None:
+    each = docs.select("id", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), terms(F.col(f)).alias("ts")) for k, f in enumerate(FIELDS)])).alias("x"))
+    each = each.select("id", "x.k", F.explode("x.ts").alias("term"))
+    counts = each.groupBy("term", "id").agg(*[F.count(F.when(F.col("k") == k, 1)).alias(f"n_{f}") for k, f in enumerate(FIELDS)]).withColumn("bucket", bucket_of(F.col("term")))
+    counts.repartitionByRange("bucket", "term", "id").sortWithinPartitions("bucket", "term", "id").write.partitionBy("bucket").parquet(f"{path}/postings")
+    own = docs.select("id", F.size(terms(F.col("body"))).cast("long").alias("body_len"), "scope", "file", "copy")
+    own.write.parquet(f"{path}/docs")
+    spark = docs.sparkSession
+    spark.read.parquet(f"{path}/docs").agg(F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.avg("body_len"), F.lit(0.0)).alias("avg_len")).withColumns({"version": F.lit(INDEX_VERSION), "signature": F.lit(signature)}).write.json(f"{path}/corpus")
 
 
-def document_frequency(docs: DataFrame) -> DataFrame:
-    """``term, df``: in how many documents, in any field. A document's words are made distinct where it lies, so the one shuffle
-    is of partial counts."""
-    raw = F.array_distinct(F.flatten(F.array(*[F.coalesce(raw_terms(F.col(f)), F.array().cast("array<string>")) for f in FIELDS])))
-    each = docs.select(raw.alias("raw")).select(F.explode(F.array_distinct(fold_all(F.col("raw")))).alias("term"))
-    return each.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+def read_index(spark: SparkSession, path: str, signature: str | None = None) -> Index | None:
+    """None if what is at ``path`` is of another version or, where a signature is given, of other documents."""
+    meta = json.loads(spark.read.text(f"{path}/corpus").first()[0])  # one line
+    if meta["version"] != INDEX_VERSION or signature is not None and meta["signature"] != signature:
+        return None
+    return Index(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/docs"), meta["n_docs"], meta["avg_len"])
 
 
-def matches(docs: DataFrame, query: str) -> tuple[DataFrame, list[str]]:
-    """Per document ``id, body_len`` and for the query's terms the counts in each field, as arrays in order of the terms."""
+def postings_of(index: Index, q: list[str]) -> DataFrame:
+    """The rows of the query's terms; other folders, and other terms' row groups, are not read."""
+    buckets = [r[0] for r in index.postings.sparkSession.range(1).select(F.explode(F.array(*[bucket_of(F.lit(w)) for w in q])) if q else F.lit(-1)).collect()]
+    return index.postings.filter(F.col("bucket").isin(buckets) & F.col("term").isin(q)).drop("bucket")
+
+
+def index_terms(index: Index) -> DataFrame:
+    """The inverted index, long: ``id, field, term, tf``."""
+    x = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"n_{f}").alias("tf")) for f in FIELDS]))
+    return index.postings.select("id", "term", x.alias("x")).select("id", "x.field", "term", "x.tf").filter("tf > 0")
+
+
+def document_frequency(index: Index) -> DataFrame:
+    """``term, df``: in how many documents, in any field. A term's rows lie together."""
+    return index.postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+
+
+def matches(index: Index, query: str) -> tuple[DataFrame, list[str]]:
+    """Per document with a term of the query: ``id, body_len, scope, file, copy`` and the counts in each field, as arrays in order
+    of the terms."""
     q = query_terms(query)
-    raw = docs.select("id", *[F.coalesce(raw_terms(F.col(f)), F.array().cast("array<string>")).alias(f) for f in FIELDS])
-    # one pass over a document's words keeps those that fold to a query term; then counting is over a few
-    few = raw.select("id", F.size("body").cast("long").alias("body_len"), *[terms_among(F.col(f), q).alias(f) for f in FIELDS])
-    same = lambda w: lambda t: t == w
-    count = lambda f: F.array(*[F.size(F.filter(f, same(w))).cast("long") for w in q]) if q else F.array().cast("array<bigint>")
-    return few.select("id", "body_len", *[count(f).alias(f"n_{f}") for f in FIELDS]), q
+    count = lambda f: F.array(*[F.coalesce(F.sum(F.when(F.col("term") == w, F.col(f"n_{f}"))), F.lit(0)).cast("long") for w in q]) if q else F.array().cast("array<bigint>")
+    few = postings_of(index, q).groupBy(F.col("id").alias("p_id")).agg(*[count(f).alias(f"n_{f}") for f in FIELDS])
+    return index.docs.join(few, F.col("id") == F.col("p_id")).drop("p_id"), q
+
 
+def idf_of(index: Index, q: list[str]) -> dict[str, float]:
+    """The query's terms (a handful) and their idf, in order."""
+    import math
 
-def idf_of(counted: DataFrame, q: list[str]) -> DataFrame:
-    """One row: ``n_docs, avg_len, idf`` (array in order of the terms)."""
-    has = lambda k: F.col("n_name")[k] + F.col("n_path")[k] + F.col("n_body")[k] > 0
-    one = counted.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("body_len").alias("avg_len"), *[F.count(F.when(has(k), 1)).alias(f"df{k}") for k in range(len(q))])
-    return one.select("n_docs", "avg_len", F.array(*[F.log(1 + F.col("n_docs") / (1 + F.col(f"df{k}"))) for k in range(len(q))]).alias("idf"))
+    df = {r["term"]: r["df"] for r in postings_of(index, q).groupBy("term").agg(F.count(F.lit(1)).alias("df")).collect()}
+    return {w: math.log(1 + index.n_docs / (1 + df.get(w, 0))) for w in q}
 
 
-def scored(docs: DataFrame, query: str, wants_copies: bool = False) -> DataFrame:
-    """Per document with a term of the query: ``id, s_name, s_path, s_body, lexical, coverage, strong, rarest``.
+def scored(index: Index, query: str, wants_copies: bool = False) -> DataFrame:
+    """Per document with a term of the query: ``id, scope, file, copy, s_name, s_path, s_body, lexical, coverage, strong``.
 
     ``lexical`` = (3 name + 2 path + BM25 body), times the penalty for copies; coverage is the share of the query's idf that
-    the document matches in any field, strong in its name, both also by a plural; rarest is the query's rarest term."""
-    counted, q = matches(docs, query)
-    counted = cut(counted, "matches")
-    stats = F.broadcast(idf_of(counted, q))  # one row
-    rows = counted.join(stats)
+    the document matches in any field, strong in its name."""
+    rows, q = matches(index, query)
+    weights = [F.lit(x) for x in idf_of(index, q).values()]
     total = lambda parts: sum(parts[1:], parts[0]) if parts else F.lit(0.0)
-    idf = lambda k: F.col("idf")[k]
-    flat = lambda f: total([F.col(f"n_{f}")[k] * idf(k) for k in range(len(q))])
-    norm = K1 * (1 - B + B * F.col("body_len") / F.col("avg_len"))
-    bm25 = total([idf(k) * F.col("n_body")[k] * (K1 + 1) / (F.col("n_body")[k] + norm) for k in range(len(q))])
-    some = lambda f, k: F.col(f"n_{f}")[k] > 0
-    all_idf = total([idf(k) for k in range(len(q))])
-    cover = lambda *fs: total([F.when(sum((F.col(f"n_{f}")[k] for f in fs), F.lit(0)) > 0, idf(k)).otherwise(0.0) for k in range(len(q))]) / all_idf
-    out = rows.select("id", flat("name").alias("s_name"), flat("path").alias("s_path"), F.coalesce(bm25, F.lit(0.0)).alias("s_body"), cover(*FIELDS).alias("coverage"), cover("name").alias("strong"))
-    copies = docs.select(F.col("id").alias("c_id"), "copy") if not wants_copies else docs.select(F.col("id").alias("c_id"), F.lit(False).alias("copy"))
-    out = out.filter("coverage > 0").join(copies, F.col("id") == F.col("c_id")).drop("c_id")
+    flat = lambda f: total([F.col(f"n_{f}")[k] * w for k, w in enumerate(weights)])
+    norm = K1 * (1 - B + B * F.col("body_len") / F.lit(index.avg_len or 1.0))
+    bm25 = total([w * F.col("n_body")[k] * (K1 + 1) / (F.col("n_body")[k] + norm) for k, w in enumerate(weights)])
+    all_idf = total(weights)
+    cover = lambda *fs: total([F.when(sum((F.col(f"n_{f}")[k] for f in fs), F.lit(0)) > 0, w).otherwise(0.0) for k, w in enumerate(weights)]) / all_idf
+    copy = F.lit(False) if wants_copies else F.coalesce("copy", F.lit(False))
+    out = rows.select("id", "scope", "file", copy.alias("copy"), flat("name").alias("s_name"), flat("path").alias("s_path"), F.coalesce(bm25, F.lit(0.0)).alias("s_body"), cover(*FIELDS).alias("coverage"), cover("name").alias("strong"))
     penalty = F.when(F.col("copy"), COPY_PENALTY).otherwise(1.0)
     return out.withColumn("lexical", (NAME * F.col("s_name") + PATH * F.col("s_path") + BODY * F.col("s_body")) * penalty)
 
 
-def distinctive(docs: DataFrame, query: str) -> DataFrame:
-    """One row: the query's rarest term (the first of equals) and its idf."""
-    counted, q = matches(docs, query)
-    one = idf_of(counted, q)
-    rows = one.select(F.posexplode("idf").alias("pos", "idf"))
-    return rows.orderBy(F.desc("idf"), "pos").limit(1).select(F.element_at(F.array(*map(F.lit, q)), F.col("pos") + 1).alias("term"), "idf")
+def distinctive(index: Index, query: str) -> tuple[str, float] | None:
+    """The query's rarest term (the first of equals) and its idf."""
+    idf = idf_of(index, query_terms(query))
+    return max(idf.items(), key=lambda x: x[1]) if idf else None
 
 
 def blended(lexical: DataFrame, rank: DataFrame, penalty: DataFrame) -> DataFrame:

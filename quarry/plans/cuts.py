@@ -46,6 +46,13 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def exists(spark: SparkSession, path: str | None) -> bool:
+    if not path:
+        return False
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
 def delete(spark: SparkSession, paths: list[str]) -> int:
     gone = 0
     written = _WRITTEN.get(id(spark.sparkContext), [])

@@ -11,6 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quarry.operators import search as S
+from quarry.plans.cuts import exists, new_path
+
+_INDEXES: dict[tuple[str, str], str] = {}
+
 
 class Relations:
     def __init__(self, spark: SparkSession, sf_dir: str):
@@ -87,6 +92,14 @@ class Relations:
             F.col("text").alias("body"), F.col("lang").alias("scope"), F.col("source").alias("file"), F.coalesce("copy", F.lit(False)).alias("copy"),
         )
 
+    def index(self) -> S.Index:
+        """The search index of ``docs``, written once for an application and table folder, then read."""
+        key = (self.spark.sparkContext.applicationId, self.sf_dir)
+        if not exists(self.spark, _INDEXES.get(key)):
+            _INDEXES[key] = new_path(self.spark, "index")
+            S.write_index(self.docs(), _INDEXES[key])
+        return S.read_index(self.spark, _INDEXES[key])
+
     def lines(self) -> DataFrame:
         """``id, file, line, text``: one row a line, numbered from 1."""
         return self.docs().select("id", "file", F.posexplode(F.split("body", "\n")).alias("n", "text")).select("id", "file", (F.col("n") + 1).cast("long").alias("line"), "text")

@@ -47,12 +47,12 @@ FIELDS = "fields AS (SELECT id, 'name' AS field, name AS t FROM docs UNION ALL S
 
 @R.query(with_relations(f"WITH {FIELDS}, {folded_ctes('fields')}, tf AS (SELECT DISTINCT id, term FROM terms) SELECT term, count(*) AS df FROM tf GROUP BY term", "docs"))
 def text_document_frequency(r: Relations):
-    return S.document_frequency(r.docs())
+    return S.document_frequency(r.index())
 
 
 @R.query(with_relations(f"WITH {FIELDS}, {folded_ctes('fields')} SELECT id, field, term, count(*) AS tf FROM terms GROUP BY ALL", "docs"))
 def text_index(r: Relations):
-    return S.index_terms(r.docs())
+    return S.index_terms(r.index())
 
 
 @R.query(with_relations(f"WITH words AS (SELECT DISTINCT 0 AS id, p_name || ' ' || p_type AS field, p_name || ' ' || p_type AS t FROM part), {folded_ctes('words')} SELECT field AS text, list(term ORDER BY term) AS terms FROM terms GROUP BY field").replace("list(term ORDER BY term)", "string_agg(term, ' ' ORDER BY term)"))
@@ -82,13 +82,12 @@ lex AS (SELECT *, (3 * s_name + 2 * s_path + s_body) * CASE WHEN copy THEN 0.35:
 @R.query(with_relations(LEX + " SELECT id, round(s_name, 6) AS s_name, round(s_path, 6) AS s_path, round(s_body, 6) AS s_body, round(coverage, 6) AS coverage, copy, round(score, 6) AS lexical FROM lex", "docs"))
 def search_lexical(r: Relations):
     """Every document that holds a term of the query, scored: fields, BM25, coverage, penalty."""
-    out = S.scored(r.docs(), QUERY)
+    out = S.scored(r.index(), QUERY)
     return out.select("id", *[F.round(c, 6).alias(c) for c in ("s_name", "s_path", "s_body", "coverage", "lexical")], "copy")
 
 
 def hits(r: Relations):
-    at = r.docs().select(F.col("id").alias("d_id"), "scope", "file")
-    return S.scored(r.docs(), QUERY).select("id", F.round("lexical", 6).alias("score")).join(at, F.col("id") == F.col("d_id")).drop("d_id")
+    return S.scored(r.index(), QUERY).select("id", F.round("lexical", 6).alias("score"), "scope", "file")
 
 
 HITS = LEX + ", hits AS (SELECT id, scope, file, round(score, 6) AS score FROM lex)"
@@ -96,7 +95,8 @@ HITS = LEX + ", hits AS (SELECT id, scope, file, round(score, 6) AS score FROM l
 
 @R.query(with_relations(LEX + " SELECT term, round(idf, 6) AS idf FROM q ORDER BY idf DESC, k LIMIT 1", "docs"))
 def search_distinctive(r: Relations):
-    return S.distinctive(r.docs(), QUERY).select("term", F.round("idf", 6).alias("idf"))
+    term, idf = S.distinctive(r.index(), QUERY)
+    return r.spark.createDataFrame([(term, round(idf, 6))], "term string, idf double")
 
 
 @R.query(with_relations(HITS + " SELECT file, id, score FROM (SELECT *, row_number() OVER (PARTITION BY file ORDER BY score DESC, id) AS k FROM hits) WHERE k = 1", "docs"))
@@ -112,16 +112,10 @@ def search_scope_gate(r: Relations):
 GATE = HITS + ", open AS (SELECT scope FROM hits GROUP BY scope HAVING max(score) >= 0.25::DOUBLE * (SELECT max(score) FROM hits))"
 
 
-@R.query(with_relations(GATE + """, ranked AS (SELECT id, row_number() OVER (PARTITION BY scope ORDER BY score DESC, id) AS pos FROM hits WHERE scope IN (FROM open)),
-  f AS (SELECT id, min(pos) AS pos, sum(1.0::DOUBLE / (60 + pos)) AS s FROM ranked WHERE pos <= 100 GROUP BY id) SELECT id, pos, round(s / max(s) OVER (), 6) AS fused FROM f""", "docs"))
-def search_rrf(r: Relations):
-    """The first 100 of each scope, as in the SQL; ``search_rrf_full`` fuses all hits."""
-    return S.reciprocal(hits(r), top=100).select("id", "pos", F.round("fused", 6).alias("fused"))
-
-
 @R.query(with_relations(GATE + """, ranked AS (SELECT id, row_number() OVER (PARTITION BY scope ORDER BY score DESC, id) AS pos FROM hits WHERE scope IN (FROM open) AND score > 0),
   f AS (SELECT id, min(pos) AS pos, sum(1.0::DOUBLE / (60 + pos)) AS s FROM ranked GROUP BY id) SELECT id, pos, round(s / max(s) OVER (), 6) AS fused FROM f""", "docs"))
-def search_rrf_full(r: Relations):
+def search_rrf(r: Relations):
+    """All positive hits of the scopes that take part, fused."""
     return S.reciprocal(hits(r)).select("id", "pos", F.round("fused", 6).alias("fused"))
 
 
@@ -147,8 +141,9 @@ def search_blend(r: Relations):
     h = hits(r)
     seed = h.groupBy("file").agg(F.sum("score").alias("weight"))
     top = seed.agg(F.max("weight").alias("top"))
-    rank = r.docs().select("id", "file").join(seed, "file").join(F.broadcast(top)).select("id", (F.col("weight") / F.col("top")).alias("rank"))
-    out = S.blended(h.select("id", F.col("score").alias("lexical")), rank, r.docs().select("id", "copy"))
+    docs = r.index().docs
+    rank = docs.select("id", "file").join(seed, "file").join(F.broadcast(top)).select("id", (F.col("weight") / F.col("top")).alias("rank"))
+    out = S.blended(h.select("id", F.col("score").alias("lexical")), rank, docs.select("id", "copy"))
     return out.select("id", F.round("score", 6).alias("score"))
 
 
