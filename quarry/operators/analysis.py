@@ -83,7 +83,7 @@ def excluded(nodes: DataFrame) -> Column:
 def dead_symbols(nodes: DataFrame, edges: DataFrame, unresolved: DataFrame, mentions: DataFrame) -> DataFrame:
     """``id, confidence, rule`` of symbols ``nodes (id, name, kind, path, generated, copy, exported, decorated)`` nothing uses.
     Low confidence while something suggests an unseen caller, by the first rule that holds: a use of the name that couldn't be
-    bound (``unresolved (name)``), a twin of the name that is used, a decorator, the name written elsewhere
+    bound (``unresolved (name)``), a twin of the name that is used, a decorator, ``overriding`` (if ``nodes`` tells), the name written elsewhere
     (``mentions (name, n)`` beyond its own definition); medium for what other code may reach; high otherwise."""
     used = used_ids(edges)
     may = nodes.withColumn("why", excluded(nodes)).filter("why IS NULL")
@@ -91,7 +91,7 @@ def dead_symbols(nodes: DataFrame, edges: DataFrame, unresolved: DataFrame, ment
     twins = nodes.join(used, F.col("id") == F.col("u_id"), "left_semi").select(F.col("name").alias("t_name"), F.lit(True).alias("twin")).distinct()
     loose = unresolved.select(F.col("name").alias("x_name"), F.lit(True).alias("loose")).distinct()
     rows = dead.join(twins, F.col("name") == F.col("t_name"), "left").join(loose, F.col("name") == F.col("x_name"), "left").join(mentions.select(F.col("name").alias("m_name"), F.col("n").alias("times")), F.col("name") == F.col("m_name"), "left")
-    rule = F.when(F.col("loose"), "unresolved").when(F.col("twin"), "twin").when(F.col("decorated"), "decorated").when(F.coalesce("times", F.lit(0)) > 1, "mentioned").when(F.col("exported"), "exported").otherwise("unused")
+    rule = F.when(F.col("loose"), "unresolved").when(F.col("twin"), "twin").when(F.col("decorated"), "decorated").when(F.col("overriding") if "overriding" in nodes.columns else F.lit(False), "overriding").when(F.coalesce("times", F.lit(0)) > 1, "mentioned").when(F.col("exported"), "exported").otherwise("unused")
     level = F.when(rule == "unused", "high").when(rule == "exported", "medium").otherwise("low")
     return rows.select("id", "name", level.alias("confidence"), rule.alias("rule"))
 

@@ -8,7 +8,7 @@ vertex of any degree is spread by the skew join, and only counts come to the dri
 from __future__ import annotations
 
 import sys
-from collections import defaultdict
+from collections import defaultdict, deque
 from collections.abc import Iterable
 
 import pyarrow as pa
@@ -32,6 +32,48 @@ def walkable(edges: DataFrame) -> DataFrame:
     return edges.filter(F.col("relation").isin(*WALK))
 
 
+def ranking_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The edges that carry rank: walk relations but writes, and but references to what is only a type."""
+    types = nodes.filter("kind IN ('class', 'struct', 'interface', 'type', 'enum')").select(F.col("id").alias("t_id"))
+    kept = edges.filter(F.col("relation").isin(*WALK) & ~F.col("relation").isin("writes", "references"))
+    return kept.unionByName(edges.filter("relation = 'references'").join(types, F.col("target") == F.col("t_id"), "left_anti"))
+
+
+def loops(edges: DataFrame, members: DataFrame) -> DataFrame:
+    """``component, size, members, loop`` of ``members (id, component, size)``, the largest first: a shortest way along ``edges (source,
+    target, evidence)`` from each component's first member back to it, as (from, to, evidence), the smallest next step of equals.
+    One task holds one component."""
+    own = edges.join(members.select(F.col("id").alias("source"), "component", "size"), "source").join(members.select(F.col("id").alias("target"), F.col("component").alias("c2")), "target").filter("component = c2")
+    schema = "component string, size long, members array<string>, loop array<struct<from:string,to:string,evidence:long>>"
+    out = own.select("component", "size", "source", "target", F.col("evidence").cast("long").alias("evidence")).groupBy("component").applyInArrow(_loop, schema)
+    return out.orderBy(F.desc("size"), "component")
+
+
+def _loop(group: pa.Table) -> pa.Table:
+    rows = group.to_pylist()
+    start, near = rows[0]["component"], defaultdict(dict)
+    for r in rows:
+        near[r["source"]][r["target"]] = r["evidence"]
+    before, line = {start: None}, deque([start])
+    way: list[str] = []
+    while line and not way:
+        x = line.popleft()
+        for y in sorted(near[x]):
+            if y == start:
+                while x is not None:
+                    way.append(x)
+                    x = before[x]
+                break
+            if y not in before:
+                before[y] = x
+                line.append(y)
+    way = way[::-1] + [start]
+    loop = [{"from": a, "to": b, "evidence": near[a][b]} for a, b in zip(way, way[1:])]
+    step = pa.struct([("from", pa.string()), ("to", pa.string()), ("evidence", pa.int64())])
+    schema = pa.schema([("component", pa.string()), ("size", pa.int64()), ("members", pa.list_(pa.string())), ("loop", pa.list_(step))])
+    return pa.Table.from_pylist([{"component": start, "size": rows[0]["size"], "members": sorted(near), "loop": loop}], schema=schema)
+
+
 def first_of(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The first row of each key. Pre-aggregated before the shuffle, unlike a window, so hot keys are harmless."""
     rest = [c for c in df.columns if c not in keys and c not in order]

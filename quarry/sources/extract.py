@@ -4,6 +4,10 @@ Python files are read by the standard syntax tree; SQL files by a small lexer; G
 by patterns of their declarations over text whose strings and comments are blanked, with bodies found by their brackets
 (best effort: no grammar package is at hand). All give the same two record kinds, a definition or an intent.
 
+A call through a receiver carries what the receiver is known to be: ``via`` is ``self`` for the object a method is of (also where
+the language leaves it out), ``package`` for an imported package or module, ``member`` for anything else, and ``recv_type`` the
+type that an annotation, a parameter, a declaration or a construction in the same definition gives it, if any does.
+
 A file that can't be parsed gives its own row with ``error`` set and no symbols. A null text gives the file's row only.
 """
 
@@ -19,7 +23,7 @@ from pyspark.sql import DataFrame
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-FIELDS = "path string, record string, base string, name string, kind string, owner string, start_line int, end_line int, signature string, exported boolean, arity int, variadic boolean, complexity int, doc string, body string, relation string, target string, receiver string, args int, line int, generated boolean, error string"
+FIELDS = "path string, record string, base string, name string, kind string, owner string, start_line int, end_line int, signature string, exported boolean, arity int, variadic boolean, complexity int, doc string, body string, relation string, target string, receiver string, recv_type string, via string, args int, line int, generated boolean, error string"
 ARROW = pa.schema([(n, {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_()}[t]) for n, t in (c.split() for c in FIELDS.split(", "))])
 GENERATED = re.compile(r"(?im)^\W*(code generated .* do not edit|@generated\b|this file (is|was) (auto-?)?generated)")
 DOC_CHARS, BODY_CHARS = 2_000, 5_000
@@ -68,7 +72,23 @@ def python_rows(path: str, text: str) -> list[dict]:
             return node.attr
         return None
 
-    def walk(node, scope: list[str], owner: str | None):
+    def type_of(node) -> str | None:
+        """What an annotation or a construction names; an optional's or a string's inner name."""
+        if isinstance(node, ast.Constant) and isinstance(node.value, str):
+            return re.sub(r"\W.*", "", node.value.rpartition(".")[2]) or None
+        if isinstance(node, ast.Call):
+            n = name_of(node.func)
+            return n if n and n[:1].isupper() else None
+        if isinstance(node, ast.BinOp):  # X | None
+            return type_of(node.left)
+        if isinstance(node, ast.Subscript):
+            return type_of(node.slice) if name_of(node.value) == "Optional" else name_of(node.value)
+        return name_of(node)
+
+    tree = ast.parse(text)
+    modules = {(a.asname or a.name).split(".")[0] for x in ast.walk(tree) if isinstance(x, (ast.Import, ast.ImportFrom)) for a in x.names if isinstance(x, ast.Import) or not a.name[:1].isupper()}
+
+    def walk(node, scope: list[str], owner: str | None, env: dict[str, str], me: str | None):
         own = path + ("#" + ".".join(scope) if scope else "")
         for child in ast.iter_child_nodes(node):
             if isinstance(child, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
@@ -87,7 +107,11 @@ def python_rows(path: str, text: str) -> list[dict]:
                 for d in child.decorator_list:
                     if n := name_of(d.func if isinstance(d, ast.Call) else d):
                         intent("references", n, d.lineno, base)
-                walk(child, [*scope, child.name], child.name if is_class else None)
+                inner = {}
+                if not is_class:
+                    a = child.args
+                    inner = env | {x.arg: t for x in [*a.posonlyargs, *a.args, *a.kwonlyargs] if x.annotation and (t := type_of(x.annotation))}
+                walk(child, [*scope, child.name], child.name if is_class else None, inner, child.name if is_class else owner or me)
                 continue
             if isinstance(child, ast.Import):
                 for x in child.names:
@@ -95,13 +119,27 @@ def python_rows(path: str, text: str) -> list[dict]:
             elif isinstance(child, ast.ImportFrom):
                 intent("imports", "." * child.level + (child.module or ""), child.lineno, path)
             elif isinstance(child, ast.Call) and (n := name_of(child.func)):
-                receiver = name_of(child.func.value) if isinstance(child.func, ast.Attribute) else None
-                intent("calls", n, child.lineno, own, receiver=receiver, args=len(child.args))
+                through = child.func.value if isinstance(child.func, ast.Attribute) else None
+                receiver = name_of(through) if through is not None else None
+                if through is None:
+                    via, known = None, None
+                elif receiver in ("self", "cls") and isinstance(through, ast.Name) and me:
+                    via, known = "self", me
+                elif isinstance(through, ast.Name) and receiver in modules and receiver not in env:
+                    via, known = "package", None
+                else:
+                    plain = env.get(receiver) or (receiver if receiver[:1].isupper() else None) if isinstance(through, ast.Name) else None
+                    via, known = "member", plain or (type_of(through) if isinstance(through, ast.Call) else None)
+                intent("calls", n, child.lineno, own, receiver=receiver, via=via, recv_type=known, args=len(child.args))
             elif isinstance(child, ast.Attribute) and isinstance(child.ctx, ast.Store):
                 intent("writes", child.attr, child.lineno, own, receiver=name_of(child.value))
-            walk(child, scope, owner if not isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)) else None)
+            if isinstance(child, ast.Assign) and len(child.targets) == 1 and isinstance(child.targets[0], ast.Name) and isinstance(child.value, ast.Call) and (t := type_of(child.value)):
+                env[child.targets[0].id] = t
+            elif isinstance(child, ast.AnnAssign) and isinstance(child.target, ast.Name) and (t := type_of(child.annotation)):
+                env[child.target.id] = t
+            walk(child, scope, owner if not isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)) else None, env, me)
 
-    walk(ast.parse(text), [], None)
+    walk(tree, [], None, {}, None)
     return out
 
 
@@ -181,11 +219,37 @@ SHAPES = {
 }
 FAMILY = {"go": "go", "java": "java", "rs": "rust", "c": "c", "h": "c", "cc": "c", "cpp": "c", "hpp": "c"}
 IMPORTS = {"go": r'"([\w./-]+)"', "java": r"^\s*import\s+(?:static\s+)?([\w.]+)", "js": r"""(?:from|import|require\()\s*['"]([^'"]+)['"]""", "rust": r"^\s*use\s+([\w:]+)", "c": r'#include\s*[<"]([^>"]+)[>"]'}
+#: How a parameter or a local names its type: (pattern, group of the name, group of the type).
+TYPED = {
+    "go": [(r"(\w+)\s+\*?(?:\w+\.)?([A-Z]\w*)(?=\s*[,)])", 1, 2), (r"\bvar\s+(\w+)\s+\*?(?:\w+\.)?([A-Z]\w*)", 1, 2), (r"(\w+)\s*:=\s*&?(?:\w+\.)?([A-Z]\w*)\s*\{", 1, 2)],
+    "java": [(r"\b([A-Z]\w*)(?:<[^<>]*>)?\s+(\w+)\s*(?=[,)=;:])", 2, 1)],
+    "js": [(r"\b(\w+)\??\s*:\s*([A-Z]\w*)", 1, 2), (r"\b(\w+)\s*=\s*new\s+([A-Z]\w*)", 1, 2)],
+    "rust": [(r"\b(\w+)\s*:\s*&?(?:mut\s+)?([A-Z]\w*)", 1, 2), (r"\blet\s+(?:mut\s+)?(\w+)\s*=\s*([A-Z]\w*)\s*(?:::|\{)", 1, 2)],
+    "c": [(r"\b([A-Z]\w*)\s*[*&]?\s+[*&]?(\w+)\s*(?=[,)=;])", 2, 1)],
+}
+#: Methods that an interface asks for, in Go's own form.
+ASKED = re.compile(r"^[ \t]*([A-Za-z_]\w*)[ \t]*\(([^()]*)\)[^\n{]*$", re.M)
 CALL = re.compile(r"(?:(\w+)\s*(?:\.|->|::)\s*)?(\w+)\s*\(")
 WORDS = set("import package if for while switch catch return function func fn sizeof new else match loop and or not in class struct def typeof await defer go select case throw yield super".split())
 BRANCH = re.compile(r"\b(?:if|for|while|case|catch|match)\b|&&|\|\||\?(?![.:?])")
 
 
+BRACKETS = re.compile(r"[()\[\]{},]")
+
+
+def arguments(clean: str, at: int) -> int | None:
+    """How many arguments stand between an open bracket that ends before ``at`` and its close; None if that isn't there."""
+    depth, n = 1, 0
+    for b in BRACKETS.finditer(clean, at):
+        if b[0] == ",":
+            n += depth == 1
+        else:
+            depth += 1 if b[0] in "([{" else -1
+        if not depth:
+            return n + 1 if n or clean[at : b.start()].strip() else 0
+    return None
+
+
 def generic_rows(path: str, text: str) -> list[dict]:
     fam = FAMILY.get(path.rsplit(".", 1)[-1], "js")
     clean = blanked(text, "//", nested=fam == "rust", quotes='"' if fam in ("rust", "c", "java") else "\"'`")
@@ -216,7 +280,8 @@ def generic_rows(path: str, text: str) -> list[dict]:
             start = m.start() + len(m[0]) - len(m[0].lstrip())
             defs.append([start, end, name, "method" if group.get("owner") else kind, group.get("owner"), args, m[0]])
     defs.sort(key=lambda d: (d[0], -d[1]))
-    out, stack, named = [], [], []
+    out, stack, named, asking = [], [], [], []
+    packages = {m[1].rsplit('/', 1)[-1] for m in re.finditer(IMPORTS[fam], text, re.M)} if fam == "go" else set()
     for d in defs:
         while stack and stack[-1][1] <= d[0]:
             stack.pop()
@@ -227,10 +292,23 @@ def generic_rows(path: str, text: str) -> list[dict]:
         shown = d[2][:1].isupper() if fam == "go" else not re.search(r"\bprivate\b", d[6]) if fam in ("java", "js") else "pub" in text[max(0, d[0] - 12) : d[0]] or fam == "c"
         out.append({"record": "node", "base": base, "name": d[2], "kind": "method" if callable_ and owner else d[3], "owner": owner, "start_line": line(d[0]), "end_line": line(max(d[0], d[1] - 1)), "signature": " ".join(text[d[0] : d[0] + len(d[6].lstrip())].split())[:400], "exported": shown} | ({"arity": len(d[5]), "variadic": any("..." in a for a in d[5]), "complexity": 1 + len(BRANCH.findall(clean, d[0], d[1]))} if callable_ else {}))
         out.append({"record": "intent", "base": path + ("#" + ".".join(scope) if scope else ""), "relation": "contains", "target": base, "line": line(d[0])})
+        if fam == "go" and d[3] == "interface":
+            for m in ASKED.finditer(clean, clean.find("{", d[0]) + 1, d[1]):
+                asked = [a for a in m[2].split(",") if a.strip()]
+                at = m.start(1)
+                out.append({"record": "node", "base": f"{base}.{m[1]}", "name": m[1], "kind": "method", "owner": d[2], "start_line": line(at), "end_line": line(at), "signature": " ".join(m[0].split())[:400], "exported": m[1][:1].isupper(), "arity": len(asked), "variadic": "..." in m[2]})
+                out.append({"record": "intent", "base": base, "relation": "contains", "target": f"{base}.{m[1]}", "line": line(at)})
+                asking.append((at, m.end()))
         if m := re.search(r"\b(extends|implements)\s+([\w, ]+)", clean[d[0] : clean.find("{", d[0]) if clean.find("{", d[0]) > 0 else d[1]]):
             out += [{"record": "intent", "base": base, "relation": m[1], "target": x.strip(), "line": line(d[0])} for x in m[2].split(",") if x.strip()]
         stack.append(d)
-        named.append((d[0], d[1], base, d[0] + len(d[6].lstrip())))
+        env = {}
+        if callable_:
+            if fam == "go" and (m := re.match(r"\s*func\s+\(\s*(\w+)\s+\*?(\w+)", d[6])):
+                env[m[1]] = m[2]
+            for pattern, who, what in TYPED[fam]:
+                env |= {m[who]: m[what] for m in re.finditer(pattern, clean[d[0] : d[1]])}
+        named.append((d[0], d[1], base, d[0] + len(d[6].lstrip()), env, owner))
     starts = [x[0] for x in named]
     for m in CALL.finditer(clean):
         if m[2] in reserved:
@@ -238,16 +316,20 @@ def generic_rows(path: str, text: str) -> list[dict]:
         k = bisect_right(starts, m.start(2)) - 1
         if k >= 0 and named[k][0] <= m.start(2) < named[k][3]:
             continue  # a declaration's own name
+        if any(a <= m.start(2) < b for a, b in asking):
+            continue
         while k >= 0 and named[k][1] <= m.start(2):
             k -= 1
-        inside, depth, n = clean[m.end() :], 1, 0
-        for i, ch in enumerate(inside[:2000]):
-            depth += (ch in "([{") - (ch in ")]}")
-            if not depth:
-                n = 0 if not inside[:i].strip() else n + 1
-                break
-            n += ch == "," and depth == 1
-        out.append({"record": "intent", "base": named[k][2] if k >= 0 else path, "relation": "calls", "target": m[2], "receiver": m[1], "args": n, "line": line(m.start(2))})
+        env, owner = (named[k][4], named[k][5]) if k >= 0 else ({}, None)
+        if m[1] in ("this", "self", "Self") or fam == "java" and not m[1] and owner and not re.search(r"\bnew\s+$", clean[max(0, m.start() - 8) : m.start()]):
+            via, known = "self", owner
+        elif m[1] and m[1] in packages and m[1] not in env:
+            via, known = "package", None
+        elif m[1]:
+            via, known = "member", env.get(m[1]) or (m[1] if m[1][:1].isupper() else None)
+        else:
+            via, known = "member" if clean[m.start(2) - 1 : m.start(2)] == "." else None, None
+        out.append({"record": "intent", "base": named[k][2] if k >= 0 else path, "relation": "calls", "target": m[2], "receiver": m[1], "via": via, "recv_type": known, "args": arguments(clean, m.end()), "line": line(m.start(2))})
     for m in re.finditer(IMPORTS[fam], text, re.M):
         if fam != "go" or re.search(r"import\s*(\([^)]*)?$|^\s*(\w+\s+)?$", text[text.rfind("\n", 0, m.start()) + 1 : m.start()]):
             out.append({"record": "intent", "base": path, "relation": "imports", "target": m[1], "line": line(m.start())})

@@ -51,11 +51,44 @@ def decoded(content: Column) -> Column:
     )
 
 
+def passed_over(spark: SparkSession, root: str) -> DataFrame:
+    """``path, length, modificationTime, content`` of files below ``root`` that Spark's readers leave out, since their names, or a
+    folder's above them, begin with an underscore (or a file's with a dot): packages' own modules are among them. They are looked
+    for by name, a depth at a time, and of at most MOST_BYTES bytes each; a tree's few, read by the driver through the file system."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    fs = hadoop.Path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    rows: dict[str, tuple] = {}
+
+    def keep(status) -> None:
+        path = status.getPath()
+        if status.getLen() <= MOST_BYTES and any(path.getName().lower().endswith(ext) for ext, _, _ in LANGUAGES):
+            stream = fs.open(path)
+            try:
+                content = bytes(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
+            finally:
+                stream.close()
+            rows[path.toString()] = (path.toString(), status.getLen(), status.getModificationTime() / 1000, content)
+
+    at = root.rstrip("/")
+    while (level := fs.globStatus(hadoop.Path(at + "/*"))) is not None and len(level):
+        for status in [*(fs.globStatus(hadoop.Path(at + "/_*")) or []), *(fs.globStatus(hadoop.Path(at + "/.*")) or [])]:
+            if not status.isDirectory():
+                keep(status)
+            elif status.getPath().getName().startswith("_"):
+                inside = fs.listFiles(status.getPath(), True)
+                while inside.hasNext():
+                    keep(inside.next())
+        at += "/*"
+    schema = "path string, length long, t double, content binary"
+    return spark.createDataFrame(list(rows.values()), schema).select("path", "length", F.timestamp_seconds("t").alias("modificationTime"), "content")
+
+
 def scan(spark: SparkSession, root: str, include: tuple[str, ...] = (), only: tuple[str, ...] = (), extensions: tuple[str, ...] = ()) -> DataFrame:
-    """``path`` (below ``root``), ``size, mtime_ms, text, hash, language, family``: files with a known suffix, of at most
+    """``path`` (below ``root``), ``size, mtime_ms, text, hash, language, family``: files with a known suffix, not empty, of at most
     MOST_BYTES bytes, not below a skipped folder, and below one of ``only`` if any is given. A file system that lists with
     its own rules (say, what a version control shows) can be joined on ``path``."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    raw = raw.select("path", "length", "modificationTime", "content").unionByName(passed_over(spark, root))
     base = root.rstrip("/").split("://")[-1].removeprefix("file:")
     rel = F.regexp_replace("path", rf"^.*?\Q{base}\E/", "")
     rows = raw.filter(F.col("length") <= MOST_BYTES).select(rel.alias("path"), F.col("length").alias("size"), F.unix_millis("modificationTime").alias("mtime_ms"), "content")

@@ -153,3 +153,91 @@ def test_interfaces(spark):
     types = spark.createDataFrame([("A", "p", "Save", 1, False, 1, True), ("A", "p", "hid", 0, False, None, False), ("B", "q", "Save", 1, False, 2, True), ("B", "q", "hid", 0, False, 0, False)], cols)
     asks = spark.createDataFrame([("Saver", "p", "Save", 1, False, 1, True), ("Hider", "p", "hid", 0, False, 0, False), ("Vague", "p", "x", None, False, None, True)], cols)
     assert {(r.type, r.interface) for r in T.satisfied(types, asks).collect()} == {("A", "Saver"), ("A", "Hider")}
+
+
+GO = """package m
+import "fmt"
+type Saver interface {
+	Save(x int) error
+}
+type A struct{}
+func (a *A) Save(x int) error { return nil }
+type B struct{}
+func (b B) Save(x int) error { fmt.Println(x); return nil }
+func Direct(a *A) { a.Save(1) }
+func Loose(a any) { a.Save(1) }
+func Recur() { Recur() }
+func Left() { Right() }
+func Right() { Left() }
+"""
+
+
+@pytest.fixture(scope="module")
+def tree(tmp_path_factory):
+    root = tmp_path_factory.mktemp("tree")
+    for path, text in {
+        "m/m.go": GO,
+        "pkg/__init__.py": "# pkg\n",
+        "pkg/base.py": "class Base:\n    def run(self):\n        return self.step()\n\n    def step(self):\n        return 1\n",
+        "pkg/sub/deep.py": "from ..base import Base\nfrom . import peer\nimport os\n\n\nclass Deep(Base):\n    def go(self):\n        self.run()\n        peer.help_out(1)\n        os.getcwd()\n        x = Base()\n        x.step()\n        unknown.thing()\n",
+        "pkg/sub/peer.py": "from .deep import Deep\n\n\ndef help_out(n):\n    d: Deep = make()\n    return d.go()\n\n\ndef help_out_twice(n):\n    return 2\n",
+        "pkg/sub/__init__.py": "# sub\n",
+        "tests/test_peer.py": "def help_out(n):\n    return n\n",
+        "web/app.py": "@app.get('/items')\ndef items():\n    return 1\n\n\n@app.route('/about')\ndef about():\n    return 2\n",
+        "web/x.py": "def same():\n    pass\n",
+        "pkg/y.py": "def same():\n    pass\n",
+        "web/a.ts": "import { b } from './b';\nexport function a() { return b(); }\n",
+        "web/b.ts": "import { a } from '../web/a';\nexport function b() { return a(); }\n",
+    }.items():
+        (root / path).parent.mkdir(parents=True, exist_ok=True)
+        (root / path).write_text(text)
+    return root
+
+
+def test_resolution(spark, tree):
+    e = Engine.build(spark, str(tree))
+    got = {(r.source, r.relation, r.target) for r in e.graph.edges.collect()}
+    go = {(a.split("#")[-1], r, b.split("#")[-1]) for a, r, b in got if a.startswith("m/m.go#")}
+    assert {("Direct", "calls", "A.Save"), ("Recur", "calls", "Recur"), ("Left", "calls", "Right"), ("Right", "calls", "Left")} == {x for x in go if x[1] == "calls"}
+    assert {("A", "implements", "Saver"), ("A.Save", "implements", "Saver.Save"), ("B", "implements", "Saver"), ("B.Save", "implements", "Saver.Save")} == {x for x in go if x[1] == "implements"}
+    assert {t for s, r, t in got if r == "imports" and s == "pkg/sub/deep.py"} == {"pkg/base.py", "pkg/sub/__init__.py", "os"}
+    assert ("web/a.ts", "imports", "web/b.ts") in got and ("web/b.ts", "imports", "web/a.ts") in got
+    calls = {(a, b) for a, r, b in got if r == "calls"}
+    deep = "pkg/sub/deep.py#Deep.go"
+    assert {b for a, b in calls if a == deep} == {"pkg/base.py#Base.run", "pkg/base.py#Base", "pkg/base.py#Base.step", "pkg/sub/peer.py#help_out"}
+    assert ("pkg/sub/peer.py#help_out", deep) in calls and ("pkg/base.py#Base.run", "pkg/base.py#Base.step") in calls
+    missing = {(r.name, r.reason): r.n for r in e.graph.unresolved.collect()}
+    assert missing[("thing", "receiver_unknown")] == 1 and missing[("Save", "receiver_unknown")] == 1 and missing[("getcwd", "external_package")] == 1 and missing[("Println", "external_package")] == 1 and missing[("make", "name_not_in_graph")] == 1
+
+
+def test_every_method_after_save_and_load(spark, tree, tmp_path):
+    built = Engine.build(spark, str(tree))
+    built.save(str(tmp_path / "kept"))
+    e = Engine.load(spark, str(tmp_path / "kept"))
+    assert e.graph.index is not None
+    assert e.ask("help out", 2).first().id == "pkg/sub/peer.py#help_out"
+    assert {r.id for r in e.ask("who calls step").collect()} == {"pkg/base.py#Base.run", "pkg/sub/deep.py#Deep.go"}
+    assert {r.id for r in e.ask("what does run call").collect()} == {"pkg/base.py#Base.step"}
+    assert e.read("Base.step").first().code == "    def step(self):\n        return 1"
+    assert e.read("nowhere::help_out").first().id == "pkg/sub/peer.py#help_out"  # the other one is a copy
+    assert e.read("pkg/base.py::Base", lines=2).first().code.endswith("... 4 more lines\nL5 def step(self)")
+    assert e.select("Save").first().id == "m/m.go#Saver.Save"  # the most used
+    with pytest.raises(ValueError, match="ambiguous"):
+        e.select("same")
+    with pytest.raises(ValueError, match="changed"):
+        e.read("Base.step", now=spark.createDataFrame([("pkg/base.py", "other")], "path string, hash string"))
+    assert e.read("Base.step", now=FS.scan(spark, str(tree))).count() == 1
+    assert [r.id for r in e.skeleton("peer.py").collect()] == ["pkg/sub/peer.py#help_out", "pkg/sub/peer.py#help_out_twice"]
+    with pytest.raises(ValueError, match="ambiguous"):
+        e.file("__init__.py")
+    assert {(r.file, r.line, r.span_id) for r in e.grep("return 1").collect()} == {("pkg/base.py", 6, "pkg/base.py#Base.step"), ("web/app.py", 3, "web/app.py#items")}
+    dead = [(r.name, r.confidence, r.rule) for r in e.dead_code().collect()]
+    assert ("help_out_twice", "medium", "exported") in dead and ("items", "low", "decorated") in dead and ("Direct", "medium", "exported") in dead
+    assert [x[1] for x in dead] == sorted((x[1] for x in dead), key=["high", "medium", "low"].index)
+    loops = e.cycles("file").collect()
+    assert [(r.size, r.members, [(h["from"], h["to"]) for h in r.loop]) for r in loops] == [(2, ["web/a.ts", "web/b.ts"], [("web/a.ts", "web/b.ts"), ("web/b.ts", "web/a.ts")])] or len(loops) == 2
+    assert [(r.method, r.path, r.handler) for r in e.routes().collect()] == [("ANY", "/about", "web/app.py#about"), ("GET", "/items", "web/app.py#items")]
+    assert e.path("go", "step")[-1] == "pkg/base.py#Base.step" and e.walk("step").count() == 2
+    assert e.complexity(3).count() == 3 and e.quality().count() > 2 and e.card_texts().count() > 3 and e.repo_map()[0].count() == 4 + 1
+    again = e.refresh(str(tree))
+    assert sorted(again.graph.edges.collect()) == sorted(built.graph.edges.collect())
