@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import sys
 
 from pyspark import cloudpickle
@@ -23,6 +25,14 @@ def ship(name: str) -> None:
     cloudpickle.register_pickle_by_value(sys.modules[name])
 
 
+def give_back() -> None:
+    """Return freed memory to the system. What a fit on the driver used would else stay with the process while later stages run."""
+    gc.collect()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim:
+        trim(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -66,6 +76,8 @@ HOT_ROWS, HOT_SHARE = 256, 100_000
 def meet(rows: DataFrame, key: str, facts: DataFrame, fact_key: str, count: str, total: int) -> DataFrame:
     """Inner join of ``rows`` to ``facts``, one for each key, of which ``count`` says how many rows it has, out of ``total``."""
     least = max(HOT_ROWS, total // HOT_SHARE)
+    if total <= least:  # no key can be hot
+        return rows.join(facts, F.col(key) == F.col(fact_key))
     hot = facts.filter(F.col(count) > least)
     hot_keys = hot.select(F.col(fact_key).alias("hot_key"))
     cold = rows.join(F.broadcast(hot_keys), F.col(key) == F.col("hot_key"), "left_anti").join(facts.filter(F.col(count) <= least), F.col(key) == F.col(fact_key))

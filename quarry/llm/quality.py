@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, text_hash
+from .common import give_back, ship, text_hash
 from .toxicity import fold, training_rows
 
 ship(__name__)
@@ -139,7 +139,12 @@ def fit(texts: list[bytes], labels: np.ndarray) -> Model:
 def train(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "quality", sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES, **names: str) -> Model:
     """``learn``: which labels may be learned from, an expression over the label's id as ``l_id``."""
     rows = training_rows(docs, labels, label, learn, sample, sample_bytes, **names)
-    return fit([r["text"].encode() for r in rows], np.array([r["y"] for r in rows]))
+    texts, y = [r["text"].encode() for r in rows], np.array([r["y"] for r in rows])
+    del rows
+    model = fit(texts, y)
+    del texts
+    give_back()
+    return model
 
 
 def _scorer(model: Model):

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import ship, text_hash
+from .common import give_back, ship, text_hash
 
 ship(__name__)
 
@@ -186,7 +186,12 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, learn: Column,
 def train(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic", sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES, **names: str) -> Model:
     """``learn``: which labels may be learned from, an expression over the label's id as ``l_id``."""
     rows = training_rows(docs, labels, label, learn, sample, sample_bytes, **names)
-    return fit([r["text"] for r in rows], np.array([r["y"] for r in rows]))
+    texts, y = [r["text"] for r in rows], np.array([r["y"] for r in rows])
+    del rows
+    model = fit(texts, y)
+    del texts
+    give_back()
+    return model
 
 
 def _model(weights: bytes, bias: float) -> Model:
