@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from quarry.plans import analysis_queries, graph_queries, join_queries, retrieval_queries, search_queries, stream_queries
+from quarry.plans import analysis_queries, graph_queries, join_queries, retrieval_queries, search_queries, source_queries, stream_queries
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _m in (analysis_queries, graph_queries, join_queries, retrieval_queries, search_queries, stream_queries):
+for _m in (analysis_queries, graph_queries, join_queries, retrieval_queries, search_queries, source_queries, stream_queries):
     QUERIES |= _m.R.queries
     ORACLES |= _m.R.oracles

@@ -105,6 +105,16 @@ def fold_word(w: str) -> str:
     return re.sub("^(.{3,})e$", r"\1", w)
 
 
+def plural_match(words: Column, term: Column) -> Column:
+    """Whether an array of words holds a term, its plural by -s, or, if it ends so, the term without."""
+    return F.array_contains(words, term) | F.array_contains(words, F.concat(term, F.lit("s"))) | (term.endswith("s") & F.array_contains(words, _cut(term, 1)))
+
+
+def append_unique(own: Column, more: Column) -> Column:
+    """An array, each value once, with what it lacks of another behind it."""
+    return F.array_union(own, more)
+
+
 def utf16_length(text: Column) -> Column:
     """Length in UTF-16 units."""
     return (F.octet_length(F.encode(text, "UTF-16BE")) / 2).cast("long")

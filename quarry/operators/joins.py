@@ -141,3 +141,9 @@ def division(have: DataFrame, owner: str, need: DataFrame, group: str, on: list[
     total = wanted.groupBy(F.col(group).alias("t_group")).agg(F.count(F.lit(1)).alias("all_n"))
     own = have.select(owner, *on).distinct().join(wanted, on).groupBy(owner, group).agg(F.count(F.lit(1)).alias("n"))
     return own.join(total, F.col(group) == F.col("t_group")).filter("n = all_n").select(owner, group)
+
+
+def type_methods(nodes: DataFrame) -> DataFrame:
+    """``type, path, methods, first``: how many methods each type has in a file, and the first of them by id."""
+    own = nodes.filter("owner IS NOT NULL")
+    return own.groupBy(F.col("owner").alias("type"), "path").agg(F.count(F.lit(1)).alias("methods"), F.min("id").alias("first"))

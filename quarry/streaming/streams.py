@@ -6,12 +6,10 @@ live in the checkpoint folder, so a restart goes on where it stopped.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.plans.cuts import new_path
+from quarry.plans.cuts import cut, discard, exists, new_path
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
@@ -45,10 +43,15 @@ def deduplicated(stream: DataFrame, keys: list[str], late: str = "1 day") -> Dat
     return stream.withWatermark("at", late).dropDuplicatesWithinWatermark(keys)
 
 
-def drained(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run to the end of the input into Parquet of the shared folder; read back. Files are committed exactly once."""
+def drained(stream: DataFrame, name: str, mode: str = "append", keys: list[str] | None = None) -> DataFrame:
+    """Run to the end of the input into Parquet of the shared folder; read back. Files are committed exactly once. ``update``: rows
+    that change are merged by ``keys``, so that a watermark may drop what is done with; ``complete``: every result is whole, and
+    nothing is dropped (sessions, which have no updates)."""
     spark = stream.sparkSession
     out = new_path(spark, name)
+    if mode == "update":
+        upsert(stream, out, keys).trigger(availableNow=True).start().awaitTermination()
+        return upserted(spark, out)
     if mode == "append":
         q = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", out + "-state").outputMode("append")
     else:
@@ -58,35 +61,58 @@ def drained(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     return spark.read.parquet(out)
 
 
-def upsert(stream: DataFrame, path: str, key: str, order: str, apply: Callable[[DataFrame], DataFrame] | None = None):
-    """Keep at ``path`` the newest row of each key: each micro-batch is merged into a new version of the table, named by its
-    number, so a batch that is run again writes the same version."""
+BUCKETS = 64
+
+
+def upsert(stream: DataFrame, path: str, keys: list[str], order: str | None = None):
+    """Keep at ``path`` one row for each of ``keys``: a micro-batch's, or, with ``order``, the newest by it. The table is dealt over
+    buckets of the keys' hash; a batch reads and replaces only those buckets that it touches. A batch that is run again leaves
+    the same rows, so the table is right exactly once."""
     spark = stream.sparkSession
 
     def merge(batch: DataFrame, number: int):
-        rows = apply(batch) if apply else batch
-        if number:
-            rows = rows.unionByName(spark.read.parquet(f"{path}/v{number - 1}"))
-        rest = [c for c in rows.columns if c not in (key, order)]
-        best = rows.groupBy(key).agg(F.max(F.struct(order, *rest)).alias("b")).select(key, "b.*")
-        best.select(*rows.columns).write.mode("overwrite").parquet(f"{path}/v{number}")
+        rows = batch.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")).withColumn("is_new", F.lit(1))
+        rows = cut(rows, "batch")
+        touched = [r[0] for r in rows.select("bucket").distinct().collect()]  # at most BUCKETS
+        if not touched:
+            return
+        both = rows
+        if exists(spark, f"{path}/rows"):
+            old = spark.read.parquet(f"{path}/rows").filter(F.col("bucket").isin(touched)).withColumn("is_new", F.lit(0))
+            both = rows.unionByName(old.select(*rows.columns))
+        first = [order, "is_new"] if order else ["is_new"]
+        rest = [c for c in rows.columns if c not in (*keys, *first)]
+        best = both.groupBy(*keys).agg(F.max(F.struct(*first, *rest)).alias("b")).select(*keys, "b.*").select(*[c for c in rows.columns if c != "is_new"])
+        merged = cut(best, "merged")  # whole before any bucket is replaced
+        merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{path}/rows")
+        discard(rows, merged)
+
+    return stream.writeStream.outputMode("update").foreachBatch(merge).option("checkpointLocation", f"{path}/state")
+
 
-    return stream.writeStream.foreachBatch(merge).option("checkpointLocation", f"{path}/state")
+def upserted(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/rows").drop("bucket")
 
 
 def session_state(stream: DataFrame, late: str = "1 day") -> DataFrame:
-    """Running state of each person, as a hook would keep it: events, errors, last time, and the value since the last purchase.
-    ``applyInPandasWithState`` keeps one small record a person and is fed a person's rows in pieces."""
+    """Running state of each person, as a hook would keep it: events, errors, and the value since the last purchase.
+    ``applyInPandasWithState`` keeps one small record a person and is fed a person's rows in pieces; rows later than ``late`` are
+    dropped, and a person unseen for that long is forgotten (what was last said of them stays where it was written)."""
     import pandas as pd
     from pyspark.sql.streaming.state import GroupStateTimeout
 
     def step(key, pieces, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
         n, errors, since = state.get if state.exists else (0, 0, 0.0)
-        for pdf in pieces:
-            for kind, value in pdf.sort_values(["at", "event_id"])[["event_type", "value"]].itertuples(index=False):
-                n, errors = n + 1, errors + (kind == "error")
-                since = 0.0 if kind == "purchase" else since + (value or 0.0)
+        rows = pd.concat(list(pieces)).sort_values(["at", "event_id"])  # one person's rows of one batch
+        for kind, value in rows[["event_type", "value"]].itertuples(index=False):
+            n, errors = n + 1, errors + (kind == "error")
+            since = 0.0 if kind == "purchase" else since + (0.0 if pd.isna(value) else value)
         state.update((n, errors, since))
+        state.setTimeoutTimestamp(max(int(rows["at"].max().timestamp() * 1000), state.getCurrentWatermarkMs()) + 1)
         yield pd.DataFrame({"user_id": [key[0]], "events": [n], "errors": [errors], "since_purchase": [since]})
 
-    return stream.groupBy("user_id").applyInPandasWithState(step, "user_id long, events long, errors long, since_purchase double", "events long, errors long, since double", "update", GroupStateTimeout.NoTimeout)
+    own = stream.withWatermark("at", late).groupBy("user_id")
+    return own.applyInPandasWithState(step, "user_id long, events long, errors long, since_purchase double", "events long, errors long, since double", "update", GroupStateTimeout.EventTimeTimeout)
