@@ -43,6 +43,8 @@ def suggestions(names: DataFrame, wanted: str, n: int = 8) -> DataFrame:
     bounds. Lengths are compared before any distance is computed."""
     flat = lambda c: F.lower(F.translate(c, "_-", ""))
     own = names.select("name").distinct().filter(F.abs(F.length("name") - len(wanted)) <= FARTHEST)
+    # a swap is two plain edits: what is further than that on the JVM needs no look by Python
+    own = own.filter(F.levenshtein(F.lower("name"), F.lit(wanted.lower()), 2 * FARTHEST) >= 0)
     rows = own.withColumn("far", F.when(flat(F.col("name")) == flat(F.lit(wanted)), F.lit(0)).otherwise(osa_distance(F.lower("name"), F.lit(wanted.lower()))))
     alike = 1 - F.col("far") / F.greatest(F.length("name"), F.lit(len(wanted)))
     rows = rows.filter((F.col("far") <= FARTHEST) & (alike > ALIKE))

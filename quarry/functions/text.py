@@ -18,6 +18,7 @@ COPY_PATH = (
     r"(?i)(^|/)(tests?|__tests__|spec|testdata|fixtures?|__fixtures__|generated|__generated__|vendor)(/|$)"
     r"|(_test|\.(?:test|spec|gen|generated|pb))\.[a-z]+$|(^|/)(test_[^/]+|conftest)\.py$|(^|/)zz_generated[._]"
 )
+#: Words that ask for tests, and words that ask for anything but (fixed values).
 WANTS_TESTS = r"(?i)\b(tests?|testdata|specs?|coverage|assert(?:ion)?s?|fixtures?|mocks?|generated|vendor(?:ed)?)\b"
 CONTRAST = (
     r"(?i)\b(production|prod|non-?tests?|cop(?:y|ies)|duplicates?|skip(?:s|ped|ping)?|exclud(?:e|es|ed|ing)|ignor(?:e|es|ed|ing))\b"

@@ -17,6 +17,7 @@ RUNTIME_NAMES = (
     "hashCode compareTo run call close iterator apply accept toJSON render componentDidMount componentDidUpdate componentWillUnmount "
     "ngOnInit ngOnDestroy setUp tearDown setUpClass tearDownClass fmt drop from deref eq cmp partial_cmp hash clone default next poll"
 ).split()
+#: How bots are named (fixed values).
 BOT_NAME, BOT_MAIL, BOT_KNOWN = r"(?i)\[bot\]", r"(?i)\[bot\]@", r"(?i)^(github-actions|dependabot|renovate)(\[bot\])?$"
 
 

@@ -125,6 +125,34 @@ def file_seeds(nodes: DataFrame, path: str) -> DataFrame:
     return nodes.filter(F.col("path") == path).select("id")
 
 
+def file_blast(edges: DataFrame, nodes: DataFrame, path: str, most: int = 8) -> DataFrame:
+    """``source, relation, target, left``: the first ``most`` edges, in stored order, from elsewhere into what a file holds, and how many
+    more there are. ``path`` may be longer than the indexed one, as an absolute one is."""
+    inside = nodes.filter((F.col("path") == path) | F.lit("/" + path).endswith(F.concat(F.lit("/"), "path"))).select(F.col("id").alias("in_id"))
+    into = edges.join(inside, F.col("target") == F.col("in_id"), "left_semi").join(inside, F.col("source") == F.col("in_id"), "left_anti")
+    total = into.agg(F.count(F.lit(1)).alias("n"))
+    return into.orderBy("ord", "source", "relation").limit(most).join(F.broadcast(total)).select("source", "relation", "target", F.greatest(F.lit(0), F.col("n") - most).cast("long").alias("left"))
+
+
+def impact_by_origin(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
+    """``id, depth, relation, origins``: what each origin of ``seeds (id, origin)`` reaches against the edges, its own seeds aside,
+    merged: the least depth, and every origin that reaches it, in order."""
+    steps = walkable(edges).groupBy(F.col("target").alias("here"), F.col("source").alias("there")).agg(F.min(F.struct("ord", "relation")).alias("e"))
+    steps = cut(steps.select("here", "there", "e.*"), "steps")
+    seen = cut(seeds.select("id", "origin").distinct(), "seen")
+    frontier, out = seen, None
+    for d in range(1, depth + 1):
+        reached = frontier.join(steps, F.col("id") == F.col("here")).select("origin", "there", F.col("id").alias("via"), "ord", "relation")
+        reached = reached.join(seen.select(F.col("id").alias("s_id"), F.col("origin").alias("s_origin")), (F.col("there") == F.col("s_id")) & (F.col("origin") == F.col("s_origin")), "left_anti")
+        best = reached.groupBy("origin", "there").agg(F.min(F.struct("via", "ord", "relation")).alias("b"))
+        level = cut(best.select(F.col("there").alias("id"), "origin", F.lit(d).cast("long").alias("depth"), F.col("b.relation").alias("relation")), "reach")
+        out = level if out is None else out.unionByName(level)
+        if d == depth or level.isEmpty():
+            break
+        seen, frontier = seen.unionByName(level.select("id", "origin")), level.select("id", "origin")
+    return out.groupBy("id").agg(F.min(F.struct("depth", "origin", "relation")).alias("b"), F.array_sort(F.collect_set("origin")).alias("origins")).select("id", "b.depth", "b.relation", "origins")
+
+
 def path_steps(edges: DataFrame) -> DataFrame:
     """``here, there, ord``: calls, references and imports forward; implements backward, as a dispatch step."""
     ahead = edges.filter(F.col("relation").isin(*FORWARD)).select(F.col("source").alias("here"), F.col("target").alias("there"), "ord")

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def bins(start: Column, end: Column, width: int) -> Column:
@@ -33,12 +34,12 @@ def overlapping(ranges: DataFrame, spans: DataFrame, key: str, width: int = 64)
 
 
 def innermost(pairs: DataFrame, spans: DataFrame, key: str, width: int = 64) -> DataFrame:
-    """Of ``pairs (range_id, span_id)`` those whose span holds no other span of the same range."""
-    s = pairs.join(spans, "span_id").select("range_id", "span_id", key, "start", "end")
-    small = s.select(F.col("range_id").alias("i_range"), F.col("span_id").alias("i_id"), F.col("start").alias("i_start"), F.col("end").alias("i_end"))
-    holds = (F.col("range_id") == F.col("i_range")) & (F.col("span_id") != F.col("i_id")) & (F.col("start") <= F.col("i_start")) & (F.col("i_end") <= F.col("end"))
-    wider = (F.col("end") - F.col("start") > F.col("i_end") - F.col("i_start")) | (F.col("span_id") < F.col("i_id"))
-    return s.join(small, holds & wider, "left_anti").select("range_id", "span_id")
+    """Of ``pairs (range_id, span_id)`` those whose span holds no other span of the same range; of equal ones the last by id. In order
+    of start, the widest first, a span holds another if one after it ends no later: a range's spans are sorted, not paired."""
+    s = pairs.join(spans, "span_id").select("range_id", "span_id", "start", "end")
+    after = Window.partitionBy("range_id").orderBy("start", F.desc("end"), "span_id").rowsBetween(1, Window.unboundedFollowing)
+    least = F.min("end").over(after)
+    return s.withColumn("least", least).filter(F.col("least").isNull() | (F.col("least") > F.col("end"))).select("range_id", "span_id")
 
 
 def residual(lines: DataFrame, spans: DataFrame, key: str, at: str = "line", width: int = 64) -> DataFrame:
@@ -51,8 +52,6 @@ def residual(lines: DataFrame, spans: DataFrame, key: str, at: str = "line", wid
 def as_of(left: DataFrame, right: DataFrame, key: str, at: str, value: str, width: int) -> DataFrame:
     """Each left row with the ``value`` of the last right row of its key at or before it. The last of each bucket of ``width``
     is carried forward over buckets by a window of one row a bucket, so no key's rows ever meet in one task."""
-    from pyspark.sql.window import Window
-
     r = right.select(F.col(key).alias("k"), F.floor(F.col(at) / width).alias("b"), F.col(at).alias("r_at"), F.col(value).alias("r_value"))
     last = r.groupBy("k", "b").agg(F.max(F.struct("r_at", "r_value")).alias("last"))
     buckets = last.select("k", "b").unionByName(left.select(F.col(key).alias("k"), F.floor(F.col(at) / width).alias("b"))).distinct().join(last, ["k", "b"], "left")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from collections import deque
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -124,13 +123,10 @@ def freshness(indexed: DataFrame, present: DataFrame) -> DataFrame:
 
 def batch_status(selected: DataFrame) -> DataFrame:
     """``selected (batch, pick, path, start, end)`` with ``status``: ``covered`` where an earlier pick of the batch, or an equal or
-    wider one, holds the span, ``ok`` otherwise."""
-    a = selected.select(F.col("batch").alias("b_batch"), F.col("pick").alias("b_pick"), F.col("path").alias("b_path"), F.col("start").alias("b_start"), F.col("end").alias("b_end"))
-    holds = (F.col("batch") == F.col("b_batch")) & (F.col("path") == F.col("b_path")) & (F.col("pick") != F.col("b_pick")) & (F.col("b_start") <= F.col("start")) & (F.col("end") <= F.col("b_end"))
-    wider = (F.col("b_end") - F.col("b_start") > F.col("end") - F.col("start")) | (F.col("b_pick") < F.col("pick"))
-    covered = selected.join(a, holds & wider, "left_semi").withColumn("status", F.lit("covered"))
-    free = selected.join(a, holds & wider, "left_anti").withColumn("status", F.lit("ok"))
-    return covered.unionByName(free)
+    wider one, holds the span, ``ok`` otherwise. In order of start, the widest and earliest first, a span is held by another if
+    one before it ends no earlier: picks are sorted, not paired."""
+    before = Window.partitionBy("batch", "path").orderBy("start", F.desc("end"), "pick").rowsBetween(Window.unboundedPreceding, -1)
+    return selected.withColumn("status", F.when(F.max("end").over(before) >= F.col("end"), "covered").otherwise("ok"))
 
 
 def satisfied(types: DataFrame, interfaces: DataFrame) -> DataFrame:
@@ -147,27 +143,6 @@ def satisfied(types: DataFrame, interfaces: DataFrame) -> DataFrame:
     return got.join(total, F.col("interface") == F.col("t")).filter("n = all_n").select(F.col("owner").alias("type"), "interface")
 
 
-def shortest_loop(edges: list[tuple[str, str]], start: str) -> list[str]:
-    """The ids of a shortest way from ``start`` back to it within one component's edges (a report's few rows)."""
-    near: dict[str, list[str]] = {}
-    for a, b in edges:
-        near.setdefault(a, []).append(b)
-    before: dict[str, str] = {}
-    line = deque([start])
-    while line:
-        x = line.popleft()
-        for y in sorted(near.get(x, ())):
-            if y == start:
-                way = [x]
-                while way[-1] != start:
-                    way.append(before[way[-1]])
-                return way[::-1] + [start]
-            if y not in before:
-                before[y] = x
-                line.append(y)
-    return []
-
-
 def coarsened(groups: dict[str, int], most: int = GROUPS) -> dict[str, int]:
     """A report's folders folded into their parents, deepest first, until no more than ``most`` are left."""
     out = dict(groups)

@@ -189,3 +189,22 @@ def map_totals(r: Relations):
     a = r.nodes().agg(F.count(F.lit(1)).alias("nodes"), F.count_distinct("path").alias("files"))
     b = r.edges().agg(F.count(F.lit(1)).alias("edges"), F.count(F.when(F.col("relation") != "contains", 1)).alias("walkable"))
     return a.join(F.broadcast(b))
+
+
+@R.query(with_relations("""
+WITH inside AS (SELECT id FROM nodes WHERE path = 'AMERICA/NATION_1/BUILDING'), e AS (SELECT *, count(*) OVER () AS n FROM edges WHERE target IN (FROM inside) AND source NOT IN (FROM inside))
+SELECT source, relation, target, greatest(0, n - 8)::BIGINT AS left FROM e ORDER BY ord, source, relation LIMIT 8""", "nodes", "edges"))
+def graph_file_blast(r: Relations):
+    return G.file_blast(r.edges(), r.nodes(), "/data/AMERICA/NATION_1/BUILDING")
+
+
+@R.query(with_relations("""
+WITH RECURSIVE walk AS (SELECT DISTINCT source, target FROM edges WHERE relation <> 'contains'), seed AS (SELECT id, path AS origin FROM nodes WHERE path IN ('EUROPE/NATION_3/BUILDING', 'ASIA/NATION_2/MACHINERY')),
+reach AS (SELECT id, origin, 0::BIGINT AS depth FROM seed UNION SELECT walk.source, origin, depth + 1 FROM reach JOIN walk ON walk.target = reach.id WHERE depth < 2),
+own AS (SELECT id, origin, min(depth) AS depth FROM reach WHERE (id, origin) NOT IN (SELECT (id, origin) FROM seed) GROUP BY id, origin)
+SELECT id, min(depth) AS depth, string_agg(origin, ',' ORDER BY origin) AS origins FROM own GROUP BY id""", "nodes", "edges"))
+def graph_impact_by_origin(r: Relations):
+    """What two changed files reach, merged."""
+    seeds = r.nodes().filter(F.col("path").isin("EUROPE/NATION_3/BUILDING", "ASIA/NATION_2/MACHINERY")).select("id", F.col("path").alias("origin"))
+    out = G.impact_by_origin(r.edges(), seeds, 2)
+    return out.select("id", "depth", F.array_join("origins", ",").alias("origins"))

@@ -3,18 +3,19 @@
 from __future__ import annotations
 
 import re
+import subprocess
 import sys
 
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.operators.analysis import is_bot
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-#: What a history reads, and what a file of a diff keeps.
+#: What a history reads, what a file of a diff keeps, and the form of a no-reply address.
 MONTHS, COMMITS, HUNK_LINES, FILE_LINES = 36, 400, 24, 200
 NOREPLY = r"(?i)^(?:\d+\+)?([A-Za-z0-9](?:-?[A-Za-z0-9]){0,38})@users\.noreply\.github\.com$"
 
@@ -91,3 +92,79 @@ def patches(texts: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_pylist(parse_patch(text or ""), schema=schema)
 
     return texts.select("patch").mapInArrow(run, PATCH)
+
+
+# Reading a repository: the driver runs git where the repository lies, and what it prints becomes rows. History is bounded by the
+# numbers above; listings and patches are as long as the repository's.
+
+
+def git(root: str, *args: str) -> str:
+    done = subprocess.run(["git", "-c", "core.quotePath=false", "-c", "safe.directory=*", "-C", root, *args], capture_output=True, check=False)
+    if done.returncode:
+        raise ValueError(f"git {args[0]}: {done.stderr.decode('utf-8', 'replace').strip()}")
+    return done.stdout.decode("utf-8", "replace")
+
+
+def safe_ref(ref: str) -> str:
+    """A revision's name; one that git would take for an option is refused."""
+    if not ref or ref.startswith("-"):
+        raise ValueError(f"not a revision: {ref!r}")
+    return ref
+
+
+def visible(spark: SparkSession, root: str, submodules: bool = False, nested: bool = False) -> DataFrame:
+    """``path`` of what git shows: tracked, and untracked but not ignored; files of submodules, and of other repositories inside, only
+    if asked for."""
+    staged = [x.split("\t", 1) for x in git(root, "ls-files", "-s", "-z").split("\0") if x]
+    inner = sorted({p for mode, p in staged if mode.startswith("160000")})
+    own = {p for mode, p in staged if not mode.startswith("160000")}
+    loose = {p for p in git(root, "ls-files", "-z", "--others", "--exclude-standard").split("\0") if p}
+    own |= {p for p in loose if not p.endswith("/")}
+    below = ([p for p in inner] if submodules else []) + ([p.rstrip("/") for p in sorted(loose) if p.endswith("/")] if nested else [])
+    for folder in below:
+        try:
+            own |= {f"{folder}/{r['path']}" for r in visible(spark, f"{root}/{folder}", submodules, nested).collect()}
+        except ValueError:  # a submodule that isn't checked out shows nothing
+            continue
+    return spark.createDataFrame([(p,) for p in sorted(own)], "path string")
+
+
+def history(spark: SparkSession, root: str, commits: int = COMMITS, months: int = MONTHS, paths: tuple[str, ...] = ()) -> DataFrame:
+    """The last commits that are no merges, as parse_log gives them."""
+    out = git(root, "log", f"-n{commits}", "--no-merges", f"--since={months} months ago", "--name-only", "--format=%x1e%H%x1f%cI%x1f%an%x1f%ae", "--", *paths)
+    return parse_log(spark.createDataFrame([(x.strip("\n"),) for x in out.split("\x1e") if x.strip()], "record string"))
+
+
+STATUS = {"A": "added", "D": "deleted", "M": "modified", "T": "modified", "R": "renamed", "C": "added"}
+
+
+def name_status(text: str) -> list[tuple[str, str, str | None]]:
+    """(path, status, old path) of NUL-separated fields; a rename has two paths."""
+    fields, out = [x for x in text.split("\0") if x], []
+    while fields:
+        kind = fields.pop(0)[0]
+        old = fields.pop(0) if kind in "RC" else None
+        if fields:
+            out.append((fields.pop(0), STATUS.get(kind, "modified"), old if kind == "R" else None))
+    return out
+
+
+def changes(spark: SparkSession, root: str, base: str, head: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(``path, status, old_path``; changed ranges as patches gives them) between ``base`` and ``head``, or what is on disk."""
+    refs = [safe_ref(base)] + ([safe_ref(head)] if head else [])
+    names = name_status(git(root, "diff", "-z", "--name-status", "-M", *refs, "--"))
+    patch = git(root, "diff", "-M", "--unified=0", "--no-color", *refs, "--")
+    return spark.createDataFrame(names, "path string, status string, old_path string"), patches(spark.createDataFrame([(patch,)], "patch string"))
+
+
+def authors(spark: SparkSession, root: str, base: str, head: str = "HEAD") -> DataFrame:
+    """``name, email`` of those who wrote what ``head`` has and ``base`` lacks, named as authors or in co-author trailers."""
+    span = f"{safe_ref(base)}..{safe_ref(head)}"
+    out = git(root, "log", span, "--format=%an%x1f%ae%x1f%(trailers:key=Co-authored-by,valueonly,separator=%x1e)%x00")
+    rows = set()
+    for entry in out.split("\0"):
+        parts = entry.strip("\n").split("\x1f")
+        if len(parts) == 3:
+            rows.add((parts[0], parts[1]))
+            rows |= {(m[1].strip(), m[2]) for x in parts[2].split("\x1e") if (m := re.match(r"(.*)<([^<>]+)>\s*$", x.strip()))}
+    return spark.createDataFrame(sorted(rows), "name string, email string")

@@ -136,8 +136,6 @@ def test_as_of(spark):
 def test_report_steps():
     from quarry.operators import retrieval as T
 
-    assert T.shortest_loop([("a", "b"), ("b", "c"), ("c", "a"), ("b", "a")], "a") == ["a", "b", "a"]
-    assert T.shortest_loop([("a", "b")], "a") == []
     assert T.coarsened({"a/b/c": 1, "a/b/d": 2, "a/e": 3, "f": 4}, 2) in ({"a": 6, "f": 4}, {"a/b": 3, "a": 3, "f": 4}) and sum(T.coarsened({"a/b": 1, "c/d": 2, "e": 3}, 1).values()) == 6
     assert [T.limited([1, 2, 3], x) for x in (float("nan"), 1.9, -1, float("inf"), 0)] == [[], [1], [1, 2], [1, 2, 3], []]
     hits = [{"id": "a", "code": "x" * 4000, "doc": None}, {"id": "b", "code": "y" * 4000, "doc": "z"}]
