@@ -23,11 +23,13 @@ So nodes are compared within buckets and with their leaders, never all over a co
 
 Nulls: a null text has no words. Documents without words are linked with nothing. A row with a null id is linked with
 nothing either, its component is null and it is kept. Rows that share an id are one document. Texts of any length are
-used whole: they are hashed in slices of a bounded number of bytes. Empty tables give no rows.
+used whole: words are hashed in slices of about SLICE_BYTES, a long text in several; its shingles (8 bytes each, several times
+over) are in memory at once. Empty tables give no rows.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from math import ceil
 
@@ -44,6 +46,7 @@ WORDS = 5
 PERCENT = 85
 COORDINATES, MISS = 640, 1e-6
 SLICE_BYTES = 1 << 20
+GAP = re.compile(rb"[\x20\x09-\x0D]")
 #: A group holds about as many documents and shingles at most.
 GROUP_DOCS, GROUP_SHINGLES = 256, 600_000
 DEPTH = 3
@@ -65,8 +68,25 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
+def pieces(text: bytes) -> Iterator[bytes]:
+    """A text in pieces of SLICE_BYTES, each up to the end of the word that it would cut."""
+    at = 0
+    while at < len(text):
+        gap = GAP.search(text, at + SLICE_BYTES)
+        end = gap.start() if gap else len(text)
+        yield text[at:end]
+        at = end
+
+
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each word, number of its text). Words are runs of other than ASCII white space, A-Z lower-cased."""
+    if len(texts) == 1 and len(texts[0]) > SLICE_BYTES:
+        parts = [_hashed([x])[0] for x in pieces(texts[0])]
+        return (words := np.concatenate(parts)), np.zeros(len(words), np.int64)
+    return _hashed(texts)
+
+
+def _hashed(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     joined = b"\n".join(texts)
     raw = np.frombuffer(joined, np.uint8)
     gap = (raw == 32) | ((raw >= 9) & (raw <= 13))
@@ -304,7 +324,7 @@ def led(lead: DataFrame) -> tuple[DataFrame, DataFrame]:
     return followers, cut(taken, "leaders")
 
 
-NODE = ["node", "th", "n", "bands"]
+NODE = ["node", "th", "n"]
 
 
 def first_groups(followers: DataFrame, leaders: DataFrame) -> DataFrame:
@@ -318,9 +338,9 @@ def first_groups(followers: DataFrame, leaders: DataFrame) -> DataFrame:
     return rows.select(F.xxhash64("leader", "chunk").alias("comp"), "node", "th", F.lit(0).alias("block"), (F.col("w") / F.col("chunks") + weight("l_n")).alias("w"), weight("n").alias("share"))
 
 
-def dealt_again(live: DataFrame, depth: int) -> tuple[DataFrame, DataFrame]:
-    """Of ``live (key, node, th, n, bands, comp, leader, whole)``, the members of buckets: (groups to verify, the members of divided
-    buckets, named anew, for the next round)."""
+def dealt_again(live: DataFrame, bands: DataFrame, depth: int) -> tuple[DataFrame, DataFrame]:
+    """Of ``live (key, node, th, n, comp, leader, whole)``, the members of buckets: (groups to verify, the members of divided buckets,
+    named anew, for the next round). ``bands (b_node, bands)`` are fetched for members of divided buckets only."""
     size = weight("n")
     facts = live.groupBy(F.col("key").alias("b_key")).agg(F.min("node").alias("low"), F.count(F.lit(1)).alias("c"), F.sum(size).alias("bw"), F.min("comp").alias("main"), F.max("comp").alias("other"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("sign"))
     facts = facts.filter("main <> other").drop("other")
@@ -344,7 +364,7 @@ def dealt_again(live: DataFrame, depth: int) -> tuple[DataFrame, DataFrame]:
     pairs = rows.filter("way = 'blocks'").withColumn("block", F.pmod(F.xxhash64("node", F.lit("block")), blocks)).withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
     i, j = F.least("block", "with"), F.greatest("block", "with")
     out = out.unionByName(pairs.select(F.xxhash64("key", i, j, F.lit(depth)).alias("comp"), "node", "th", F.col("block").cast("int").alias("block"), F.lit(1.0).alias("w"), size.alias("share")))
-    again = rows.filter("way = 'divide'").withColumn("band", F.explode("bands")).filter("band <> key")
+    again = rows.filter("way = 'divide'").select("key", *NODE, "leader").join(bands, F.col("node") == F.col("b_node")).withColumn("band", F.explode("bands")).filter("band <> key")
     return out, again.select(F.xxhash64("key", "band").alias("key"), *NODE, "leader", F.lit(False).alias("whole"))
 
 
@@ -356,11 +376,12 @@ def links_of(docs: DataFrame, lead: DataFrame, percent: int) -> DataFrame:
     roots = components(links, "roots")
     whole = leaders.filter("chunks = 1").select(F.col("l_node").alias("whole_node"))
     near = followers.join(whole, F.col("leader") == F.col("whole_node"), "left").withColumn("whole", F.col("whole_node").isNotNull()).drop("whole_node")
-    live = near.withColumn("key", F.explode("bands"))
+    live = near.select(*NODE, "leader", "whole", F.explode("bands").alias("key"))
+    bands = followers.select(F.col("node").alias("b_node"), "bands")
     for depth in range(DEPTH + 1):
         known = roots.select(F.col("node").alias("r_node"), "root")
         live = live.join(known, F.col("node") == F.col("r_node"), "left").withColumn("comp", F.coalesce("root", "node")).drop("r_node", "root")
-        groups, live = dealt_again(live, depth)
+        groups, live = dealt_again(live, bands, depth)
         new = confirmed(texts, groups, percent)
         if not new.isEmpty():
             links = links.unionByName(new)

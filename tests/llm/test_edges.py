@@ -142,6 +142,14 @@ def test_sketch_properties():
     assert (both[0] == one[0]).all() and (both[1] == tiny[0]).all()
 
 
+def test_long_texts_are_hashed_in_pieces(monkeypatch):
+    text = ("ab\tCd  éé " * 300 + "x" * 500 + " end ").encode()
+    whole = near_dedup.word_hashes([text])[0]
+    monkeypatch.setattr(near_dedup, "SLICE_BYTES", 64)
+    assert (near_dedup.word_hashes([text])[0] == whole).all() and max(map(len, near_dedup.pieces(text))) <= 600
+    assert (near_dedup.word_hashes([b"x" * 500])[0] == near_dedup._hashed([b"x" * 500])[0]).all()
+
+
 def test_substring_dedup(spark, nothing):
     one, two = "The passage runs on for quite a while here and never comes to speak of much else at all. ", "And it has a second sentence of some length, with a clause or two. "
     p = one + two + "And even a third."
