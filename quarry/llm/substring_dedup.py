@@ -19,6 +19,7 @@ characters have no span and stay whole. Texts of any length are used whole. Empt
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 import zlib
 
@@ -47,17 +48,17 @@ def sentences(text: str, memo: dict[str, bool]) -> list[str]:
     out, a = [], 0
     for b in [*(m.end() for m in BREAK.finditer(text)), len(text)]:
         piece = text[a:b]
-        if b - a > 2 * BOUND and len(words := WORD.findall(piece)) > BOUND:
+        # str.split knows more white space, so it never finds fewer words
+        if b - a > 2 * BOUND and len(piece.split()) > BOUND and len(words := WORD.findall(piece)) > BOUND:
             at = len(piece) - sum(map(len, words))  # white space at the very start
             begin = 0
             for w in words:
                 at += len(w)
-                word = w.rstrip(SPACE)
-                cut_here = memo.get(word)
+                cut_here = memo.get(w)
                 if cut_here is None:
-                    cut_here = hashlib.md5(word.encode()).digest()[0] < CUT
+                    cut_here = hashlib.md5(w.rstrip(SPACE).encode()).digest()[0] < CUT
                     if len(memo) < MEMO:
-                        memo[word] = cut_here
+                        memo[w] = cut_here
                 if cut_here:
                     out.append(piece[begin:at])
                     begin = at
@@ -71,31 +72,36 @@ def sentences(text: str, memo: dict[str, bool]) -> list[str]:
 def _grown(sizes: list[int]) -> list[tuple[int, int]]:
     """(first, end) of the shortest runs from each sentence and up to each that have ``RUN`` sentences and ``LEAST`` characters."""
     found = set()
-    end = total = 0
-    for first, size in enumerate(sizes):
-        while end < len(sizes) and (total < LEAST or end - first < RUN):
-            total += sizes[end]
+    upto = [0, *itertools.accumulate(sizes)]
+    n, end = len(sizes), 0
+    for first, ahead in enumerate(upto):
+        end = max(end, first + RUN)
+        while end <= n and upto[end] - ahead < LEAST:
             end += 1
-        if total < LEAST or end - first < RUN:
+        if end > n:
             break
         found.add((first, end))
-        total -= size
-    first = total = 0
-    for end, size in enumerate(sizes, 1):
-        total += size
-        while end - first > RUN and total - sizes[first] >= LEAST:
-            total -= sizes[first]
+    first = 0
+    for end in range(RUN, n + 1):
+        total = upto[end]
+        if total < LEAST:
+            continue
+        while first < end - RUN and total - upto[first + 1] >= LEAST:
             first += 1
-        if total >= LEAST and end - first >= RUN:
-            found.add((first, end))
+        found.add((first, end))
     return sorted(found)
 
 
+def digests_of(own: list[str], ends: list[tuple[int, int]]) -> list[bytes]:
+    return [xxhash.xxh3_128_digest("\x1f".join(own[i:j])) for i, j in ends]
+
+
 def runs(pieces: list[str]) -> list[tuple[int, int, bytes]]:
     """(first, last, digest) of each span, in order; white space only is no sentence."""
     real = [(k, s) for k, p in enumerate(pieces) if (s := p.strip(SPACE))]
     own = [s for _, s in real]
-    return [(real[i][0], real[j - 1][0], xxhash.xxh3_128_digest("\x1f".join(own[i:j]))) for i, j in _grown([len(s) for s in own])]
+    ends = _grown([len(s) for s in own])
+    return [(real[i][0], real[j - 1][0], d) for (i, j), d in zip(ends, digests_of(own, ends))]
 
 
 SPAN = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("pos", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64())])
@@ -105,24 +111,26 @@ BATCH = 100_000
 def _spans(batches):
     memo = {}
     for batch in batches:
-        ids, ths, pos, digests = [], [], [], []
+        docs, ths, counts, pos, digests = [], [], [], [], []
 
         def full():
             h = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2) if digests else np.empty((0, 2), np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ths, pa.int64()), pa.array(pos, pa.int32()), pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy())], schema=SPAN)
+            each = np.array(counts, np.int64)
+            names = (np.repeat(np.array(x, np.int64), each) for x in (docs, ths))
+            return pa.RecordBatch.from_arrays([*map(pa.array, names), pa.array(pos, pa.int32()), pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy())], schema=SPAN)
 
         for doc, th, text in zip(*(c.to_pylist() for c in batch.columns)):
-            seen = set()
-            for k, (_, _, digest) in enumerate(runs(sentences(text, memo))):
-                if digest not in seen:
-                    seen.add(digest)
-                    ids.append(doc)
-                    ths.append(th)
-                    pos.append(k)
-                    digests.append(digest)
-            if len(ids) >= BATCH:
+            own = [s for p in sentences(text, memo) if (s := p.strip(SPACE))]
+            found = digests_of(own, _grown([len(s) for s in own]))
+            first = dict(zip(found[::-1], range(len(found) - 1, -1, -1)))  # of equal spans the first one's number
+            docs.append(doc)
+            ths.append(th)
+            counts.append(len(first))
+            pos += first.values()
+            digests += first
+            if len(digests) >= BATCH:
                 yield full()
-                ids, ths, pos, digests = [], [], [], []
+                docs, ths, counts, pos, digests = [], [], [], [], []
         yield full()
 
 
