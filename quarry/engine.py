@@ -205,7 +205,13 @@ class Engine:
         over = above.join(kin, F.col("holder") == F.col("k_id")).select("c_id", "kin").distinct()
         nodes = nodes.join(over, F.col("id") == F.col("c_id"), "left").withColumn("overriding", F.coalesce("kin", F.lit(False)) & (F.col("kind") == "method") & (F.col("family") != "go"))
         faces = above.join(self.graph.nodes.filter("kind = 'interface'").select(F.col("id").alias("i_id")), F.col("holder") == F.col("i_id"), "left_semi").select(F.col("c_id").alias("asked"))
-        nodes = cut(nodes.join(faces, F.col("id") == F.col("asked"), "left_anti"), "dead_nodes")
+        nodes = nodes.join(faces, F.col("id") == F.col("asked"), "left_anti")
+        # what Go keeps within the module: internal packages, and those of commands
+        folder = F.regexp_replace("path", "/?[^/]*$", "")
+        commands = self.graph.nodes.filter("kind = 'function' AND name = 'main' AND family = 'go'").select(folder.alias("m_dir")).distinct().withColumn("command", F.lit(True))
+        inside = (F.col("family") == "go") & (F.col("path").rlike("(^|/)internal/") | F.coalesce("command", F.lit(False)))
+        nodes = nodes.join(commands, folder == F.col("m_dir"), "left").withColumn("exported", F.col("exported") & ~F.coalesce(inside, F.lit(False)))
+        nodes = cut(nodes.drop("m_dir", "command"), "dead_nodes")
         unseen = self.graph.unresolved.filter("reason IN ('receiver_unknown', 'member_ambiguous', 'name_ambiguous')").select("name")
         dead = A.dead_symbols(nodes, self.graph.edges, unseen, A.mention_counts(lines, nodes.select("name")))
         rank = F.when(F.col("confidence") == "high", 0).when(F.col("confidence") == "medium", 1).otherwise(2)
@@ -230,14 +236,27 @@ class Engine:
         return H.routes(self.graph.files, self.graph.nodes).orderBy("path", "method", "file", "line")
 
     def blast(self, changes: DataFrame, depth: int = 3) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """(seeds, what they reach, its folders) of ``changes (path, range_id, start, end)``."""
+        """(seeds ``id, path``; what they reach, with every changed file it is reached from; its folders, those of most dependents
+        first) of ``changes (path, range_id, start, end)``. A file that isn't indexed has no seed; a changed range outside any
+        symbol stands for its file."""
         spans = self.graph.nodes.filter("kind <> 'file'").select("path", F.col("id").alias("span_id"), F.col("start_line").alias("start"), F.col("end_line").alias("end"))
-        keyed = changes.withColumn("range_id", F.concat_ws("@", "path", F.col("range_id").cast("string")))
+        known = self.graph.nodes.filter("kind = 'file'").select(F.col("path").alias("k_path"))
+        keyed = changes.join(known, F.col("path") == F.col("k_path"), "left_semi").withColumn("range_id", F.concat_ws("@", "path", F.col("range_id").cast("string")))
         seeds = A.blast_seeds(keyed, spans, "path").join(keyed.select(F.col("range_id").alias("r"), "path"), F.col("range_id") == F.col("r"))
-        seeds = cut(seeds.select(F.coalesce("span_id", "path").alias("id"), "path"), "blast_seeds")
-        reach = G.impact(self.graph.edges, seeds.select("id"), depth)
+        seeds = cut(seeds.select(F.coalesce("span_id", "path").alias("id"), "path").distinct(), "blast_seeds")
+        reach = G.impact_by_origin(self.graph.edges, seeds.select("id", F.col("path").alias("origin")), depth)
         return seeds, reach, A.blast_modules(reach, self.graph.nodes, directory(F.col("path"))).orderBy(F.desc("dependents"), "dir")
 
+    def unindexed(self, changes: DataFrame) -> DataFrame:
+        """Changed paths that the graph has no file for."""
+        known = self.graph.nodes.filter("kind = 'file'").select(F.col("path").alias("k_path"))
+        return changes.select("path").distinct().join(known, F.col("path") == F.col("k_path"), "left_anti").orderBy("path")
+
+    def callers_known(self, symbol: str) -> DataFrame:
+        """How sure the list of a symbol's callers is."""
+        found = self.resolve(symbol).select(F.col("id").alias("r_id"))
+        return G.caller_bound(self.graph.edges, self.graph.nodes, self.graph.unresolved).join(found, F.col("id") == F.col("r_id"), "left_semi")
+
     def check(self, before: DataFrame) -> DataFrame:
         """Drift of nodes against an earlier build's ``(path, body_hash, size)``, path standing for a node's id."""
         now = self.graph.nodes.select(F.col("id").alias("path"), "body_hash", F.length("body").alias("size"))
@@ -258,6 +277,13 @@ def markdown(seeds: DataFrame, modules: DataFrame, most: int = 20) -> str:
     return "\n".join(["## Changed", *head, "", "## Dependents", "| folder | symbols | nearest |", "| --- | --- | --- |", *rows, ""])
 
 
+def plain(seeds: DataFrame, modules: DataFrame, most: int = 20) -> str:
+    """The same as text."""
+    head = [f"  {r['id']}" for r in seeds.orderBy("id").limit(most).collect()]
+    rows = [f"  {r['dir']}: {r['dependents']} within {r['nearest']} steps or more" for r in modules.orderBy(F.desc("dependents"), "dir").limit(most).collect()]
+    return "\n".join(["changed:", *head, "dependents:", *rows, ""])
+
+
 def mermaid(steps: list[str]) -> str:
     """A chain of ids as a flow chart."""
     names = [f'  n{k}["{s.rsplit("#", 1)[-1].replace(chr(34), chr(39))}"]' for k, s in enumerate(steps)]

@@ -142,6 +142,20 @@ def is_copy(path: Column) -> Column:
     return path.rlike(COPY_PATH)
 
 
+#: Paths of tests, by the narrower rule of reports on changes (fixed value).
+TEST_PATH = r"(?i)(^|/)(tests?|specs?|__tests__)/|\.(test|spec)\.[cm]?[jt]sx?$|_test\.(go|py|rb)$"
+
+
+def is_test(path: Column) -> Column:
+    return path.rlike(TEST_PATH)
+
+
+def names_hit(name: Column, query: str) -> Column:
+    """Whether a query has a symbol's name, the last part of a dotted one, among its words, case aside."""
+    words = sorted({w for w in re.split(r"[^\w]+", query.lower()) if w})
+    return F.lower(F.substring_index(name, ".", -1)).isin(words)
+
+
 def asks_for_tests(query: str, prefix: str = "") -> bool:
     return bool(re.search(WANTS_TESTS, query) and not re.search(CONTRAST, query)) or bool(prefix and re.search(COPY_PATH, prefix))
 

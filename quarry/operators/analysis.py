@@ -201,3 +201,9 @@ def session_mix(events: DataFrame) -> DataFrame:
     """Per person: events by kind, distinct days, total and mean value."""
     day = F.to_date("ts")
     return events.groupBy("user_id").agg(F.count(F.lit(1)).alias("events"), F.count(F.when(F.col("event_type") == "error", 1)).alias("errors"), F.count_distinct(day).alias("days"), F.round(F.sum("value"), 4).alias("value"))
+
+
+def graph_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row for a status line: ``nodes, files, edges, kinds``, the kinds in order."""
+    a = nodes.agg(F.count(F.lit(1)).alias("nodes"), F.count_distinct("path").alias("files"), F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("kinds"))
+    return a.join(F.broadcast(edges.agg(F.count(F.lit(1)).alias("edges"))))

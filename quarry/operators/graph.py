@@ -335,12 +335,21 @@ def pagerank(edges: DataFrame, seeds: DataFrame, rounds: int = 25, restart: floa
     return mass.join(F.broadcast(top)).select("id", (F.col("m") / F.col("top")).alias("rank"))
 
 
-def caller_bound(edges: DataFrame) -> DataFrame:
-    """Per called node: ``n_calls, n_callers, n_references, exact``: whether the list of callers is known to be whole."""
+def caller_bound(edges: DataFrame, nodes: DataFrame | None = None, unresolved: DataFrame | None = None) -> DataFrame:
+    """Per called node: ``n_calls, n_callers, n_references, exact``: whether the list of callers is known to be whole. With ``nodes``
+    and ``unresolved (name, reason, n)`` every callable has a row, with ``untyped``, the uses of its name on receivers of unknown
+    type (a Go function has none such), and ``ambiguous``, those that fit several definitions: both make it inexact."""
     own = edges.filter(F.col("relation").isin("calls", "references"))
     calls = F.col("relation") == "calls"
     out = own.groupBy(F.col("target").alias("id")).agg(F.count(F.when(calls, 1)).alias("n_calls"), F.count_distinct(F.when(calls, F.col("source"))).alias("n_callers"), F.count(F.when(~calls, 1)).alias("n_references"))
-    return out.withColumn("exact", F.col("n_references") == 0)
+    if nodes is None:
+        return out.withColumn("exact", F.col("n_references") == 0)
+    loose = unresolved.groupBy(F.col("name").alias("u_name")).agg(F.sum(F.when(F.col("reason") == "receiver_unknown", F.col("n"))).alias("u"), F.sum(F.when(F.col("reason").isin("member_ambiguous", "name_ambiguous"), F.col("n"))).alias("a"))
+    rows = nodes.filter("kind IN ('function', 'method')").select(F.col("id").alias("n_id"), "name", ((F.col("kind") == "function") & F.col("path").endswith(".go")).alias("bare"))
+    rows = rows.join(out, F.col("n_id") == F.col("id"), "left").join(loose, F.col("name") == F.col("u_name"), "left")
+    count = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    rows = rows.select(F.col("n_id").alias("id"), *[count(c).alias(c) for c in ("n_calls", "n_callers", "n_references")], count(F.when(~F.col("bare"), F.col("u"))).alias("untyped"), count("a").alias("ambiguous"))
+    return rows.withColumn("exact", F.col("n_references") + F.col("untyped") + F.col("ambiguous") == 0)
 
 
 def resolve_symbol(nodes: DataFrame, query: str) -> DataFrame:

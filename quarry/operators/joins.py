@@ -146,3 +146,9 @@ def type_methods(nodes: DataFrame) -> DataFrame:
     """``type, path, methods, first``: how many methods each type has in a file, and the first of them by id."""
     own = nodes.filter("owner IS NOT NULL")
     return own.groupBy(F.col("owner").alias("type"), "path").agg(F.count(F.lit(1)).alias("methods"), F.min("id").alias("first"))
+
+
+def hit_nodes(hits: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Search hits ``(title, pointer)`` with the node ``(id, name, path)`` that each shows; a hit that none matches keeps a null id."""
+    own = nodes.select("id", F.col("name").alias("n_name"), F.col("path").alias("n_path"))
+    return hits.join(own, (F.col("title") == F.col("n_name")) & (F.col("pointer") == F.col("n_path")), "left").drop("n_name", "n_path")

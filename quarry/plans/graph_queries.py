@@ -208,3 +208,19 @@ def graph_impact_by_origin(r: Relations):
     seeds = r.nodes().filter(F.col("path").isin("EUROPE/NATION_3/BUILDING", "ASIA/NATION_2/MACHINERY")).select("id", F.col("path").alias("origin"))
     out = G.impact_by_origin(r.edges(), seeds, 2)
     return out.select("id", "depth", F.array_join("origins", ",").alias("origins"))
+
+
+@R.query(with_relations("SELECT (SELECT count(*) FROM nodes) AS nodes, (SELECT count(DISTINCT path) FROM nodes) AS files, (SELECT string_agg(DISTINCT kind, ',' ORDER BY kind) FROM nodes) AS kinds, (SELECT count(*) FROM edges) AS edges", "nodes", "edges"))
+def map_stats(r: Relations):
+    from quarry.operators import analysis as A
+
+    return A.graph_stats(r.nodes(), r.edges())
+
+
+@R.query(with_relations(f"WITH h AS ({HUBS.strip()}) SELECT h.name AS title, h.path AS pointer, n.id FROM h LEFT JOIN nodes n ON n.name = h.name AND n.path = h.path", "nodes", "edges"))
+def join_hit_nodes(r: Relations):
+    """The hubs' nodes, found again by title and place."""
+    from quarry.operators import joins as J
+
+    hits = G.hubs(r.edges(), r.nodes()).select(F.col("name").alias("title"), F.col("path").alias("pointer"))
+    return J.hit_nodes(hits, r.nodes())

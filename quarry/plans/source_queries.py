@@ -316,3 +316,52 @@ def text_located(r: Relations):
     spec = F.concat(F.expr("repeat('../', 0)"), F.repeat(F.lit("../"), up.cast("int")), F.lit("./x//y.py"))
     folder = F.regexp_replace("path", "/?[^/]*$", "")
     return paths(r).join(p, F.col("id") == F.col("k")).select("id", B.located(folder, spec).alias("place"))
+
+
+MARKED = f"marked AS (SELECT p_partkey AS id, ltrim({sql_list(('', 'app', 'app/web', 'lib/core', 'lib/core/deep', 'svc'))}[p_partkey % 6 + 1] || '/' || {sql_list(('package.json', 'go.mod', 'readme.md', 'setup.py', 'x.py'))}[p_size % 5 + 1], '/') AS path FROM part)"
+
+
+@R.query(f"""WITH {MARKED}, m AS (SELECT DISTINCT CASE WHEN contains(path, '/') THEN regexp_replace(path, '/[^/]*$', '') ELSE '' END AS prefix, regexp_extract(path, '([^/]+)$', 1) AS mark FROM marked),
+k AS (SELECT prefix, string_agg(mark, ',' ORDER BY list_position(['package.json', 'go.mod', 'setup.py'], mark)) AS markers FROM m WHERE mark IN ('package.json', 'go.mod', 'setup.py') AND len(string_split(prefix, '/')) <= 2 GROUP BY prefix)
+SELECT prefix, markers FROM k WHERE NOT contains(prefix, '/') OR split_part(prefix, '/', 1) NOT IN (SELECT prefix FROM k)""")
+def source_scopes(r: Relations):
+    """Sub-projects by their marks, at most two folders deep, none below another."""
+    from quarry.sources import scopes
+
+    pick = lambda items, k: F.element_at(F.array(*map(F.lit, items)), (k + 1).cast("int"))
+    path = F.concat(pick(("", "app", "app/web", "lib/core", "lib/core/deep", "svc"), F.col("p_partkey") % 6), F.lit("/"), pick(("package.json", "go.mod", "readme.md", "setup.py", "x.py"), F.col("p_size") % 5))
+    files = r.table("part").select(F.ltrim(path, F.lit("/")).alias("path"))
+    return scopes.discover(files).select("prefix", F.array_join("markers", ",").alias("markers"))
+
+
+@R.query(f"WITH {PATHS} SELECT id, regexp_matches(path, '{X.TEST_PATH}') AS test, lower(regexp_extract(replace(p_name, ' ', '.'), '([^.]*)$', 1)) IN ('widget', 'find', 'the', 'gadget', 'x') AS named FROM paths JOIN part ON id = p_partkey")
+def text_test_paths(r: Relations):
+    """Paths of tests, by the rule for changes; names that a question names."""
+    p = r.table("part").select(F.col("p_partkey").alias("k"), F.replace("p_name", F.lit(" "), F.lit(".")).alias("name"))
+    return paths(r).join(p, F.col("id") == F.col("k")).select("id", X.is_test(F.col("path")).alias("test"), X.names_hit(F.col("name"), "find the Widget, gadget-x").alias("named"))
+
+
+@R.query(f"""WITH {MODULES}, e AS (SELECT a.stem, a.p_partkey AS k, a.i, b.p_partkey AS b, b.stem AS bs, a.p_retailprice FROM fn a JOIN fn b ON b.p_partkey = a.p_partkey * 7 + 3)
+SELECT 'src/' || stem || '.py#part_' || k AS source, 'src/' || bs || '.py#part_' || b AS target, 'calls' AS relation, (3 + 5 * i)::BIGINT AS at, '    return part_' || b || CASE WHEN p_retailprice > 1000 THEN '(a) if a else b' ELSE '(a)' END AS quote FROM e""")
+def build_quotes(r: Relations):
+    """The line behind each call by name: of every second edge's own line, of the others the first in the span that has the name."""
+    from quarry.operators import flows
+
+    records, nodes = built(r)
+    edges = B.edges_of(records, nodes)[0].filter("relation = 'calls'").join(nodes.filter("kind = 'function'").select(F.col("id").alias("f_id")), F.col("target") == F.col("f_id"), "left_semi")
+    edges = edges.withColumn("line", F.when(F.col("line") % 2 == 0, F.col("line")).otherwise(0))
+    lines = modules(r).select("path", F.posexplode(F.split("text", "\n")).alias("k", "text")).select("path", (F.col("k") + 1).alias("line"), "text")
+    return flows.quote_lines(edges, nodes, lines)
+
+
+@R.query(f"""WITH {MODULES}, c AS (SELECT a.p_partkey * 7 + 3 AS b FROM fn a)
+SELECT 'src/' || stem || '.py#part_' || p_partkey AS id, n AS n_calls, n AS n_callers, 0::BIGINT AS n_references, 0::BIGINT AS untyped, 0::BIGINT AS ambiguous, true AS exact
+FROM (SELECT *, (SELECT count(*) FROM c WHERE b = p_partkey) AS n FROM fn)
+UNION ALL SELECT path || '#Shelf_' || stem || '.own', 1, 1, 0, 0, 0, true FROM file""")
+def build_caller_bounds(r: Relations):
+    """How sure each callable's list of callers is."""
+    from quarry.operators import graph as G
+
+    records, nodes = built(r)
+    edges, misses = B.edges_of(records, nodes)
+    return G.caller_bound(edges, nodes, misses)

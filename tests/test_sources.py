@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.engine import Engine, markdown, mermaid
+from quarry.engine import Engine, markdown, mermaid, plain
 from quarry.operators import analysis as A
 from quarry.operators import joins as J
 from quarry.operators import search as S
@@ -235,6 +235,12 @@ def test_every_method_after_save_and_load(spark, tree, tmp_path):
     loops = e.cycles("file").collect()
     assert [(r.size, r.members, [(h["from"], h["to"]) for h in r.loop]) for r in loops] == [(2, ["web/a.ts", "web/b.ts"], [("web/a.ts", "web/b.ts"), ("web/b.ts", "web/a.ts")])] or len(loops) == 2
     assert [(r.method, r.path, r.handler) for r in e.routes().collect()] == [("ANY", "/about", "web/app.py#about"), ("GET", "/items", "web/app.py#items")]
+    bound = {r.id: (r.untyped, r.ambiguous, r.exact) for r in e.callers_known("Save").collect()}
+    assert bound["m/m.go#A.Save"] == (1, 0, False) and e.callers_known("Recur").first().exact
+    touched = spark.createDataFrame([("pkg/base.py", 0, 5, 6), ("pkg/sub/peer.py", 0, 4, 6), ("no.py", 0, 1, 1)], "path string, range_id long, start long, end long")
+    seeds, reach, modules = e.blast(touched)
+    assert {r.id for r in seeds.collect()} == {"pkg/base.py#Base.step", "pkg/sub/peer.py#help_out"} and [r.path for r in e.unindexed(touched).collect()] == ["no.py"]
+    assert {r.id: r.origins for r in reach.collect()}["pkg/sub/deep.py#Deep.go"] == ["pkg/base.py", "pkg/sub/peer.py"] and "dependents:" in plain(seeds, modules)
     assert e.path("go", "step")[-1] == "pkg/base.py#Base.step" and e.walk("step").count() == 2
     assert e.complexity(3).count() == 3 and e.quality().count() > 2 and e.card_texts().count() > 3 and e.repo_map()[0].count() == 4 + 1
     again = e.refresh(str(tree))
