@@ -8,7 +8,7 @@ import re
 import numpy as np
 import pytest
 
-from quarry.llm import ann, common, decontamination, mixing, near_dedup, secrets, sharding, toxicity, warc
+from quarry.llm import ann, common, decontamination, mixing, near_dedup, secrets, sharding, substring_dedup, toxicity, warc
 
 A_Z = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 ITEM_WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
@@ -207,3 +207,19 @@ def test_near_dedup_of_a_template_is_near_linear(spark, monkeypatch):
     got = near_dedup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r.doc_id: r.component_id for r in got} == {i: i % 10_000 for i, _ in rows}
     assert sum(dealt) <= 6 * len(rows)
+
+
+def test_substring_dedup_grows_spans(spark):
+    """Short lines, run-ons and cut-out passages: spans grow to their least length, and run-ons are cut alike everywhere."""
+    lines = "\n".join(f"row {k}" for k in range(500))
+    words = " ".join(f"word{k}" for k in range(500))
+    shout = "BUY!! NOW!! " * 20
+    inside = " ".join(f"word{k}" for k in range(200, 260))
+    texts = [lines, words, shout]
+    rows = list(enumerate(texts)) + [(10 + k, t) for k, t in enumerate(texts)] + [(20, f"Something else before it {inside} and something else after it.")]
+    got = {r.doc_id: r for r in substring_dedup.strip(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[0].n_removed == got[1].n_removed == 0 and got[0].clean_text == lines and got[1].clean_text == words
+    assert all(got[10 + k].clean_text == "" for k in range(3))
+    assert got[20].clean_text.startswith("Something else") and got[20].clean_text.endswith("after it.") and len(got[20].clean_text.split()) < 50
+    for t in texts:
+        assert "".join(substring_dedup.sentences(t, {})) == t
