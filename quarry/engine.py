@@ -269,6 +269,22 @@ class Engine:
         return B.cards(self.graph.nodes)
 
 
+class Live:
+    """An engine that is held and kept up: each use compares the tree with what was built and builds again what changed."""
+
+    def __init__(self, spark: SparkSession, root: str, **options):
+        self.spark, self.root, self.options = spark, root, options
+        self.engine = Engine.build(spark, root, **options)
+        self.before = cut(FS.fingerprint(self.engine.graph.files), "fingerprint")
+
+    def get(self) -> Engine:
+        files = FS.scan(self.spark, self.root, **self.options)
+        if not FS.changed_since(files, self.before).isEmpty():
+            self.engine = self.engine.refresh(self.root, **self.options)
+            self.before = cut(FS.fingerprint(files), "fingerprint")
+        return self.engine
+
+
 def markdown(seeds: DataFrame, modules: DataFrame, most: int = 20) -> str:
     """A blast report as markdown: changed symbols and the folders that depend on them, the first ``most`` of each."""
     mark = lambda s: s.replace("|", "\\|").replace("`", "'")

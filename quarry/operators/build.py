@@ -19,7 +19,7 @@ from quarry.sources.files import family_of
 #: The layout of what is kept; another version is treated as absent.
 VERSION = 2
 TABLES = ("nodes", "edges", "unresolved", "records", "files")
-NODE = ["id", "name", "kind", "path", "start_line", "end_line", "signature", "exported", "owner", "arity", "variadic", "complexity", "generated", "copy", "doc", "body", "body_hash", "family", "ord"]
+NODE = ["id", "name", "kind", "path", "start_line", "end_line", "signature", "exported", "owner", "arity", "variadic", "results", "complexity", "generated", "copy", "doc", "body", "body_hash", "family", "ord"]
 
 
 @dataclass
@@ -142,7 +142,7 @@ def calls_of(calls: DataFrame, nodes: DataFrame, parents: DataFrame) -> DataFram
 def implied(nodes: DataFrame) -> DataFrame:
     """``source, target, line``: Go types and the interfaces whose every method they have, and those methods, pair by pair."""
     go = nodes.filter(F.col("family") == "go")
-    of = go.filter("kind = 'method'").select("owner", F.regexp_replace("path", "/?[^/]*$", "").alias("dir"), F.col("name").alias("method"), "arity", F.coalesce("variadic", F.lit(False)).alias("variadic"), F.lit(None).cast("int").alias("results"), "exported", "id", "start_line")
+    of = go.filter("kind = 'method'").select("owner", F.regexp_replace("path", "/?[^/]*$", "").alias("dir"), F.col("name").alias("method"), "arity", F.coalesce("variadic", F.lit(False)).alias("variadic"), "results", "exported", "id", "start_line")
     faces = go.filter("kind = 'interface'").select(F.col("name").alias("face"), F.col("id").alias("face_id"))
     asks, have = of.join(faces, F.col("owner") == F.col("face"), "left_semi"), of.join(faces, F.col("owner") == F.col("face"), "left_anti")
     pairs = cut(R.satisfied(have.drop("id", "start_line"), asks.drop("id", "start_line")), "satisfied")

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quarry.plans.cuts import cut
+
 
 def bins(start: Column, end: Column, width: int) -> Column:
     return F.explode(F.sequence(F.floor(start / width), F.floor(end / width)))
@@ -152,3 +154,28 @@ def hit_nodes(hits: DataFrame, nodes: DataFrame) -> DataFrame:
     """Search hits ``(title, pointer)`` with the node ``(id, name, path)`` that each shows; a hit that none matches keeps a null id."""
     own = nodes.select("id", F.col("name").alias("n_name"), F.col("path").alias("n_path"))
     return hits.join(own, (F.col("title") == F.col("n_name")) & (F.col("pointer") == F.col("n_path")), "left").drop("n_name", "n_path")
+
+
+def chained_members(intents: DataFrame, fields: DataFrame, members: DataFrame, embeds: DataFrame, longest: int = 4, depth: int = 3) -> DataFrame:
+    """Bind ``(intent, type, chain, method, args)``, a call through a chain of fields, to ``members (id, type, method, arity)``: each field
+    of ``fields (type, field, to)`` leads to its type, also where it is promoted from an embedded one (``embeds (type, parent)``, up to
+    ``depth`` levels, the shallowest wins); then the method is looked for likewise. ``intent, target, outcome``; a chain with an
+    unknown or ambiguous step, or of more than ``longest``, binds nothing and gives no row."""
+    steps = fields.select(F.col("to").alias("id"), "type", F.col("field").alias("method"), F.lit(None).cast("long").alias("arity"))
+    at = intents.filter(F.size("chain") <= longest).select("intent", "type", "chain", "method", "args")
+    for k in range(longest):
+        asked = at.filter(F.size("chain") > k).select("intent", "type", F.col("chain")[k].alias("method"), F.lit(None).cast("long").alias("args"))
+        led = typed_members(asked, steps, embeds, depth).filter("outcome = 'bound'").select(F.col("intent").alias("l_intent"), F.col("target").alias("next"))
+        at = at.join(led, F.col("intent") == F.col("l_intent"), "left").filter((F.size("chain") <= k) | F.col("next").isNotNull())
+        at = cut(at.select("intent", F.coalesce("next", "type").alias("type"), "chain", "method", "args"), "chained")
+    return typed_members(at.select("intent", "type", "method", "args"), members, embeds, depth).select("intent", "target", "outcome")
+
+
+def package_members(intents: DataFrame, declared: DataFrame) -> DataFrame:
+    """Bind ``(intent, dir, name, by_test)``, a name of a package's folder, to ``declared (id, dir, name, in_test)``: the only one there;
+    what a test file declares is seen by test files only. ``intent, target, outcome``."""
+    own = declared.select("id", F.col("dir").alias("d_dir"), F.col("name").alias("d_name"), "in_test")
+    counts = own.groupBy("d_dir", "d_name").agg(*[x for tests, n in ((False, "a"), (True, "b")) for x in (F.count(F.when(F.lit(tests) | ~F.col("in_test"), 1)).alias(f"n_{n}"), F.min(F.when(F.lit(tests) | ~F.col("in_test"), F.col("id"))).alias(f"id_{n}"))])
+    rows = intents.join(counts, (F.col("dir") == F.col("d_dir")) & (F.col("name") == F.col("d_name")), "left")
+    n, one = F.coalesce(F.when(F.col("by_test"), F.col("n_b")).otherwise(F.col("n_a")), F.lit(0)), F.when(F.col("by_test"), F.col("id_b")).otherwise(F.col("id_a"))
+    return rows.select("intent", F.when(n == 1, one).alias("target"), F.when(n == 1, "bound").when(n > 1, "ambiguous").otherwise("missing").alias("outcome"))

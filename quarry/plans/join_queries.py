@@ -166,3 +166,38 @@ def join_division(r: Relations):
     have = li.select("l_suppkey", manner.alias("m")).distinct()
     need = li.join(o.filter("o_orderpriority = '1-URGENT'"), li.l_orderkey == o.o_orderkey).join(c, o.o_custkey == c.c_custkey).select(F.col("c_mktsegment").alias("g"), manner.alias("m")).distinct()
     return J.division(have, "l_suppkey", need, "g", ["m"])
+
+
+_LOOK = """{n}_try AS (SELECT DISTINCT intent, want, type AS pos, 0 AS level FROM {n} UNION SELECT intent, want, parent, level + 1 FROM {n}_try JOIN parent ON pos = parent.type WHERE level < 3),
+{n}_hit AS (SELECT intent, level, count(*) AS n, min(id) AS one FROM {n}_try JOIN {m} ON pos = {m}.type AND want = {m}.name GROUP BY intent, level),
+{n}_got AS (SELECT intent, arg_min(n, level) AS n, arg_min(one, level) AS one FROM {n}_hit GROUP BY intent)"""
+
+
+@R.query(f"""
+WITH RECURSIVE intent AS (SELECT o_orderkey AS intent, o_custkey % 50 AS type, o_orderstatus AS field, o_orderpriority AS method FROM orders),
+field AS (SELECT s_suppkey % 50 AS type, ['F', 'O', 'P'][(s_suppkey % 3 + 1)::INT] AS name, s_suppkey % 60 AS id FROM supplier WHERE s_acctbal > 2000),
+member AS (SELECT p_partkey % 60 AS type, ['1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED', '5-LOW'][p_size % 5 + 1] AS name, p_partkey AS id FROM part WHERE p_retailprice > 1300),
+parent AS (SELECT t AS type, (t * 7 + 11) % 50 AS parent FROM range(50) x(t)),
+a AS (SELECT intent, type, field AS want FROM intent), {_LOOK.format(n="a", m="field")},
+b AS (SELECT intent, one AS type, method AS want FROM a_got JOIN intent USING (intent) WHERE n = 1), {_LOOK.format(n="b", m="member")}
+SELECT intent, CASE WHEN n = 1 THEN one END AS target, CASE WHEN n = 1 THEN 'bound' ELSE 'ambiguous' END AS outcome FROM b_got""")
+def resolve_member_chains(r: Relations):
+    """Calls through one field each, fields and methods promoted from embedded types."""
+    o, p, s = r.table("orders"), r.table("part"), r.table("supplier")
+    intents = o.select(F.col("o_orderkey").alias("intent"), (F.col("o_custkey") % 50).alias("type"), F.array("o_orderstatus").alias("chain"), F.col("o_orderpriority").alias("method"), F.lit(None).cast("long").alias("args"))
+    pick = lambda items, k: F.element_at(F.array(*map(F.lit, items)), (k + 1).cast("int"))
+    fields = s.filter("s_acctbal > 2000").select((F.col("s_suppkey") % 50).alias("type"), pick("FOP", F.col("s_suppkey") % 3).alias("field"), (F.col("s_suppkey") % 60).alias("to"))
+    members = p.filter("p_retailprice > 1300").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") % 60).alias("type"), pick(("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"), F.col("p_size") % 5).alias("method"), F.lit(None).cast("long").alias("arity"))
+    embeds = r.spark.range(50).select(F.col("id").alias("type"), ((F.col("id") * 7 + 11) % 50).alias("parent"))
+    return J.chained_members(intents, fields, members, embeds)
+
+
+@R.query("""
+WITH d AS (SELECT p_partkey AS id, p_brand AS dir, p_name AS name, p_size > 40 AS in_test FROM part), i AS (SELECT p_partkey AS intent, p_brand AS dir, p_name AS name, p_size % 2 = 0 AS by_test FROM part),
+k AS (SELECT intent, count(id) AS n, min(id) AS one FROM i LEFT JOIN d ON d.dir = i.dir AND d.name = i.name AND (by_test OR NOT in_test) GROUP BY intent)
+SELECT intent, CASE WHEN n = 1 THEN one END AS target, CASE WHEN n = 1 THEN 'bound' WHEN n > 1 THEN 'ambiguous' ELSE 'missing' END AS outcome FROM k""")
+def resolve_packages(r: Relations):
+    """Names of a package's folder, with what its tests declare seen by tests only."""
+    p = r.table("part")
+    declared = p.select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("dir"), F.col("p_name").alias("name"), (F.col("p_size") > 40).alias("in_test"))
+    return J.package_members(p.select(F.col("p_partkey").alias("intent"), F.col("p_brand").alias("dir"), F.col("p_name").alias("name"), (F.col("p_size") % 2 == 0).alias("by_test")), declared)

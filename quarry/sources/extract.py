@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-FIELDS = "path string, record string, base string, name string, kind string, owner string, start_line int, end_line int, signature string, exported boolean, arity int, variadic boolean, complexity int, doc string, body string, relation string, target string, receiver string, recv_type string, via string, args int, line int, generated boolean, error string"
+FIELDS = "path string, record string, base string, name string, kind string, owner string, start_line int, end_line int, signature string, exported boolean, arity int, variadic boolean, results int, complexity int, doc string, body string, relation string, target string, receiver string, recv_type string, via string, args int, line int, generated boolean, error string"
 ARROW = pa.schema([(n, {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_()}[t]) for n, t in (c.split() for c in FIELDS.split(", "))])
 GENERATED = re.compile(r"(?im)^\W*(code generated .* do not edit|@generated\b|this file (is|was) (auto-?)?generated)")
 DOC_CHARS, BODY_CHARS = 2_000, 5_000
@@ -250,6 +250,14 @@ def arguments(clean: str, at: int) -> int | None:
     return None
 
 
+def result_count(tail: str) -> int:
+    """How many results a Go signature gives, by what stands behind its parameters."""
+    tail = tail.strip()
+    if not tail.startswith("("):
+        return int(bool(tail))
+    return arguments(tail, 1) or 0
+
+
 def generic_rows(path: str, text: str) -> list[dict]:
     fam = FAMILY.get(path.rsplit(".", 1)[-1], "js")
     clean = blanked(text, "//", nested=fam == "rust", quotes='"' if fam in ("rust", "c", "java") else "\"'`")
@@ -290,13 +298,13 @@ def generic_rows(path: str, text: str) -> list[dict]:
         base = path + "#" + ".".join(([d[4]] if d[4] else scope) + [d[2]])
         callable_ = d[3] in ("function", "method")
         shown = d[2][:1].isupper() if fam == "go" else not re.search(r"\bprivate\b", d[6]) if fam in ("java", "js") else "pub" in text[max(0, d[0] - 12) : d[0]] or fam == "c"
-        out.append({"record": "node", "base": base, "name": d[2], "kind": "method" if callable_ and owner else d[3], "owner": owner, "start_line": line(d[0]), "end_line": line(max(d[0], d[1] - 1)), "signature": " ".join(text[d[0] : d[0] + len(d[6].lstrip())].split())[:400], "exported": shown} | ({"arity": len(d[5]), "variadic": any("..." in a for a in d[5]), "complexity": 1 + len(BRANCH.findall(clean, d[0], d[1]))} if callable_ else {}))
+        out.append({"record": "node", "base": base, "name": d[2], "kind": "method" if callable_ and owner else d[3], "owner": owner, "start_line": line(d[0]), "end_line": line(max(d[0], d[1] - 1)), "signature": " ".join(text[d[0] : d[0] + len(d[6].lstrip())].split())[:400], "exported": shown} | ({"arity": len(d[5]), "variadic": any("..." in a for a in d[5]), "complexity": 1 + len(BRANCH.findall(clean, d[0], d[1]))} if callable_ else {}) | ({"results": result_count(clean[d[0] + len(d[6].lstrip()) : clean.find("{", d[0])])} if callable_ and fam == "go" and "{" in clean[d[0] :] else {}))
         out.append({"record": "intent", "base": path + ("#" + ".".join(scope) if scope else ""), "relation": "contains", "target": base, "line": line(d[0])})
         if fam == "go" and d[3] == "interface":
             for m in ASKED.finditer(clean, clean.find("{", d[0]) + 1, d[1]):
                 asked = [a for a in m[2].split(",") if a.strip()]
                 at = m.start(1)
-                out.append({"record": "node", "base": f"{base}.{m[1]}", "name": m[1], "kind": "method", "owner": d[2], "start_line": line(at), "end_line": line(at), "signature": " ".join(m[0].split())[:400], "exported": m[1][:1].isupper(), "arity": len(asked), "variadic": "..." in m[2]})
+                out.append({"record": "node", "base": f"{base}.{m[1]}", "name": m[1], "kind": "method", "owner": d[2], "start_line": line(at), "end_line": line(at), "signature": " ".join(m[0].split())[:400], "exported": m[1][:1].isupper(), "arity": len(asked), "variadic": "..." in m[2], "results": result_count(m[0][m[0].rindex(m[2] + ")") + len(m[2]) + 1 :])})
                 out.append({"record": "intent", "base": base, "relation": "contains", "target": f"{base}.{m[1]}", "line": line(at)})
                 asking.append((at, m.end()))
         if m := re.search(r"\b(extends|implements)\s+([\w, ]+)", clean[d[0] : clean.find("{", d[0]) if clean.find("{", d[0]) > 0 else d[1]]):

@@ -6,6 +6,8 @@ live in the checkpoint folder, so a restart goes on where it stopped.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -116,3 +118,17 @@ def session_state(stream: DataFrame, late: str = "1 day") -> DataFrame:
 
     own = stream.withWatermark("at", late).groupBy("user_id")
     return own.applyInPandasWithState(step, "user_id long, events long, errors long, since_purchase double", "events long, errors long, since double", "update", GroupStateTimeout.EventTimeTimeout)
+
+
+def handled(stream: DataFrame, handlers: dict[str, Callable[[DataFrame, int], None]], kind: str = "event_type"):
+    """Give each micro-batch's rows of a kind to that kind's handler, with the batch's number; kinds without one are passed over. A
+    batch may be given again after a failure, under the same number."""
+
+    def dispatch(batch: DataFrame, number: int):
+        own = cut(batch.filter(F.col(kind).isin(*handlers)), "handled")
+        present = {r[0] for r in own.select(kind).distinct().collect()}  # at most one a handler
+        for name in sorted(present):
+            handlers[name](own.filter(F.col(kind) == name), number)
+        discard(own)
+
+    return stream.writeStream.foreachBatch(dispatch)

@@ -245,3 +245,19 @@ def test_every_method_after_save_and_load(spark, tree, tmp_path):
     assert e.complexity(3).count() == 3 and e.quality().count() > 2 and e.card_texts().count() > 3 and e.repo_map()[0].count() == 4 + 1
     again = e.refresh(str(tree))
     assert sorted(again.graph.edges.collect()) == sorted(built.graph.edges.collect())
+
+
+def test_live(spark, tmp_path):
+    from quarry.engine import Live
+
+    (tmp_path / "a.py").write_text("def one():\n    pass\n")
+    live = Live(spark, str(tmp_path))
+    first = live.get()
+    assert live.get() is first
+    (tmp_path / "b.py").write_text("def two():\n    one()\n")
+    assert live.get() is not first and live.get().graph.edges.filter("relation = 'calls'").count() == 1
+
+
+def test_go_results():
+    rows = {r.get("name"): r.get("results") for r in X.rows_of("m.go", "package m\nfunc a(x int) {\n}\nfunc b() error {\n}\nfunc c(x func(int) int) (int, error) {\n}\ntype S interface {\n\tRun(x int) (a, b int)\n\tStop()\n}\n")}
+    assert (rows["a"], rows["b"], rows["Run"], rows["Stop"]) == (0, 1, 2, 0)

@@ -45,3 +45,12 @@ def test_windows_drop_late_rows(spark, tmp_path):
     write(spark, source, "a", [(1, 0, 7, "view", 1.0), (2, 0, 7, "view", 2.0), (3, 5, 7, "view", 3.0)])
     out = T.drained(T.windowed(T.events(spark, source + "/*"), width="2 days", slide="1 day"), "w", "update", ["start", "event_type"])
     assert sorted((r.n, r.v) for r in out.collect()) == [(1, 3.0), (1, 3.0), (2, 3.0), (2, 3.0)]
+
+
+def test_handlers(spark, tmp_path):
+    source, got = str(tmp_path / "in"), []
+    write(spark, source, "a", [(1, 0, 7, "view", 1.0), (2, 0, 7, "error", 2.0), (3, 0, 8, "error", 3.0), (4, 0, 8, "click", 3.0)])
+    note = lambda name: lambda rows, number: got.append((name, number, rows.count()))
+    q = T.handled(T.events(spark, source + "/*"), {"view": note("seen"), "error": note("failed"), "purchase": note("paid")})
+    q.option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+    assert got == [("failed", 0, 2), ("seen", 0, 1)]
