@@ -207,3 +207,11 @@ def graph_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """One row for a status line: ``nodes, files, edges, kinds``, the kinds in order."""
     a = nodes.agg(F.count(F.lit(1)).alias("nodes"), F.count_distinct("path").alias("files"), F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("kinds"))
     return a.join(F.broadcast(edges.agg(F.count(F.lit(1)).alias("edges"))))
+
+
+def strict_gate(broken: DataFrame, scores: DataFrame, least: float = 0.9) -> DataFrame:
+    """``reason, n``: what keeps a graph from passing: broken rules by number, and relations of ``scores (relation, precision,
+    recall)`` of which either is below ``least``, or unknown. No rows mean that it passes."""
+    rules = broken.groupBy(F.concat(F.lit("rule: "), "rule").alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+    low = scores.filter((F.coalesce("precision", F.lit(0.0)) < least) | (F.coalesce("recall", F.lit(0.0)) < least))
+    return rules.unionByName(low.select(F.concat(F.lit("score: "), "relation").alias("reason"), F.lit(1).cast("long").alias("n")))

@@ -279,3 +279,16 @@ def workspace_union(r: Relations):
     """Counts over a federation in which each top folder is a repository of its own."""
     n = r.nodes().withColumn("repo", F.element_at(F.split("path", "/"), 1))
     return n.groupBy("repo").agg(F.count(F.lit(1)).alias("nodes"), F.count_distinct("kind").alias("kinds"))
+
+
+@R.query(with_relations("""
+WITH actual AS (SELECT DISTINCT source, relation, target FROM edges WHERE relation = 'calls' OR line = 0), expected AS (SELECT DISTINCT source, relation, target FROM edges WHERE line <> 1),
+x AS (SELECT coalesce(a.relation, e.relation) AS relation, a.source IS NOT NULL AS ins, e.source IS NOT NULL AS exp FROM actual a FULL JOIN expected e ON a.source = e.source AND a.relation = e.relation AND a.target = e.target),
+k AS (SELECT relation, count(*) FILTER (ins AND exp) AS tp, count(*) FILTER (ins) AS found, count(*) FILTER (exp) AS want FROM x GROUP BY 1)
+SELECT 'rule: bad kind' AS reason, count(*) AS n FROM nodes WHERE kind NOT IN ('module', 'class', 'function', 'method') HAVING count(*) > 0
+UNION ALL SELECT 'score: ' || relation, 1 FROM k WHERE coalesce(tp / nullif(found, 0), 0) < 0.9 OR coalesce(tp / nullif(want, 0), 0) < 0.9""", "nodes", "edges"))
+def quality_gate(r: Relations):
+    """What keeps the graph from passing a strict gate, by a stricter list of kinds and expected facts that lack first lines."""
+    e = r.edges()
+    broken = A.violations(r.nodes(), e, KINDS[:4], ["calls", "contains", "references"], ["references"])
+    return A.strict_gate(broken, A.score_facts(e.filter("relation = 'calls' OR line = 0"), e.filter("line <> 1")))

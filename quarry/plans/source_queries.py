@@ -279,15 +279,15 @@ VERBS = ("get", "post", "put", "delete")
 
 
 @R.query(f"""WITH f AS (SELECT *, 'web/' || replace(lower(p_brand), '#', '_') || '_' || p_size || '.py' AS file, row_number() OVER (PARTITION BY p_brand, p_size ORDER BY p_partkey) AS i FROM part)
-SELECT CASE WHEN p_partkey % 5 = 4 THEN 'ANY' ELSE upper({sql_list(VERBS)}[p_partkey % 5 + 1]) END AS method, '/parts/' || p_partkey AS path, file, (1 + 4 * (i - 1))::INT AS line, file || '#show_' || p_partkey AS handler FROM f""")
+SELECT CASE WHEN p_partkey % 5 = 4 THEN 'ANY' ELSE upper({sql_list(VERBS)}[p_partkey % 5 + 1]) END AS method, '/shop/parts/' || p_partkey AS path, file, (2 + 4 * (i - 1))::INT AS line, file || '#show_' || p_partkey AS handler FROM f""")
 def routes_declared(r: Relations):
-    """Routes that decorators declare, a module for each brand and size, with the functions below them."""
+    """Routes that decorators declare below a router's prefix, a module for each brand and size, with the functions below them."""
     p, k = r.table("part"), F.col("p_partkey").cast("string")
     verb = F.when(F.col("p_partkey") % 5 == 4, "route").otherwise(F.element_at(F.array(*map(F.lit, VERBS)), (F.col("p_partkey") % 5 + 1).cast("int")))
     text = F.concat(F.lit("@app."), verb, F.lit("('parts//"), k, F.lit("')\ndef show_"), k, F.lit("():\n    return 1\n\n"))
     own = p.groupBy("p_brand", "p_size").agg(F.array_sort(F.collect_list(F.struct("p_partkey", text.alias("t")))).alias("x"))
     path = F.concat(F.lit("web/"), F.replace(F.lower("p_brand"), F.lit("#"), F.lit("_")), F.lit("_"), F.col("p_size").cast("string"), F.lit(".py"))
-    files = B.cut(own.select(path.alias("path"), F.array_join(F.transform("x", lambda s: s["t"]), "").alias("text"), F.lit("python").alias("family")), "web")
+    files = B.cut(own.select(path.alias("path"), F.concat(F.lit("app = APIRouter(tags=[], prefix='/shop')\n"), F.array_join(F.transform("x", lambda s: s["t"]), "")).alias("text"), F.lit("python").alias("family")), "web")
     return H.routes(files, B.nodes_of(E.extract(files))).select("method", "path", "file", F.col("line").cast("int").alias("line"), "handler")
 
 

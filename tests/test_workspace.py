@@ -55,3 +55,17 @@ def test_git(spark, tmp_path):
     for bad in ("-x", "", "nowhere"):
         with pytest.raises(ValueError):
             V.changes(spark, root, bad)
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from quarry.__main__ import main
+
+    (tmp_path / "t").mkdir()
+    (tmp_path / "t/a.py").write_text("def one():\n    return two()\n\n\ndef two():\n    return 2\n")
+    saved = str(tmp_path / "s")
+    run = lambda *a: (main([*a], spark), capsys.readouterr())
+    assert run("build", str(tmp_path / "t"), saved)[0] == 0
+    assert run("walk", saved, "two")[1].out.startswith("a.py#two\ta.py#one\tcalls\t2")
+    assert "n0 --> n1" in run("path", saved, "one", "two")[1].out
+    assert '"id":"a.py#two"' in run("--json", "ask", saved, "what does one call")[1].out.replace(" ", "")
+    assert run("read", saved, "gone")[0] == 1 and run("check", saved, str(tmp_path / "t"))[1].out.strip() == ""
