@@ -100,6 +100,19 @@ SELECT doc_id, bytes,
 FROM d JOIN leaf ON leaf.prefix = d.key >> (60 - leaf.depth)::INT
 """
 
+OP5_SQL = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+s AS (SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {near_dedup.WORDS} THEN [array_to_string(w, ' ')]
+        ELSE [array_to_string(w[i:i + {near_dedup.WORDS - 1}], ' ') for i in range(1, len(w) - {near_dedup.WORDS - 2})] END)) AS g FROM d),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+link AS MATERIALIZED (SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= {near_dedup.PERCENT} * (x.n + y.n - k)),
+ways AS MATERIALIZED (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach AS (SELECT doc_id, doc_id AS root FROM n UNION SELECT ways.b, root FROM reach JOIN ways ON ways.a = reach.doc_id WHERE root < ways.b),
+lowest AS (SELECT doc_id, min(root) AS root FROM reach GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(root, doc_id) AS component_id, coalesce(root, doc_id) = doc_id AS kept FROM d LEFT JOIN n USING (doc_id) LEFT JOIN lowest USING (doc_id)
+"""
+
 _SPACE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _BLANK = r"\x20\x09-\x0D"
 OP6_SQL = rf"""
@@ -224,4 +237,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_warc": op9_warc,
     "op10_ann": op10_ann,
 }
-ORACLES: dict[str, str] = {"op1_decontamination": OP1_SQL, "op3_sharding": OP3_SQL, "op6_substring_dedup": OP6_SQL, "op7_mixing": OP7_SQL, "op8_secrets": OP8_SQL, "op9_warc": OP9_SQL}
+ORACLES: dict[str, str] = {"op1_decontamination": OP1_SQL, "op3_sharding": OP3_SQL, "op5_near_dedup": OP5_SQL, "op6_substring_dedup": OP6_SQL, "op7_mixing": OP7_SQL, "op8_secrets": OP8_SQL, "op9_warc": OP9_SQL}
