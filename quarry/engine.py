@@ -105,8 +105,7 @@ class Engine:
         mine = lexical.join(F.broadcast(top)).select("id", "file", (F.col("lexical") / F.col("top")).alias("lex"), "coverage", "copy").join(rank, "id", "left")
         pooled = T.pooled_files(mine, S.postings_of(index, query_terms(query)).select("id", "term"), idf).select(F.col("id").alias("p_id"), "pooled")
         hits = hits.join(pooled, F.col("id") == F.col("p_id"), "left").select("id", "file", F.greatest("score", F.coalesce("pooled", F.lit(0.0))).alias("score"))
-        rows = S.decayed(hits, n)
-        return self.spark.createDataFrame([(r["id"], r["file"], r["score"]) for r in rows], "id string, file string, score double")
+        return S.decayed(hits, n).orderBy("place").select("id", "file", "score")
 
     def resolve(self, symbol: str) -> DataFrame:
         found = G.resolve_symbol(self.graph.nodes, symbol)

@@ -191,24 +191,15 @@ def round_robin(hits: DataFrame, by: str, n: int) -> DataFrame:
     return rows.orderBy("pos", F.desc("g_score"), "g_id").limit(n).select("id", by, "pos")
 
 
-def decayed(hits: DataFrame, n: int, decay: float = FILE_DECAY) -> list[dict]:
-    """Greedy choice of ``n`` hits: the head of a file's queue with the largest score times decay**(taken of that file), ties
-    to the file met first; the best hit of all leads. The queues' first ``n`` are chosen on the cluster, the merge of these
-    at most n * n rows is a driver's step."""
-    # a file can only give a hit if its head is among the n best heads
-    heads = file_best(hits).orderBy(F.desc("score"), "id").limit(n).select("file")
-    own = ranks(hits.join(F.broadcast(heads), "file", "left_semi"), "file", n).orderBy("file", "pos").limit(n * n)
-    queues: dict[str, list] = {}
-    for r in own.collect():
-        queues.setdefault(r["file"], []).append(r)
-    line = sorted(queues.values(), key=lambda q: (-q[0]["score"], q[0]["id"]))
-    taken, out = [0] * len(line), []
-    while len(out) < n and any(t < len(q) for t, q in zip(taken, line)):
-        k = max((i for i, q in enumerate(line) if taken[i] < len(q)), key=lambda i: (line[i][taken[i]]["score"] * decay ** taken[i], -i))
-        hit = line[k][taken[k]]
-        out.append({"id": hit["id"], "file": hit["file"], "score": hit["score"] * decay ** taken[k]})
-        taken[k] += 1
-    return out
+def decayed(hits: DataFrame, n: int, decay: float = FILE_DECAY) -> DataFrame:
+    """``place, id, file, score``: ``n`` hits, each the head of a file's queue with the largest score times decay**(taken of that file),
+    ties to the file met first. As a queue's decayed scores only fall, taking heads one by one is the order of all of them."""
+    heads = file_best(hits).select(F.col("file").alias("h_file"), F.col("score").alias("h_score"), F.col("id").alias("h_id"))
+    own = ranks(hits, "file", n).join(heads, F.col("file") == F.col("h_file"))
+    order = [F.desc("score"), F.desc("h_score"), F.asc("h_id"), F.asc("pos")]
+    first = own.withColumn("score", F.col("score") * F.pow(F.lit(decay), F.col("pos") - 1)).orderBy(*order).limit(n)
+    place = F.row_number().over(Window.orderBy(*order)).cast("int")  # over n rows
+    return first.select(place.alias("place"), "id", "file", "score")
 
 
 def best_window(lines: DataFrame, query: str, size: int = 7) -> DataFrame:

@@ -147,11 +147,13 @@ def search_blend(r: Relations):
     return out.select("id", F.round("score", 6).alias("score"))
 
 
-@R.query()
+@R.query(with_relations(HITS + """, ranked AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY score DESC, id) AS pos FROM hits),
+  head AS (SELECT file, score AS g, id AS g_id FROM ranked WHERE pos = 1),
+  d AS (SELECT id, file, score * pow(0.9::DOUBLE, pos - 1) AS s, row_number() OVER (ORDER BY score * pow(0.9::DOUBLE, pos - 1) DESC, g DESC, g_id, pos)::INT AS place FROM ranked JOIN head USING (file))
+  SELECT place, id, file, round(s, 6) AS score FROM d WHERE place <= 40""", "docs"))
 def search_decay(r: Relations):
-    """The greedy choice over files; sequential by nature, tested against a plain version."""
-    rows = S.decayed(hits(r), 40)
-    return r.spark.createDataFrame([(i + 1, x["id"], x["file"], x["score"]) for i, x in enumerate(rows)], "place int, id long, file string, score double")
+    """The choice over files, each hit of a file decaying the next."""
+    return S.decayed(hits(r), 40).withColumn("score", F.round("score", 6))
 
 
 @R.query(with_relations("SELECT id, file, line, left(trim(text), 160) AS text FROM lines WHERE regexp_matches(text, '\\b(token|secret)\\s*=')", "lines"))
