@@ -165,12 +165,12 @@ def map_hubs(r: Relations):
 
 
 @R.query(with_relations("""
-WITH step AS (SELECT DISTINCT source, target FROM trade WHERE source <> target),
+WITH step AS (SELECT DISTINCT source, target FROM follows WHERE source <> target),
 a AS (SELECT s.source AS x, s.target AS y FROM step s)
-SELECT x AS a, y AS b, step.target AS c, step.target = x AS cycle FROM a JOIN step ON step.source = y""", "trade"))
+SELECT x AS a, y AS b, step.target AS c, step.target = x AS cycle FROM a JOIN step ON step.source = y""", "follows"))
 def graph_call_tree(r: Relations):
-    """Chains of two steps from every nation that trades, with those that come back marked."""
-    t = r.trade().filter("source <> target").withColumn("relation", F.lit("calls"))
+    """Chains of two steps from every customer that orders, with those that come back marked."""
+    t = r.follows().filter("source <> target").withColumn("relation", F.lit("calls"))
     tree = G.call_tree(t, t.select(F.col("source").alias("id")).distinct(), 2).filter("depth = 2")
     return tree.select(F.col("trail")[0].alias("a"), F.col("trail")[1].alias("b"), F.col("trail")[2].alias("c"), "cycle")
 
