@@ -120,20 +120,28 @@ def resolve_names(intents: DataFrame, nodes: DataFrame) -> DataFrame:
 def typed_members(intents: DataFrame, members: DataFrame, parents: DataFrame, depth: int = 3) -> DataFrame:
     """Bind ``(intent, type, method, args)`` to ``members (id, type, method, arity)`` of the type or the nearest of its supertypes
     ``parents (type, parent)``, up to ``depth`` levels. Members whose arity fits are preferred; if none fits all stay. One left
-    binds, several of one level are ``ambiguous``: ``intent, target, level, outcome``."""
-    level = intents.select("intent", "method", "args", F.col("type").alias("at"), F.lit(0).cast("long").alias("level"))
+    binds, several of one level are ``ambiguous``: ``intent, target, level, outcome``. Each question (type, method, args) is answered
+    once for all its intents, from counts of members, so neither side's rows meet the other's."""
+    asks = intents.select("type", "method", "args").distinct()
+    level = asks.select("type", "method", "args", F.col("type").alias("at"), F.lit(0).cast("long").alias("level"))
     tries = level
     up = parents.select(F.col("type").alias("p_type"), "parent")
     for d in range(1, depth + 1):
-        level = level.join(up, F.col("at") == F.col("p_type")).select("intent", "method", "args", F.col("parent").alias("at"), F.lit(d).cast("long").alias("level")).distinct()
+        level = level.join(up, F.col("at") == F.col("p_type")).select("type", "method", "args", F.col("parent").alias("at"), F.lit(d).cast("long").alias("level")).distinct()
         tries = tries.unionByName(level)
-    m = members.select(F.col("id").alias("m_id"), F.col("type").alias("m_type"), F.col("method").alias("m_method"), "arity")
-    hit = tries.join(m, (F.col("at") == F.col("m_type")) & (F.col("method") == F.col("m_method")))
-    fits = F.col("arity").isNull() | (F.col("arity") == F.col("args"))
-    best = hit.groupBy("intent", "level").agg(F.count(F.when(fits, 1)).alias("n_fit"), F.min(F.when(fits, F.col("m_id"))).alias("fit"), F.count(F.lit(1)).alias("n"), F.min("m_id").alias("any_id"))
-    best = best.select("intent", "level", F.when(F.col("n_fit") > 0, F.col("n_fit")).otherwise(F.col("n")).alias("n"), F.when(F.col("n_fit") > 0, F.col("fit")).otherwise(F.col("any_id")).alias("one"))
-    near = best.groupBy("intent").agg(F.min(F.struct("level", "n", "one")).alias("b"))
-    return near.select("intent", F.when(F.col("b.n") == 1, F.col("b.one")).alias("target"), F.col("b.level").alias("level"), F.when(F.col("b.n") == 1, "bound").otherwise("ambiguous").alias("outcome"))
+    # a row for each type's method, with what each arity has: members are counted before they are joined
+    by_arity = members.groupBy(F.col("type").alias("m_type"), F.col("method").alias("m_method"), "arity").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("m_id"))
+    free = F.col("arity").isNull()
+    held = F.map_from_entries(F.collect_list(F.when(~free, F.struct(F.col("arity").alias("k"), F.struct("n", "m_id").alias("v")))))
+    m = by_arity.groupBy("m_type", "m_method").agg(F.sum("n").alias("all_n"), F.min("m_id").alias("all_id"), F.sum(F.when(free, F.col("n"))).alias("free_n"), F.min(F.when(free, F.col("m_id"))).alias("free_id"), held.alias("held"))
+    hit = tries.join(m, (F.col("at") == F.col("m_type")) & (F.col("method") == F.col("m_method"))).withColumn("own", F.try_element_at("held", "args"))
+    fit_n, fit_id = F.coalesce("free_n", F.lit(0)) + F.coalesce("own.n", F.lit(0)), F.least("free_id", "own.m_id")
+    best = hit.groupBy("type", "method", "args", "level").agg(F.sum(fit_n).alias("n_fit"), F.min(fit_id).alias("fit"), F.sum("all_n").alias("n"), F.min("all_id").alias("any_id"))
+    best = best.select("type", "method", "args", "level", F.when(F.col("n_fit") > 0, F.col("n_fit")).otherwise(F.col("n")).alias("n"), F.when(F.col("n_fit") > 0, F.col("fit")).otherwise(F.col("any_id")).alias("one"))
+    near = best.groupBy(F.col("type").alias("b_type"), F.col("method").alias("b_method"), F.col("args").alias("b_args")).agg(F.min(F.struct("level", "n", "one")).alias("b"))
+    # both sides may be many, and orders of magnitude more than their files' sizes tell: never sent to the driver
+    bound = intents.join(near.hint("merge"), (F.col("type") == F.col("b_type")) & (F.col("method") == F.col("b_method")) & F.col("args").eqNullSafe(F.col("b_args")))
+    return bound.select("intent", F.when(F.col("b.n") == 1, F.col("b.one")).alias("target"), F.col("b.level").alias("level"), F.when(F.col("b.n") == 1, "bound").otherwise("ambiguous").alias("outcome"))
 
 
 def division(have: DataFrame, owner: str, need: DataFrame, group: str, on: list[str]) -> DataFrame:
