@@ -135,7 +135,7 @@ def carry_over(edges: DataFrame, before: DataFrame, after: DataFrame, file_of: D
 def blast_seeds(changes: DataFrame, spans: DataFrame, key: str) -> DataFrame:
     """``range_id, span_id``: the symbols a changed range touches, but for those that hold another touched one; a range that
     touches none has its file as the seed (``span_id`` null)."""
-    hit = J.innermost(J.overlapping(changes, spans, key), spans, key)
+    hit = J.innermost(J.overlapping(changes, spans, key))
     return changes.select("range_id").join(hit, "range_id", "left")
 
 

@@ -12,43 +12,65 @@ from pyspark.sql.window import Window
 from quarry.plans.cuts import cut
 
 
-def bins(start: Column, end: Column, width: int) -> Column:
-    return F.explode(F.sequence(F.floor(start / width), F.floor(end / width)))
+#: Spans lie in cells of as many widths, each so many times the one before.
+LEVELS, TIMES = 7, 8
+
+
+def cells(start: Column, end: Column, width: int) -> Column:
+    """Rows of (level, cell) that a span lies in: of the first level whose cells are at least as wide as it is long, so in two at most;
+    spans longer than the widest cell, ``width * TIMES ** (LEVELS - 1)``, lie in as many of these as they cross."""
+    level, wide = F.lit(LEVELS - 1), F.lit(width * TIMES ** (LEVELS - 1))
+    for k in reversed(range(LEVELS - 1)):
+        fits = end - start <= width * TIMES**k
+        level, wide = F.when(fits, k).otherwise(level), F.when(fits, width * TIMES**k).otherwise(wide)
+    return F.explode(F.transform(F.sequence(F.floor(start / wide), F.floor(end / wide)), lambda c: F.struct(level.cast("int").alias("level"), c.alias("cell"))))
+
+
+def cells_at(at: Column, width: int) -> Column:
+    """The cells around a point, one of each level."""
+    return F.explode(F.array(*[F.struct(F.lit(k).alias("level"), F.floor(at / (width * TIMES**k)).alias("cell")) for k in range(LEVELS)]))
+
+
+def around(points: DataFrame, spans: DataFrame, key: str, at: str, width: int) -> DataFrame:
+    """``points`` with ``s_start, s_end, span_id`` of each span ``(key, start, end, span_id)`` that holds them: an equi-join on cells. Spans
+    become two rows, points one for each level, however long the spans are. Neither side is sent to the driver: sizes of files don't
+    tell how many cells there are."""
+    s = spans.select(F.col(key).alias("s_key"), F.col("start").alias("s_start"), F.col("end").alias("s_end"), "span_id", cells(F.col("start"), F.col("end"), width).alias("s_cell"))
+    p = points.withColumn("p_cell", cells_at(F.col(at), width))
+    same = (F.col(key) == F.col("s_key")) & (F.col("p_cell.level") == F.col("s_cell.level")) & (F.col("p_cell.cell") == F.col("s_cell.cell"))
+    return p.join(s.hint("merge"), same & F.col(at).between(F.col("s_start"), F.col("s_end"))).drop("p_cell", "s_cell", "s_key")
 
 
 def enclosing(points: DataFrame, spans: DataFrame, key: str, at: str, width: int = 64) -> DataFrame:
     """Each point ``(key, at, ...)`` with ``span_id`` of the innermost span ``(key, start, end, span_id)`` around it: the one
-    that starts last, then ends first, then comes first by id; null if there is none. Spans are cut into bins of ``width``, and
-    a point looks into its own bin only."""
-    s = spans.select(F.col(key).alias("s_key"), "start", "end", "span_id", bins(F.col("start"), F.col("end"), width).alias("s_bin"))
-    p = points.select(key, at).distinct().withColumn("bin", F.floor(F.col(at) / width))
-    hit = p.join(s, (F.col(key) == F.col("s_key")) & (F.col("bin") == F.col("s_bin")) & (F.col(at) >= F.col("start")) & (F.col(at) <= F.col("end")))
-    best = hit.groupBy(F.col(key).alias("b_key"), F.col(at).alias("b_at")).agg(F.min(F.struct((-F.col("start")).alias("late"), "end", "span_id")).alias("best"))
-    return points.join(best, (F.col(key) == F.col("b_key")) & (F.col(at) == F.col("b_at")), "left").select(*points.columns, F.col("best.span_id").alias("span_id"))
+    that starts last, then ends first, then comes first by id; null if there is none."""
+    hit = around(points.select(key, at).distinct(), spans, key, at, width)
+    best = hit.groupBy(F.col(key).alias("b_key"), F.col(at).alias("b_at")).agg(F.min(F.struct((-F.col("s_start")).alias("late"), "s_end", "span_id")).alias("best"))
+    return points.join(best.hint("merge"), (F.col(key) == F.col("b_key")) & (F.col(at) == F.col("b_at")), "left").select(*points.columns, F.col("best.span_id").alias("span_id"))
 
 
 def overlapping(ranges: DataFrame, spans: DataFrame, key: str, width: int = 64) -> DataFrame:
-    """``range_id, span_id`` of every range and span of a key that share a point. A pair is made in the bin of the later start."""
-    r = ranges.select(key, "range_id", F.col("start").alias("r_start"), F.col("end").alias("r_end"), bins(F.col("start"), F.col("end"), width).alias("bin"))
-    s = spans.select(F.col(key).alias("s_key"), "span_id", F.col("start").alias("s_start"), F.col("end").alias("s_end"), bins(F.col("start"), F.col("end"), width).alias("s_bin"))
-    hit = r.join(s, (F.col(key) == F.col("s_key")) & (F.col("bin") == F.col("s_bin")) & (F.col("r_start") <= F.col("s_end")) & (F.col("s_start") <= F.col("r_end")))
-    return hit.filter(F.col("bin") == F.floor(F.greatest("r_start", "s_start") / width)).select("range_id", "span_id")
+    """``range_id, span_id, start, end`` (the span's) of every range and span of a key that share a point. Either the range begins in the
+    span, or the span begins in the range, later than it: two looks for the spans around points."""
+    first = around(ranges.select(key, "range_id", F.col("start").alias("at")), spans, key, "at", width).select("range_id", "span_id", F.col("s_start").alias("start"), F.col("s_end").alias("end"))
+    held = ranges.select(key, "start", "end", F.col("range_id").alias("span_id"))
+    then = around(spans.select(key, F.col("span_id").alias("own"), F.col("start").alias("at"), F.col("end").alias("own_end")), held, key, "at", width).filter("at > s_start AND own_end >= at")
+    return first.unionByName(then.select(F.col("span_id").alias("range_id"), F.col("own").alias("span_id"), F.col("at").alias("start"), F.col("own_end").alias("end")))
 
 
-def innermost(pairs: DataFrame, spans: DataFrame, key: str, width: int = 64) -> DataFrame:
-    """Of ``pairs (range_id, span_id)`` those whose span holds no other span of the same range; of equal ones the last by id. In order
-    of start, the widest first, a span holds another if one after it ends no later: a range's spans are sorted, not paired."""
-    s = pairs.join(spans, "span_id").select("range_id", "span_id", "start", "end")
+def innermost(pairs: DataFrame) -> DataFrame:
+    """Of ``pairs (range_id, span_id, start, end)`` those whose span holds no other span of the same range; of equal ones the last by id.
+    In order of start, the widest first, a span holds another if one after it ends no later: a range's spans are sorted, not paired."""
     after = Window.partitionBy("range_id").orderBy("start", F.desc("end"), "span_id").rowsBetween(1, Window.unboundedFollowing)
     least = F.min("end").over(after)
-    return s.withColumn("least", least).filter(F.col("least").isNull() | (F.col("least") > F.col("end"))).select("range_id", "span_id")
+    return pairs.withColumn("least", least).filter(F.col("least").isNull() | (F.col("least") > F.col("end"))).select("range_id", "span_id")
 
 
 def residual(lines: DataFrame, spans: DataFrame, key: str, at: str = "line", width: int = 64) -> DataFrame:
     """The lines that no span covers."""
-    s = spans.select(F.col(key).alias("s_key"), "start", "end", bins(F.col("start"), F.col("end"), width).alias("s_bin"))
-    inside = (F.col(key) == F.col("s_key")) & (F.floor(F.col(at) / width) == F.col("s_bin")) & (F.col(at) >= F.col("start")) & (F.col(at) <= F.col("end"))
-    return lines.join(s, inside, "left_anti")
+    named = spans.select(key, "start", "end", F.lit(0).alias("span_id"))
+    covered = around(lines.select(key, at).distinct(), named, key, at, width).select(F.col(key).alias("c_key"), F.col(at).alias("c_at")).distinct()
+    return lines.join(covered.hint("merge"), (F.col(key) == F.col("c_key")) & (F.col(at) == F.col("c_at")), "left_anti")
 
 
 def as_of(left: DataFrame, right: DataFrame, key: str, at: str, value: str, width: int) -> DataFrame:

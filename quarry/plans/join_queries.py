@@ -53,7 +53,7 @@ def ranges(r: Relations):
 @R.query(f"""WITH {SPANS}, {RANGES}
 SELECT range_id, span_id FROM ranges r JOIN spans s ON r.user_id = s.user_id AND r.start <= s."end" AND s.start <= r."end" """)
 def join_span_overlap(r: Relations):
-    return J.overlapping(ranges(r), spans(r), "user_id", WIDTH)
+    return J.overlapping(ranges(r), spans(r), "user_id", WIDTH).select("range_id", "span_id")
 
 
 @R.query(f"""WITH {SPANS}, {RANGES}, hit AS (
@@ -61,7 +61,7 @@ def join_span_overlap(r: Relations):
 SELECT range_id, span_id FROM hit x WHERE NOT EXISTS (SELECT 1 FROM hit y WHERE y.range_id = x.range_id AND y.span_id <> x.span_id
   AND x.a <= y.a AND y.b <= x.b AND (x.b - x.a > y.b - y.a OR x.span_id < y.span_id))""")
 def join_innermost_overlap(r: Relations):
-    return J.innermost(J.overlapping(ranges(r), spans(r), "user_id", WIDTH), spans(r), "user_id")
+    return J.innermost(J.overlapping(ranges(r), spans(r), "user_id", WIDTH))
 
 
 @R.query(f"""WITH {SPANS}, {POINTS} SELECT point FROM points WHERE NOT EXISTS (

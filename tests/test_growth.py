@@ -28,3 +28,23 @@ def test_typed_members_are_counted_before_they_meet(spark):
     got = {r.intent: (r.target, r.level, r.outcome) for r in df.collect()}
     assert got == {k: ((299, 1, "bound") if k % 3 == 1 else (None, 1, "ambiguous")) for k in range(300)}
     assert joined_rows(df) <= 300
+
+
+def test_long_spans_make_no_more_rows_than_short_ones(spark):
+    far = 10**13
+    spans = spark.createDataFrame([("a", 0, far, 1), ("a", 100, 200, 2), ("b", 5, 5, 3), ("a", 100, 200, 4)], "k string, start long, end long, span_id long")
+    at = spark.createDataFrame([("a", 150), ("a", 201), ("a", far), ("a", far + 1), ("b", 5), ("b", 6)], "k string, at long")
+    assert {(r.k, r.at): r.span_id for r in J.enclosing(at, spans, "k", "at", 64).collect()} == {("a", 150): 2, ("a", 201): 1, ("a", far): 1, ("a", far + 1): None, ("b", 5): 3, ("b", 6): None}
+    assert {(r.k, r.at) for r in J.residual(at, spans, "k", "at", 64).collect()} == {("a", far + 1), ("b", 6)}
+    ranges = spark.createDataFrame([("a", 150, far, 1), ("a", 300, 400, 2), ("b", 6, 9, 3), ("a", 0, 100, 4), ("a", far, far, 5)], "k string, start long, end long, range_id long")
+    pairs = J.overlapping(ranges, spans, "k", 64)
+    assert sorted((r.range_id, r.span_id) for r in pairs.collect()) == [(1, 1), (1, 2), (1, 4), (2, 1), (4, 1), (4, 2), (4, 4), (5, 1)]
+    assert sorted((r.range_id, r.span_id) for r in J.innermost(pairs).collect()) == [(1, 4), (2, 1), (4, 4), (5, 1)]
+
+
+def test_spans_are_not_broadcast(spark):
+    spans = spark.range(10).selectExpr("1 AS k", "id AS start", "id AS end", "id AS span_id")
+    at = spark.range(3).selectExpr("1 AS k", "id AS line")
+    for df in (J.residual(at, spans, "k"), J.enclosing(at, spans, "k", "line"), J.overlapping(spans.withColumnRenamed("span_id", "range_id"), spans, "k")):
+        df.collect()
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
