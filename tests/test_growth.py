@@ -48,3 +48,37 @@ def test_spans_are_not_broadcast(spark):
     for df in (J.residual(at, spans, "k"), J.enclosing(at, spans, "k", "line"), J.overlapping(spans.withColumnRenamed("span_id", "range_id"), spans, "k")):
         df.collect()
         assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_file_is_split_into_lines_once(spark, monkeypatch):
+    import ast
+
+    from quarry.sources import extract as E
+
+    text = "# é\r\nclass A(B):\n" + "".join(f"    def f{k}(self, é='é', b={{1: 2}}):  # c\n        return 1\n" for k in range(50)) + "\n@d\nasync def g(a,\n            b=1) -> int:\n    def h(): return lambda: 0\n    return h\n" + f"def w(a={list(range(300))}):\n    pass"
+    want = {}
+    for node in ast.walk(ast.parse(text)):
+        if isinstance(node, (ast.ClassDef, ast.FunctionDef, ast.AsyncFunctionDef)):
+            want[node.name] = " ".join(ast.get_source_segment(text, node).split(":\n")[0].split())[:400]
+    monkeypatch.delattr(ast, "get_source_segment")
+    assert {r["name"]: r["signature"] for r in E.rows_of("a.py", text) if r.get("signature")} == want
+
+
+def test_files_are_dealt_over_tasks(spark):
+    from quarry.sources import extract as E
+
+    files = spark.createDataFrame([(f"a{k}.py", "def f(): pass\n") for k in range(40)], "path string, text string").coalesce(1)
+    tasks = E.extract(files).selectExpr("spark_partition_id() AS p").distinct().count()
+    assert tasks > 1
+
+
+def test_routes_meet_the_function_below_them_only(spark):
+    from quarry.operators import routes as H
+
+    n = 3000  # lines apart as in the modules that routes_declared writes
+    text = "".join(f"@app.get('/p/{k}')\ndef f{k}():\n    return 1\n\n" for k in range(n))
+    files = spark.createDataFrame([("web/a.py", text, "python")], "path string, text string, family string")
+    nodes = spark.createDataFrame([(f"web/a.py#f{k}", f"f{k}", "function", "web/a.py", 4 * k + 1, 4 * k + 3) for k in range(n)], "id string, name string, kind string, path string, start_line int, end_line int")
+    df = H.routes(files, nodes)
+    assert {(r.path, r.handler) for r in df.collect()} == {(f"/p/{k}", f"web/a.py#f{k}") for k in range(n)}
+    assert "start_line#" not in "".join(x for x in df._jdf.queryExecution().executedPlan().toString().splitlines() if "BroadcastHashJoin" in x)
