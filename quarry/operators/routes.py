@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.operators.joins import around
+
 #: A cheap test for files that may declare routes, and the methods that names of calls, decorators and annotations stand for
 #: (fixed values).
 CANDIDATE = r"(?i)(get|post|put|patch|delete|head|options|connect|trace|all|any|add|route|handle(func)?|method(func)?|mapping|path)\s*\("
@@ -79,8 +81,8 @@ def routes(files: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     names = callables.groupBy(folder(F.col("path")).alias("dir"), F.col("name").alias("n")).agg(F.count(F.lit(1)).alias("k"), F.min("id").alias("one")).filter("k = 1")
     found = found.join(names, (folder(F.col("file")) == F.col("dir")) & (F.element_at(F.split("handler_text", r"\."), -1) == F.col("n")), "left")
     # a decorator's handler is the symbol whose span holds its line, the innermost
-    spans = callables.select(F.col("path").alias("s_path"), "start_line", "end_line", F.col("id").alias("s_id"), "name")
-    below = found.filter("above").join(spans, (F.col("file") == F.col("s_path")) & (F.col("line") >= F.col("start_line")) & (F.col("line") <= F.col("end_line")))
-    below = below.groupBy(F.col("file").alias("b_file"), F.col("line").alias("b_line")).agg(F.max(F.struct("start_line", "s_id")).alias("b"))
+    spans = callables.select(F.col("path").alias("file"), F.col("start_line").alias("start"), F.col("end_line").alias("end"), F.col("id").alias("span_id"))
+    below = around(found.filter("above").select("file", "line").distinct(), spans, "file", "line", 64)
+    below = below.groupBy(F.col("file").alias("b_file"), F.col("line").alias("b_line")).agg(F.max(F.struct("s_start", "span_id")).alias("b"))
     found = found.join(below, (F.col("file") == F.col("b_file")) & (F.col("line") == F.col("b_line")), "left")
-    return found.select("method", "path", "file", "line", "handler_text", F.coalesce("b.s_id", "one").alias("handler"))
+    return found.select("method", "path", "file", "line", "handler_text", F.coalesce("b.span_id", "one").alias("handler"))

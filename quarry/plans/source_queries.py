@@ -288,7 +288,7 @@ def routes_declared(r: Relations):
     own = p.groupBy("p_brand", "p_size").agg(F.array_sort(F.collect_list(F.struct("p_partkey", text.alias("t")))).alias("x"))
     path = F.concat(F.lit("web/"), F.replace(F.lower("p_brand"), F.lit("#"), F.lit("_")), F.lit("_"), F.col("p_size").cast("string"), F.lit(".py"))
     files = B.cut(own.select(path.alias("path"), F.concat(F.lit("app = APIRouter(tags=[], prefix='/shop')\n"), F.array_join(F.transform("x", lambda s: s["t"]), "")).alias("text"), F.lit("python").alias("family")), "web")
-    return H.routes(files, B.nodes_of(E.extract(files))).select("method", "path", "file", F.col("line").cast("int").alias("line"), "handler")
+    return H.routes(files, B.cut(B.nodes_of(E.extract(files)), "web_nodes")).select("method", "path", "file", F.col("line").cast("int").alias("line"), "handler")
 
 
 @R.query("""
