@@ -168,7 +168,7 @@ def edges_of(records: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame
     parents = intents.filter("relation IN ('extends', 'implements')").select(short(F.col("source")).alias("type"), short(F.col("wanted")).alias("parent")).distinct()
     calls = intents.filter("relation = 'calls'")
     bound = cut(calls_of(calls, nodes, parents).withColumnsRenamed({"intent": "i", "target": "t"}), "bound")
-    edges = edges.unionByName(calls.join(bound, F.col("intent") == F.col("i")).filter("t IS NOT NULL").select("source", F.col("t").alias("target"), "relation", "confidence", "line", "ord"))
+    edges = edges.unionByName(calls.join(bound.filter("t IS NOT NULL").hint("merge"), F.col("intent") == F.col("i")).select("source", F.col("t").alias("target"), "relation", "confidence", "line", "ord"))
     misses = bound.filter("t IS NULL").groupBy("name", "reason").agg(F.count(F.lit(1)).alias("n"))
     for relation, (allowed, loose) in NAMED.items():
         own = intents.filter(F.col("relation") == relation)
@@ -176,7 +176,7 @@ def edges_of(records: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame
         among = nodes.filter(F.col("kind").isin(*allowed)).select("id", "name", F.col("path").alias("file"), "family")
         named = J.resolve_names(asked, among).select(F.col("intent").alias("i"), "outcome", F.col("target").alias("t"))
         target = F.coalesce("t", "wanted") if loose else F.col("t")
-        rows = own.join(named, F.col("intent") == F.col("i"))
+        rows = own.join(named.hint("merge"), F.col("intent") == F.col("i"))
         edges = edges.unionByName(rows.select("source", target.alias("target"), "relation", F.col("outcome").alias("confidence"), "line", "ord").filter("target IS NOT NULL"))
     edges = edges.unionByName(implied(nodes).select("source", "target", F.lit("implements").alias("relation"), F.lit("inferred").alias("confidence"), "line", F.xxhash64("source").alias("ord")))
     return G.first_of(edges.filter("source <> target OR relation = 'calls'"), ["source", "target", "relation"], ["ord", "line"]), misses

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.plans.cuts import cut
+
 #: How many symbols a flow is looked for among, and how many it may pass.
 NAMED, CHAIN = 8, 7
 
@@ -50,12 +52,13 @@ def quote_lines(edges: DataFrame, nodes: DataFrame, lines: DataFrame) -> DataFra
     source's span that writes the target's name. ``lines (path, line, text)``."""
     at = nodes.select(F.col("id").alias("s_id"), F.col("path").alias("s_path"), "start_line", "end_line")
     named = nodes.select(F.col("id").alias("t_id"), F.col("name").alias("t_name"))
-    rows = edges.join(at, F.col("source") == F.col("s_id")).join(named, F.col("target") == F.col("t_id"), "left")
+    # written tables and texts take many times their files' bytes in memory: no side is sent to the driver
+    rows = cut(edges.join(at.hint("merge"), F.col("source") == F.col("s_id")).join(named.hint("merge"), F.col("target") == F.col("t_id"), "left"), "quoted")
     own = lines.select(F.col("path").alias("l_path"), F.col("line").alias("l_line"), "text")
-    told = rows.filter("line > 0").join(own, (F.col("s_path") == F.col("l_path")) & (F.col("line") == F.col("l_line")))
+    told = rows.filter("line > 0").join(own.hint("merge"), (F.col("s_path") == F.col("l_path")) & (F.col("line") == F.col("l_line")))
     told = told.select("source", "target", "relation", F.col("l_line").cast("long").alias("at"), F.col("text").alias("quote"))
     # words are looked up, not lines: an equi-join on the path and the name
     words = own.select("l_path", "l_line", "text", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"[A-Za-z_$][\w$]*"), F.lit(0)))).alias("word"))
-    mute = rows.filter("coalesce(line, 0) = 0").join(words, (F.col("s_path") == F.col("l_path")) & (F.col("t_name") == F.col("word")) & (F.col("l_line") >= F.col("start_line")) & (F.col("l_line") <= F.col("end_line")))
+    mute = rows.filter("coalesce(line, 0) = 0").join(words.hint("merge"), (F.col("s_path") == F.col("l_path")) & (F.col("t_name") == F.col("word")) & (F.col("l_line") >= F.col("start_line")) & (F.col("l_line") <= F.col("end_line")))
     mute = mute.groupBy("source", "target", "relation").agg(F.min(F.struct("l_line", "text")).alias("b"))
     return told.unionByName(mute.select("source", "target", "relation", F.col("b.l_line").cast("long").alias("at"), F.col("b.text").alias("quote")))

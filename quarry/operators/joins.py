@@ -129,7 +129,8 @@ def resolve_names(intents: DataFrame, nodes: DataFrame) -> DataFrame:
     by_file = nodes.groupBy(F.col("name").alias("f_name"), F.col("file").alias("f_file")).agg(F.count(F.lit(1)).alias("in_file"), F.min("id").alias("file_id"))
     by_family = nodes.groupBy(F.col("name").alias("g_name"), F.col("family").alias("g_family")).agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("g_id"))
     by_name = by_family.groupBy("g_name").agg(F.sum("n").alias("all_n"), F.min("g_id").alias("all_id"), F.map_from_entries(F.collect_list(F.struct(F.coalesce("g_family", F.lit("")).alias("k"), F.struct("n", "g_id").alias("v")))).alias("fam"))
-    rows = intents.join(by_file, (F.col("name") == F.col("f_name")) & (F.col("file") == F.col("f_file")), "left").join(by_name, F.col("name") == F.col("g_name"), "left")
+    # counts of a written table take many times its files' bytes: not broadcast
+    rows = intents.join(by_file.hint("merge"), (F.col("name") == F.col("f_name")) & (F.col("file") == F.col("f_file")), "left").join(by_name.hint("merge"), F.col("name") == F.col("g_name"), "left")
     own, free = F.try_element_at(F.col("fam"), F.coalesce("family", F.lit("-"))), F.try_element_at(F.col("fam"), F.lit(""))
     known = F.col("family").isNotNull()
     n = F.when(known, F.coalesce(own["n"], F.lit(0)) + F.coalesce(free["n"], F.lit(0))).otherwise(F.coalesce("all_n", F.lit(0)))

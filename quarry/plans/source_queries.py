@@ -348,7 +348,7 @@ def build_quotes(r: Relations):
     from quarry.operators import flows
 
     records, nodes = built(r)
-    edges = B.edges_of(records, nodes)[0].filter("relation = 'calls'").join(nodes.filter("kind = 'function'").select(F.col("id").alias("f_id")), F.col("target") == F.col("f_id"), "left_semi")
+    edges = B.edges_of(records, nodes)[0].filter("relation = 'calls'").join(nodes.filter("kind = 'function'").select(F.col("id").alias("f_id")).hint("merge"), F.col("target") == F.col("f_id"), "left_semi")
     edges = edges.withColumn("line", F.when(F.col("line") % 2 == 0, F.col("line")).otherwise(0))
     lines = modules(r).select("path", F.posexplode(F.split("text", "\n")).alias("k", "text")).select("path", (F.col("k") + 1).alias("line"), "text")
     return flows.quote_lines(edges, nodes, lines)

@@ -82,3 +82,14 @@ def test_routes_meet_the_function_below_them_only(spark):
     df = H.routes(files, nodes)
     assert {(r.path, r.handler) for r in df.collect()} == {(f"/p/{k}", f"web/a.py#f{k}") for k in range(n)}
     assert "start_line#" not in "".join(x for x in df._jdf.queryExecution().executedPlan().toString().splitlines() if "BroadcastHashJoin" in x)
+
+
+def test_quotes_are_not_broadcast(spark):
+    from quarry.operators import flows
+
+    nodes = spark.createDataFrame([("s", "s", "f.py", 1, 3), ("t", "t", "g.py", 1, 1)], "id string, name string, path string, start_line int, end_line int")
+    edges = spark.createDataFrame([("s", "t", "calls", 0), ("s", "s", "calls", 3)], "source string, target string, relation string, line int")
+    lines = spark.createDataFrame([("f.py", 1, "def s():"), ("f.py", 2, "  t()"), ("f.py", 3, "  s()")], "path string, line int, text string")
+    df = flows.quote_lines(edges, nodes, lines)
+    assert {(r.target, r["at"], r.quote) for r in df.collect()} == {("t", 2, "  t()"), ("s", 3, "  s()")}
+    assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
