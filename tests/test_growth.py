@@ -93,3 +93,35 @@ def test_quotes_are_not_broadcast(spark):
     df = flows.quote_lines(edges, nodes, lines)
     assert {(r.target, r["at"], r.quote) for r in df.collect()} == {("t", 2, "  t()"), ("s", 3, "  s()")}
     assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_ranks_over_several_blocks_are_those_of_one(spark):
+    import collections
+
+    import pytest
+
+    from quarry.operators import graph as G
+
+    rows = [(f"n{k * k % 31}", f"n{k % 17}") for k in range(120)] + [("n1", "n1"), ("n1", "n2"), ("n1", "n2"), ("far", "away")]
+    edges = spark.createDataFrame(rows, "source string, target string").repartition(3)
+    weight = {"n1": 2.0, "n4": 1.0, "alone": 1.0}
+    near = collections.defaultdict(list)
+    for a, b in rows:
+        near[a].append(b)
+        near[b].append(a)
+    start = {k: w / 4 for k, w in weight.items()}
+    mass = dict(start)
+    for _ in range(7):
+        step, lost = collections.defaultdict(float), 0.75 * sum(m for x, m in mass.items() if not near[x])
+        for x, m in mass.items():
+            for y in near[x]:
+                step[y] += 0.75 * m / len(near[x])
+        for x, r in start.items():
+            step[x] += (0.25 + lost) * r
+        mass = step
+    want = {x: m / max(mass.values()) for x, m in mass.items()}
+    assert "far" not in want
+    seeds = spark.createDataFrame([("n1", 1.5), ("n1", 0.5), ("n4", 1.0), ("alone", 1.0)], "id string, weight double")
+    for links in (20, 10**6):
+        df = G.pagerank(edges, seeds, 7, every=3, block_links=links)
+        assert {r.id: r["rank"] for r in df.collect()} == pytest.approx(want)
