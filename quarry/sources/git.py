@@ -49,6 +49,9 @@ def since_label(at_ms: Column, now_ms: int) -> Column:
 
 
 HUNK = re.compile(r"@@ -\d+(?:,\d+)? \+(\d+)(?:,(\d+))? @@")
+#: Rows, and letters of patches, of a batch that is handed on.
+PATCH_ROWS, PATCH_CHARS = 5_000, 4 << 20
+ADDED, REMOVED = re.compile(r"\n\+(.*)"), re.compile(r"\n-(.*)")
 PATCH = "path string, old_path string, status string, range_id long, start long, end long, added array<string>, removed array<string>"
 
 
@@ -63,33 +66,45 @@ def unquoted(name: str) -> str:
 
 def parse_patch(text: str) -> list[dict]:
     out: list[dict] = []
-    for block in re.split(r"(?m)^diff --git ", text)[1:]:
-        new = re.search(r"(?m)^\+\+\+ (?:b/)?(.+)$", block)
-        old = re.search(r"(?m)^--- (?:a/)?(.+)$", block)
-        moved = re.search(r"(?m)^rename from (.+)\nrename to (.+)$", block)
+    blocks = ("\n" + text).split("\ndiff --git ")[1:]
+    for block in [b + "\n" for b in blocks[:-1]] + blocks[-1:]:
+        # a pattern that may begin at any line tries every letter: the head is searched first
+        head = block[: block.find("\n@@ ") + 1] or block
+        new, old = (re.search(x, head) or re.search(x, block) for x in (r"(?m)^\+\+\+ (?:b/)?(.+)$", r"(?m)^--- (?:a/)?(.+)$"))
+        moved = re.search(r"(?m)^rename from (.+)\nrename to (.+)$", block) if "rename from " in block else None
         path = unquoted(moved[2] if moved else new[1].rstrip("\t") if new and new[1] != "/dev/null" else old[1].rstrip("\t") if old else "").removeprefix("b/")
         status = "deleted" if new and new[1] == "/dev/null" else "added" if old and old[1] == "/dev/null" else "renamed" if moved else "modified"
-        kept = 0
-        for k, m in enumerate(HUNK.finditer(block)):
+        kept, hunks = 0, list(HUNK.finditer(block))
+        for k, m in enumerate(hunks):
             stop = block.find("\n@@ ", m.end())
-            lines = block[m.end() : None if stop < 0 else stop].split("\n")[1:]
+            body = block[m.end() : None if stop < 0 else stop]
             n = int(m[2]) if m[2] else 1
             room = max(0, min(HUNK_LINES, FILE_LINES - kept))
-            kept += len(lines)
-            out.append({"path": path, "old_path": unquoted(moved[1]) if moved else None, "status": status, "range_id": k, "start": int(m[1]), "end": int(m[1]) + max(n, 1) - 1, "added": [x[1:] for x in lines if x.startswith("+")][:room], "removed": [x[1:] for x in lines if x.startswith("-")][:room]})
-        if not HUNK.search(block):
+            kept += body.count("\n")
+            out.append({"path": path, "old_path": unquoted(moved[1]) if moved else None, "status": status, "range_id": k, "start": int(m[1]), "end": int(m[1]) + max(n, 1) - 1, "added": ADDED.findall(body)[:room], "removed": REMOVED.findall(body)[:room]})
+        if not hunks:
             out.append({"path": path, "old_path": unquoted(moved[1]) if moved else None, "status": status, "range_id": 0, "start": None, "end": None, "added": [], "removed": []})
     return out
 
 
 def patches(texts: DataFrame) -> DataFrame:
-    """Changed ranges of ``texts (patch)``, patches with no lines of context; one patch at a time is in memory."""
+    """Changed ranges of ``texts (patch)``, patches with no lines of context; handed on when their rows or letters are many."""
     schema = pa.schema([("path", pa.string()), ("old_path", pa.string()), ("status", pa.string()), ("range_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("added", pa.list_(pa.string())), ("removed", pa.list_(pa.string()))])
 
+    def batch_of(rows):
+        return pa.RecordBatch.from_arrays([pa.array([r[f.name] for r in rows], f.type) for f in schema], schema=schema)
+
     def run(batches):
+        rows, size = [], 0
         for batch in batches:
             for text in batch.column("patch").to_pylist():
-                yield pa.RecordBatch.from_pylist(parse_patch(text or ""), schema=schema)
+                rows += parse_patch(text or "")
+                size += len(text or "")
+                if len(rows) >= PATCH_ROWS or size >= PATCH_CHARS:
+                    yield batch_of(rows)
+                    rows, size = [], 0
+        if rows:
+            yield batch_of(rows)
 
     return texts.select("patch").mapInArrow(run, PATCH)
 

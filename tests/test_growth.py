@@ -143,3 +143,16 @@ def test_a_long_loop_is_searched_by_one_task(spark):
             reach |= more
         nodes = {x for p in pairs for x in p}
         assert G.strong_components(pairs) == {x: min(y for y in nodes if y == x or (x, y) in reach and (y, x) in reach) for x in nodes}
+
+
+def test_many_patches_make_few_batches(spark, monkeypatch):
+    import pyarrow as pa
+
+    from quarry.sources import git as V
+
+    made = []
+    batches = type("Texts", (), {"select": lambda self, *c: self, "mapInArrow": lambda self, run, schema: made.extend(run(iter([pa.RecordBatch.from_pydict({"patch": texts})])))})
+    texts = [f"diff --git x y\n--- a/{k}\n+++ b/{k}\n@@ -0,0 +{k},2 @@\n+a\n+b\n-c" for k in range(12_000)] + [None]
+    V.patches(batches())
+    assert len(made) < 10 and sum(b.num_rows for b in made) == 12_000
+    assert [r["start"] for b in made for r in b.to_pylist()] == list(range(12_000))
