@@ -1,12 +1,16 @@
-"""Text functions of the search index as Column expressions; no Python runs on executors."""
+"""Text functions of the search index as Column expressions, and the count of a whole text's terms, which runs in Python."""
 
 from __future__ import annotations
 
 import re
+import sys
+from collections import Counter
 
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 #: Words the index leaves out.
 STOP_WORDS = (
     "a an and are can do does for get how i in is it of on or set that the this to use used using we what when where which why with"
@@ -106,6 +110,28 @@ def fold_word(w: str) -> str:
     return re.sub("^(.{3,})e$", r"\1", w)
 
 
+#: The folded forms of words, as far as a task keeps them.
+FOLDED_WORDS = 200_000
+_SPLITS = (re.compile("([A-Z]+)([A-Z][a-z]{2})"), re.compile("([a-z0-9])([A-Z])"), re.compile("[a-z0-9]{2,}"))
+
+
+def count_terms(text: str | None, folded: dict[str, str | None]) -> dict[str, int]:
+    """How often each index term of a text occurs: what ``terms`` gives, by one pass that folds a word once. ``folded`` is the
+    caller's store of words' forms (None for a stop word), emptied when it is full."""
+    if not text:
+        return {}
+    a, b, words = _SPLITS
+    out: dict[str, int] = {}
+    for w, n in Counter(words.findall(b.sub(r"\1 \2", a.sub(r"\1 \2", text)).lower())).items():
+        if w not in folded:
+            if len(folded) >= FOLDED_WORDS:
+                folded.clear()
+            folded[w] = None if w in STOP_WORDS else fold_word(w)
+        if (t := folded[w]) is not None:
+            out[t] = out.get(t, 0) + n
+    return out
+
+
 def plural_match(words: Column, term: Column) -> Column:
     """Whether an array of words holds a term, its plural by -s, or, if it ends so, the term without."""
     return F.array_contains(words, term) | F.array_contains(words, F.concat(term, F.lit("s"))) | (term.endswith("s") & F.array_contains(words, _cut(term, 1)))

@@ -8,14 +8,21 @@ documents (length, scope, file, copy); and the corpus's totals. An index of anot
 from __future__ import annotations
 
 import json
+import sys
 from dataclasses import dataclass
 
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from quarry.functions.text import query_terms, raw_terms, terms, terms_among
-from quarry.plans.cuts import cut
+from quarry.functions.text import count_terms, query_terms, raw_terms, terms_among
+from quarry.plans.cuts import cut, discard
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Fixed values of the score: field weights, BM25, the penalty of copies, the graph's weight, floors and ratios.
 NAME, PATH, BODY = 3.0, 2.0, 1.0
@@ -23,6 +30,8 @@ K1, B = 1.2, 0.75
 COPY_PENALTY, GRAPH_WEIGHT, RESCUE_FLOOR, PARTICIPATION, FILE_DECAY, RRF = 0.35, 0.5, 0.15, 0.25, 0.9, 60
 FIELDS = ("name", "path", "body")
 INDEX_VERSION, BUCKETS = 3, 32
+#: Rows of terms that a task hands on at once.
+BATCH_ROWS = 50_000
 
 
 @dataclass
@@ -44,16 +53,43 @@ def signature_of(docs: DataFrame) -> str:
 
 
 def write_index(docs: DataFrame, path: str, signature: str = "") -> None:
-    each = docs.select("id", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), terms(F.col(f)).alias("ts")) for k, f in enumerate(FIELDS)])).alias("x"))
-    each = each.select("id", "x.k", F.explode("x.ts").alias("term"))
-    counts = each.groupBy("term", "id").agg(*[F.count(F.when(F.col("k") == k, 1)).alias(f"n_{f}") for k, f in enumerate(FIELDS)]).withColumn("bucket", bucket_of(F.col("term")))
+    # one pass over the texts: a row for each term of a document, and one without term, with its body's length
+    counted = docs.select("id", *FIELDS, "scope", "file", "copy")
+    kinds = {f.name: f for f in counted.schema}
+    schema = T.StructType([kinds["id"], T.StructField("term", T.StringType()), *[T.StructField(f"n_{f}", T.LongType()) for f in FIELDS], *[T.StructField(c, kinds[c].dataType) for c in ("scope", "file", "copy")]])
+    rows = cut(counted.mapInArrow(_counted, schema), "terms")
+    counts = rows.filter("term IS NOT NULL").groupBy("term", "id").agg(*[F.sum(f"n_{f}").alias(f"n_{f}") for f in FIELDS]).withColumn("bucket", bucket_of(F.col("term")))
     counts.repartitionByRange("bucket", "term", "id").sortWithinPartitions("bucket", "term", "id").write.partitionBy("bucket").parquet(f"{path}/postings")
-    own = docs.select("id", F.size(terms(F.col("body"))).cast("long").alias("body_len"), "scope", "file", "copy")
+    own = rows.filter("term IS NULL").select("id", F.col("n_body").alias("body_len"), "scope", "file", "copy")
     own.write.parquet(f"{path}/docs")
+    discard(rows)
     spark = docs.sparkSession
     spark.read.parquet(f"{path}/docs").agg(F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.avg("body_len"), F.lit(0.0)).alias("avg_len")).withColumns({"version": F.lit(INDEX_VERSION), "signature": F.lit(signature)}).write.json(f"{path}/corpus")
 
 
+def _counted(batches):
+    folded: dict[str, str | None] = {}
+    for batch in batches:
+        at, rows = [], []
+        for k, texts in enumerate(zip(*(batch.column(f).to_pylist() for f in FIELDS))):
+            name, path, body = (count_terms(t, folded) for t in texts)
+            rows.append((None, 0, 0, sum(body.values())))
+            rows += [(t, name.get(t, 0), path.get(t, 0), body.get(t, 0)) for t in name | path | body]
+            at += [k] * (len(rows) - len(at))
+            if len(rows) >= BATCH_ROWS:
+                yield _rows_of(batch, at, rows)
+                at, rows = [], []
+        if rows:
+            yield _rows_of(batch, at, rows)
+
+
+def _rows_of(batch: pa.RecordBatch, at: list[int], rows: list[tuple]) -> pa.RecordBatch:
+    own, documents = pa.array(at, pa.int64()), pa.array([r[0] is None for r in rows])
+    counts = [pa.array([r[k] for r in rows], pa.int64()) for k in (1, 2, 3)]
+    facts = [pc.if_else(documents, x, pa.scalar(None, x.type)) for x in (batch.column(c).take(own) for c in ("scope", "file", "copy"))]
+    return pa.RecordBatch.from_arrays([batch.column("id").take(own), pa.array([r[0] for r in rows], pa.string()), *counts, *facts], names=["id", "term", *[f"n_{f}" for f in FIELDS], "scope", "file", "copy"])
+
+
 def read_index(spark: SparkSession, path: str, signature: str | None = None) -> Index | None:
     """None if what is at ``path`` is of another version or, where a signature is given, of other documents."""
     meta = json.loads(spark.read.text(f"{path}/corpus").first()[0])  # one line

@@ -156,3 +156,13 @@ def test_many_patches_make_few_batches(spark, monkeypatch):
     V.patches(batches())
     assert len(made) < 10 and sum(b.num_rows for b in made) == 12_000
     assert [r["start"] for b in made for r in b.to_pylist()] == list(range(12_000))
+
+
+def test_a_text_is_counted_as_it_is_split(spark):
+    import collections
+
+    from quarry.functions import text as X
+
+    texts = ["HTTPServer readFile's uses, boxes; axes pies ponies stopped running bring bed fed agreed X1Y22 the İstanbul Kelvin classes glass", "", None, "ABCDef ghIJk __init__ missing missings ee 12 3 été"]
+    want = [collections.Counter(r.t) for r in spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").orderBy("k").select(X.terms(X.F.col("t")).alias("t")).collect()]
+    assert [X.count_terms(t, {}) for t in texts] == want
