@@ -10,10 +10,13 @@ from pyspark.sql.window import Window
 
 from quarry.operators import graph as G
 from quarry.operators.search import COPY_PENALTY, GRAPH_WEIGHT
+from quarry.plans.cuts import cut
 
 #: Weak matches, small scopes, groups of a report, budgets in tokens, and the least overlap of a relevant prompt.
 WEAK_STRONG, WEAK_BROAD, LEAST_SCOPE, GROUPS = 0.1, 0.5, 5, 5
 BUDGET, LEAST_BUDGET, MOST_BUDGET, DISPATCH = 2_000, 128, 64_000, 3
+#: Bytes up to which what interfaces ask for is broadcast, and what one method of one takes.
+BROADCAST_BYTES, ASKED_BYTES = 32 << 20, 512
 
 
 def limit_of(value: float | None, default: int = 8) -> int | None:
@@ -137,9 +140,15 @@ def satisfied(types: DataFrame, interfaces: DataFrame) -> DataFrame:
     vague = need.filter("arity IS NULL").select(F.col("interface").alias("v")).distinct()
     need = need.join(vague, F.col("interface") == F.col("v"), "left_anti")
     total = need.groupBy(F.col("interface").alias("t")).agg(F.count(F.lit(1)).alias("all_n"))
-    hit = types.join(need, ["method", "arity", "variadic"])
-    fits = (F.col("results").isNull() | F.col("i_results").isNull() | (F.col("results") == F.col("i_results"))) & (F.col("i_exported") | (F.col("dir") == F.col("i_dir")))
-    got = hit.filter(fits).groupBy("owner", "interface").agg(F.count_distinct("method", "arity", "variadic").alias("n"))
+    shape = ["method", "arity", "variadic"]
+    asked = cut(need.groupBy("interface", *shape).agg(F.collect_set(F.struct("i_results", "i_exported", "i_dir")).alias("asked")), "asked")
+    if asked.count() * ASKED_BYTES <= BROADCAST_BYTES:
+        asked = F.broadcast(asked)
+    # a type's methods lie together from here on, each manner once, so that what is held for a type is a count an interface
+    have = types.repartition("owner").groupBy("owner", *shape).agg(F.collect_set(F.struct("results", "dir")).alias("have"))
+    fits = lambda h, a: (h["results"].isNull() | a["i_results"].isNull() | (h["results"] == a["i_results"])) & (a["i_exported"] | (h["dir"] == a["i_dir"]))
+    hit = have.join(asked, shape).filter(F.exists("have", lambda h: F.exists("asked", lambda a: fits(h, a))))
+    got = hit.groupBy("owner", "interface").agg(F.count(F.lit(1)).alias("n"))
     return got.join(total, F.col("interface") == F.col("t")).filter("n = all_n").select(F.col("owner").alias("type"), "interface")
 
 

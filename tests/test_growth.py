@@ -166,3 +166,31 @@ def test_a_text_is_counted_as_it_is_split(spark):
     texts = ["HTTPServer readFile's uses, boxes; axes pies ponies stopped running bring bed fed agreed X1Y22 the İstanbul Kelvin classes glass", "", None, "ABCDef ghIJk __init__ missing missings ee 12 3 été"]
     want = [collections.Counter(r.t) for r in spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").orderBy("k").select(X.terms(X.F.col("t")).alias("t")).collect()]
     assert [X.count_terms(t, {}) for t in texts] == want
+
+
+def test_a_walk_moves_its_frontiers_steps_only(spark, monkeypatch):
+    from quarry.operators import graph as G
+
+    rows = [(f"n{k}", f"n{j}", r, 7 * k + j) for k in range(300) for j in (k * k % 97, k // 2, k // 2) for r in ("calls", "references")]
+    edges = spark.createDataFrame(rows, "source string, target string, relation string, ord long")
+    seeds = spark.createDataFrame([("n1",), ("n5",)], "id string")
+    walks = lambda: [sorted(map(repr, df.collect())) for df in (G.impact(edges, seeds, 3), G.impact(edges, seeds, 2, incoming=False), G.distances(edges, seeds))]
+    few = walks()
+    monkeypatch.setattr(G, "FEW", 0)
+    assert walks() == few
+    frontier = spark.createDataFrame([("a",)], "id string")
+    df = G.met(spark.createDataFrame([("a", 1), ("b", 2)], "here string, ord int"), frontier, 1)
+    assert [tuple(r) for r in df.collect()] == [("a", 1)]
+    joins = [x for x in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in x]
+    assert len(joins) == 2 and "bucket" in "".join(joins)
+
+
+def test_types_meet_interfaces_in_rows_for_a_manner_each(spark):
+    from quarry.operators import retrieval as T
+
+    columns = "owner string, dir string, method string, arity long, variadic boolean, results int, exported boolean"
+    types = spark.createDataFrame([("a", "x", "m", 1, False, r, True) for r in range(40)] + [("b", "y", "m", 1, False, None, True), ("c", "x", "m", 1, False, 99, True)], columns)
+    asks = spark.createDataFrame([("I", "x", "m", 1, False, 3, True), ("J", "x", "m", 1, False, None, False), ("K", "x", "m", None, False, 3, True)], columns)
+    df = T.satisfied(types, asks)
+    assert {tuple(r) for r in df.collect()} == {("a", "I"), ("b", "I"), ("a", "J"), ("c", "J")}
+    assert joined_rows(df) <= 6
