@@ -17,6 +17,8 @@ WEAK_STRONG, WEAK_BROAD, LEAST_SCOPE, GROUPS = 0.1, 0.5, 5, 5
 BUDGET, LEAST_BUDGET, MOST_BUDGET, DISPATCH = 2_000, 128, 64_000, 3
 #: Bytes up to which what interfaces ask for is broadcast, and what one method of one takes.
 BROADCAST_BYTES, ASKED_BYTES = 32 << 20, 512
+#: Neighbours of seeds that a task holds, at most about.
+ROWS = 1 << 19
 
 
 def limit_of(value: float | None, default: int = 8) -> int | None:
@@ -65,13 +67,20 @@ def edit_context(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, each: int
     """``seed, group, other, place``: each seed's direct neighbours, as tests, callers and dependencies, the first ``each`` of every
     group in stored order. ``nodes (id, is_test)``."""
     walk = G.walkable(edges)
-    mine = seeds.select(F.col("id").alias("s_id"))
-    ins = walk.join(mine, F.col("target") == F.col("s_id"), "left_semi").select(F.col("target").alias("seed"), F.col("source").alias("other"), "ord", F.lit("caller").alias("g"))
-    outs = walk.join(mine, F.col("source") == F.col("s_id"), "left_semi").select(F.col("source").alias("seed"), F.col("target").alias("other"), "ord", F.lit("dependency").alias("g"))
-    rows = ins.unionByName(outs).join(nodes.select(F.col("id").alias("n_id"), "is_test"), F.col("other") == F.col("n_id"), "left")
-    rows = rows.select("seed", F.when(F.col("is_test"), "test").otherwise(F.col("g")).alias("group"), "other", "ord").groupBy("seed", "group", "other").agg(F.min("ord").alias("ord"))
+    n = seeds.count()
+    parts = max(1, math.ceil(2 * walk.count() / ROWS))  # an edge is near both its ends
+    ends = lambda here, there, into: walk.select(F.col(here).alias("here"), F.col(there).alias("other"), "ord", F.lit(into).alias("into"))
+    near = ends("target", "source", True).unionByName(ends("source", "target", False))
+    near = G.met(near, seeds, n) if n <= G.FEW else G.marked(near, seeds)
+    # a hub's rows pass by the nodes unsorted, and are dealt by both ends before any is held
+    tests = nodes.select(F.col("id").alias("n_id"), "is_test").hint("shuffle_hash")
+    rows = near.join(tests, F.col("other") == F.col("n_id"), "left")
+    group = F.when(F.col("is_test"), "test").when(F.col("into"), "caller").otherwise("dependency")
+    rows = rows.select(F.col("here").alias("seed"), group.alias("group"), "other", "ord").repartition(parts, "seed", "other")
+    rows = rows.groupBy("seed", "group", "other").agg(F.min("ord").alias("ord"))
     w = Window.partitionBy("seed", "group").orderBy("ord", "other")
-    return rows.withColumn("place", F.row_number().over(w).cast("long")).filter(F.col("place") <= each).drop("ord")
+    first = rows.withColumn("place", F.row_number().over(w).cast("long")).filter(F.col("place") <= each).drop("ord")
+    return first if n <= G.FEW else first.join(seeds.select(F.col("id").alias("s_id")).hint("shuffle_hash"), F.col("seed") == F.col("s_id"), "left_semi")
 
 
 def suppressed(hits: DataFrame, seen: DataFrame) -> DataFrame:

@@ -194,3 +194,42 @@ def test_types_meet_interfaces_in_rows_for_a_manner_each(spark):
     df = T.satisfied(types, asks)
     assert {tuple(r) for r in df.collect()} == {("a", "I"), ("b", "I"), ("a", "J"), ("c", "J")}
     assert joined_rows(df) <= 6
+
+
+def test_neighbours_of_seeds_are_dealt_by_their_number(spark, monkeypatch):
+    import collections
+    import re
+
+    from quarry.operators import graph as G
+    from quarry.operators import retrieval as T
+
+    relations = ("calls", "references", "contains")
+    rows = [(f"n{k}", f"n{j}", relations[(k + j) % 3], (k * 31 + j * 17) % 50) for k in range(400) for j in (0, k * k % 97, k // 2, k // 2, k)]
+    tests = {f"n{k}" for k in range(0, 400, 3)}
+    seeds = {f"n{k}" for k in range(0, 400, 2)} | {"away"}
+    least = collections.defaultdict(dict)
+    for a, b, relation, ord in rows:
+        for seed, other, group in ((b, a, "caller"), (a, b, "dependency")) if relation != "contains" else ():
+            if seed in seeds:
+                own = least[seed, "test" if other in tests else group]
+                own[other] = min(ord, own.get(other, ord))
+    want = sorted((seed, group, other, k + 1) for (seed, group), own in least.items() for k, other in enumerate(sorted(own, key=lambda x: (own[x], x))[:2]))
+    edges = spark.createDataFrame(rows, "source string, target string, relation string, ord long")
+    nodes = spark.createDataFrame([(f"n{k}", f"n{k}" in tests or None) for k in range(300)] + [(f"n{k}", f"n{k}" in tests) for k in range(300, 400)], "id string, is_test boolean")
+    own = spark.createDataFrame([(x,) for x in sorted(seeds)], "id string")
+    monkeypatch.setattr(T, "ROWS", 100, raising=False)
+    for few in (G.FEW, 0):
+        monkeypatch.setattr(G, "FEW", few)
+        df = T.edit_context(edges, nodes, own)
+        assert sorted(tuple(r) for r in df.select("seed", "group", "other", "place").collect()) == want
+        dealt = re.search(r"hashpartitioning\(seed#\d+, other#\d+, (\d+)\)", df._jdf.queryExecution().executedPlan().toString())
+        assert dealt and int(dealt[1]) >= 2 * len([r for r in rows if r[2] != "contains"]) / 100
+
+
+def test_a_bitmap_knows_every_bit_of_a_byte(spark):
+    from quarry.operators import graph as G
+
+    frontier = spark.range(60_000).selectExpr("concat('n', 2 * id) AS id")
+    steps = spark.range(120_000).selectExpr("concat('n', id) AS here")
+    got = {r.here for r in G.marked(steps, frontier).collect()}
+    assert got >= {f"n{k}" for k in range(0, 120_000, 2)} and len(got) < 60_200
